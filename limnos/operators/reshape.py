@@ -151,7 +151,7 @@ def match_rate(col: str) -> Column:
 
 def dataset_summary(df: DataFrame, id_col: str, date_col: str, matched_col: str | None = None) -> DataFrame:
     """Rows, distinct ids, date range and match rate in one aggregate."""
-    aggs = [F.count(F.lit(1)).alias("rows"), F.count_distinct(qcol(id_col)).alias("distinct_ids"),
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.count_distinct(qcol(id_col)).alias("distinct_ids"),
             F.min(qcol(date_col)).alias("first_date"), F.max(qcol(date_col)).alias("last_date")]
     if matched_col:
         aggs += [F.count(qcol(matched_col)).alias("matched_rows"), match_rate(matched_col).alias("match_pct")]

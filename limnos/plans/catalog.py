@@ -7,8 +7,6 @@ sides so engine-specific last-ulp differences do not count as mismatches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,32 +14,16 @@ from limnos.functions import to_day
 from limnos.operators.joins import join_on_keys
 from limnos.operators.quality import drop_null_rows, fill_constants
 from limnos.operators.reshape import keep_top_categories, pivot_value_unit
+from limnos.plans.registry import ORACLE, QUERIES, iso_date, register
 from limnos.session import table
 
-QueryFn = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, QueryFn] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql.strip()
-        return fn
-    return deco
-
+__all__ = ["ORACLE", "QUERIES", "flagship_wide"]
 
 # Declared characteristic list of the event feed (pivot columns are fixed
 # up front so the pivot needs no discovery job and the schema is stable).
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
-def iso_date(col) -> F.Column:
-    """DATE -> ``yyyy-MM-dd`` text for catalogue output (unambiguous to compare)."""
-    return F.col(col).cast("string") if isinstance(col, str) else col.cast("string")
-
-
 def _pivot_sql(types, value, unit, order) -> str:
     parts = []
     for t in types:
@@ -84,3 +66,7 @@ wide AS (
 SELECT w.* REPLACE (CAST(w.day AS VARCHAR) AS day), coalesce(c.c_name, 'Unknown station') AS c_name, c.c_mktsegment, c.c_acctbal
 FROM wide w LEFT JOIN customer c ON w.user_id = c.c_custkey
 """)(flagship_wide)
+
+
+# Importing the query modules registers their queries.
+from limnos.plans import q_clean  # noqa: E402,F401
