@@ -32,5 +32,10 @@ def log1p_nonneg(col) -> Column:
 
 
 def round_half_even(col, scale: int = 4) -> Column:
-    """Numpy-style rounding (half to even)."""
-    return F.bround(_c(col), scale)
+    """Numpy rounding: ``rint(x * 10^s) / 10^s`` (half to even on the scaled double).
+
+    ``bround`` rounds the shortest decimal text of the double instead, which
+    disagrees with numpy when the scaled value is not exactly representable.
+    """
+    factor = F.lit(float(10 ** scale))
+    return F.rint(_c(col) * factor) / factor

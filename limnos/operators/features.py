@@ -10,7 +10,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.functions.numeric import log1p_nonneg, nonneg
 from limnos.operators.stats import exact_medians
 from limnos.session import qcol
 
@@ -26,42 +25,52 @@ DERIVED_COLS = ("season_sin", "season_cos", "season2_sin", "season2_cos", "range
 DAYS_IN_YEAR = 366.0  # fixed value: the seasonal divisor is always 366
 
 
-def derived_feature_exprs(mapping: Mapping[str, str] | None = None) -> dict[str, Column]:
-    """The fourteen derived feature expressions over the canonical inputs.
+def _sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-    ``mapping`` renames canonical inputs to the frame's columns; when the
-    latitude/longitude inputs are absent they count as 0 (as the reference
-    does for an 11-column matrix).  Comparisons follow numpy: a NULL
-    ``highc`` gives ``frozen = 0``.
+
+def derived_feature_sql(mapping: Mapping[str, str | None] | None = None) -> dict[str, str]:
+    """The fourteen derived features as Spark SQL expressions.
+
+    ``mapping`` renames canonical inputs to the frame's columns; a latitude or
+    longitude mapped to ``None`` counts as 0 (the reference's rule for an
+    11-column matrix).  Comparisons follow numpy: a NULL ``highc`` gives
+    ``frozen = 0``.  The same text feeds DataFrame code (``F.expr``) and
+    persisted ML pipelines (``SQLTransformer``), so both compute identically.
     """
     m = dict(mapping or {})
 
-    def c(name: str) -> Column:
-        if name in ("LatitudeMeasure", "LongitudeMeasure") and m.get(name, name) is None:
-            return F.lit(0.0)
-        return qcol(m.get(name, name))
+    def c(name: str) -> str:
+        target = m.get(name, name)
+        return "0.0D" if target is None else _sql_name(target)
 
-    angle = F.lit(2.0 * math.pi) * c("doy") / F.lit(DAYS_IN_YEAR)
-    angle2 = F.lit(2.0) * angle
-    moisture = c("precip") + c("snow") + c("snowd")
+    angle = f"(CAST({2.0 * math.pi!r} AS DOUBLE) * {c('doy')} / {DAYS_IN_YEAR!r}D)"
+    angle2 = f"(2.0D * {angle})"
+    moisture = f"({c('precip')} + {c('snow')} + {c('snowd')})"
     return {
-        "season_sin": F.sin(angle),
-        "season_cos": F.cos(angle),
-        "season2_sin": F.sin(angle2),
-        "season2_cos": F.cos(angle2),
-        "range_f": c("high") - c("low"),
-        "range_c": c("highc") - c("lowc"),
-        "mean_c": (c("highc") + c("lowc")) / F.lit(2.0),
+        "season_sin": f"sin({angle})",
+        "season_cos": f"cos({angle})",
+        "season2_sin": f"sin({angle2})",
+        "season2_cos": f"cos({angle2})",
+        "range_f": f"{c('high')} - {c('low')}",
+        "range_c": f"{c('highc')} - {c('lowc')}",
+        "mean_c": f"({c('highc')} + {c('lowc')}) / 2.0D",
         "moisture": moisture,
-        "log_moisture": log1p_nonneg(moisture),
-        "gdd_x_precip": c("gdd_40_86") * nonneg(c("precip")),
-        "frozen": F.when(c("highc") <= F.lit(0.0), F.lit(1.0)).otherwise(F.lit(0.0)),
-        "lat_x_season_sin": c("LatitudeMeasure") * F.sin(angle),
-        "lon_x_season_cos": c("LongitudeMeasure") * F.cos(angle),
-        "dist_x_season_cos": c("distance_to_climate_station_km") * F.cos(angle),
+        "log_moisture": f"log1p(CASE WHEN {moisture} IS NULL THEN NULL ELSE greatest({moisture}, 0.0D) END)",
+        "gdd_x_precip": f"{c('gdd_40_86')} * CASE WHEN {c('precip')} IS NULL THEN NULL "
+                        f"ELSE greatest({c('precip')}, 0.0D) END",
+        "frozen": f"CASE WHEN {c('highc')} <= 0.0D THEN 1.0D ELSE 0.0D END",
+        "lat_x_season_sin": f"{c('LatitudeMeasure')} * sin({angle})",
+        "lon_x_season_cos": f"{c('LongitudeMeasure')} * cos({angle})",
+        "dist_x_season_cos": f"{c('distance_to_climate_station_km')} * cos({angle})",
     }
 
 
+def derived_feature_exprs(mapping: Mapping[str, str | None] | None = None) -> dict[str, Column]:
+    """E1-E6 as Columns (built-in expressions, whole-stage codegen)."""
+    return {name: F.expr(text) for name, text in derived_feature_sql(mapping).items()}
+
+
 def add_derived_features(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
     """Append the fourteen derived features (one projection, codegen'd)."""
     return df.withColumns(derived_feature_exprs(mapping))

@@ -99,11 +99,11 @@ def _prepare_right(right: DataFrame, lat: str, lon: str, tie: str, cols: Sequenc
 def nearest_join(left: DataFrame, right: DataFrame, *, left_lat: str, left_lon: str, right_lat: str,
                  right_lon: str, right_cols: Sequence[str], tie: str, metric: str = "planar_rad", k: int = 1,
                  distance_col: str = "distance_km", rank_col: str = "nn_rank", start_cell: float | None = None,
-                 max_rounds: int = 64) -> DataFrame:
+                 max_rounds: int = 64, key_col: str | None = None) -> DataFrame:
     """Attach the ``k`` nearest right points to every left row.
 
-    Returns the left rows with ``right_cols``, ``distance_col`` and (k > 1)
-    ``rank_col``; ``k > 1`` yields up to ``k`` rows per left row.  Left rows
+    Returns the left rows with ``right_cols``, ``distance_col``, (k > 1)
+    ``rank_col`` and optionally the raw ranking key as ``key_col``; ``k > 1`` yields up to ``k`` rows per left row.  Left rows
     with NULL coordinates (or an empty right side) get NULL neighbours.
     """
     spark = left.sparkSession
@@ -148,7 +148,8 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_lat: str, left_lon:
     found = found.select(_LAT, _LON, *[F.col(f"__p.`{c}`").alias(c) for c in keep],
                          distance_value(metric, F.col(_LAT), F.col(_LON), F.col(_RLAT), F.col(_RLON),
                                         F.col("__key")).alias(distance_col),
-                         *([F.col("__rank").alias(rank_col)] if k > 1 else []))
+                         *([F.col("__rank").alias(rank_col)] if k > 1 else []),
+                         *([F.col("__key").alias(key_col)] if key_col else []))
     clash = [c for c in keep + [distance_col, rank_col] if c in left.columns]
     if clash:
         raise ValueError(f"output columns already on the left side: {clash}")
