@@ -8,8 +8,10 @@ local density rather than to |left| x |right|.  A left location is final
 once its k-th candidate lies within ``d`` — every point nearer than that is
 guaranteed to sit in a probed cell.  Unresolved locations go to the next
 round with ``d`` doubled; after the round in which ``d`` covers the whole
-extent every location is final.  Each round's result is checkpointed to the
-shared checkpoint folder, which cuts lineage and survives executor loss.
+extent every location is final.  Round results are cached (a lost executor
+recomputes them from lineage); the final location -> neighbour map is written
+once with a reliable ``checkpoint()`` to the shared checkpoint folder, which
+cuts the lineage of all rounds.
 
 Metrics:
   * ``planar_rad`` (parity): Euclid on (lat, lon) in radians x 6371 km,
@@ -108,9 +110,10 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_lat: str, left_lon:
     """
     spark = left.sparkSession
     ensure_checkpoint_dir(spark)
-    rp = _prepare_right(right, right_lat, right_lon, tie, right_cols, k).checkpoint()
+    rp = _prepare_right(right, right_lat, right_lon, tie, right_cols, k).cache()
     locs = (left.filter(qcol(left_lat).isNotNull() & qcol(left_lon).isNotNull())
-            .select(qcol(left_lat).alias(_LAT), qcol(left_lon).alias(_LON)).distinct()).checkpoint()
+            .select(qcol(left_lat).alias(_LAT), qcol(left_lon).alias(_LON)).distinct()).cache()
+    cached = [rp, locs]
 
     stats = rp.agg(F.count(F.lit(1)).alias("n"), F.min(_RLAT).alias("a0"), F.max(_RLAT).alias("a1"),
                    F.min(_RLON).alias("b0"), F.max(_RLON).alias("b1")).first()
@@ -128,17 +131,28 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_lat: str, left_lon:
             d = d * math.pi / 180.0
         dims = 3 if metric == "haversine" else 2
         pending = locs
-        for _ in range(max_rounds):
+        for rnd in range(max_rounds):
             final = d >= full
-            pieces.append(_round(pending, rp, metric, d, dims, k, tie, final))
+            piece = _round(pending, rp, metric, d, dims, k, tie, final).cache()
+            cached.append(piece)
+            pieces.append(piece)
             if final:
                 break
-            done = pieces[-1].select(_LAT, _LON).distinct()
-            pending = pending.join(done, on=[_LAT, _LON], how="left_anti").checkpoint()
-            if pending.isEmpty():
+            done = piece.select(_LAT, _LON).distinct()
+            pending = pending.join(done, on=[_LAT, _LON], how="left_anti")
+            # Bound the lineage of the shrinking work set on long searches.
+            pending = pending.checkpoint() if rnd % 4 == 3 else pending.cache()
+            cached.append(pending)
+            if pending.count() == 0:
                 break
             d *= 2.0
     found = reduce(lambda a, b: a.unionByName(b), pieces) if pieces else None
+    if found is not None:
+        # One reliable checkpoint of the location -> neighbour map: cuts the
+        # lineage of every round and survives executor loss; then free caches.
+        found = found.checkpoint()
+    for frame in cached:
+        frame.unpersist()
     keep = [c for c in dict.fromkeys([tie, *right_cols])]
     if found is None:
         out = left
@@ -177,7 +191,7 @@ def _round(pending: DataFrame, rp: DataFrame, metric: str, d: float, dims: int,
         best = best.select(_LAT, _LON, "__b.*")
         if not final:
             best = best.filter(F.col("__key") <= F.lit(bound))
-        return best.checkpoint()
+        return best
     w = Window.partitionBy(_LAT, _LON).orderBy("__key", tiecol)
     ranked = cand.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= k)
     if not final:
@@ -186,7 +200,7 @@ def _round(pending: DataFrame, rp: DataFrame, metric: str, d: float, dims: int,
                   .withColumn("__kth", F.max("__key").over(wl))
                   .filter((F.col("__cnt") >= k) & (F.col("__kth") <= F.lit(bound)))
                   .drop("__cnt", "__kth"))
-    return ranked.select(_LAT, _LON, "__p", _RLAT, _RLON, "__key", "__rank").checkpoint()
+    return ranked.select(_LAT, _LON, "__p", _RLAT, _RLON, "__key", "__rank")
 
 
 def nearest_label(points: DataFrame, places: DataFrame, *, lat: str, lon: str, place_lat: str, place_lon: str,
