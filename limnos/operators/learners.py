@@ -122,7 +122,7 @@ def fit_model(train: DataFrame, spec: ModelSpec, features: Sequence[str], label:
     lab = F.log1p(qcol(label)) if log_target else qcol(label)
     data = train.withColumn("__label", lab.cast("double"))
     if spec.family == "rf" and key_cols:
-        n = max(1, data.rdd.getNumPartitions())
+        n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         data = data.repartition(n, *[qcol(k) for k in key_cols]).sortWithinPartitions(*[qcol(k) for k in key_cols])
     return build_pipeline(spec, features, medians, log_target, seed=seed).fit(data)
 
