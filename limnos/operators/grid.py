@@ -85,11 +85,9 @@ def hull_mask(grid: DataFrame, stations: DataFrame, *, lat: str, lon: str, direc
                          for i, (c, s) in enumerate(proj)]).first()
     if row is None or row["h0"] is None:
         return grid.limit(0)
-    cond = None
-    for i, (c, s) in enumerate(proj):
-        inside = (F.col("lon") * F.lit(c) + F.col("lat") * F.lit(s)) <= F.lit(row[f"h{i}"] + eps)
-        cond = inside if cond is None else cond & inside
-    return grid.filter(cond)
+    bounds = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s"), F.lit(row[f"h{i}"] + eps).alias("h"))
+                       for i, (c, s) in enumerate(proj)])
+    return grid.filter(F.forall(bounds, lambda b: F.col("lon") * b["c"] + F.col("lat") * b["s"] <= b["h"]))
 
 
 def render_table(grid_values: DataFrame, stations: DataFrame, *, target: str, station_id: str, lat: str, lon: str,
