@@ -166,34 +166,42 @@ def group_mean(df: DataFrame, by: Sequence[str], col: str, name: str = "mean") -
 def describe_numeric(df: DataFrame, cols: Sequence[str], extra_percentiles: Sequence[float] = ()) -> DataFrame:
     """P10: count/mean/std/min/quartiles/max per column as long rows.
 
-    Quartiles are exact (``percentile``, linear interpolation as numpy);
-    one aggregate over all columns, then an explode of a bounded array.
+    Quartiles are exact with numpy's linear interpolation, found by
+    histogram bracketing (no single-task merge of all values); the moments
+    come from one aggregate over all columns.
     """
+    from limnos.operators.stats import exact_quantiles
+
     ps = [0.25, 0.5, 0.75, *extra_percentiles]
+    qs = exact_quantiles(df, cols, ps)
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(qcol(c)).alias(f"n{i}"), F.avg(qcol(c)).alias(f"mean{i}"),
                  F.stddev_samp(qcol(c)).alias(f"std{i}"), F.min(qcol(c)).alias(f"min{i}"),
-                 F.max(qcol(c)).alias(f"max{i}"),
-                 F.percentile(qcol(c), F.array(*[F.lit(float(p)) for p in ps])).alias(f"p{i}")]
+                 F.max(qcol(c)).alias(f"max{i}")]
     wide = df.agg(*aggs)
     entries = []
     for i, c in enumerate(cols):
+        q = [F.lit(v).cast("double") for v in qs[c]]
         fields = [F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), F.col(f"mean{i}").alias("mean"),
                   F.col(f"std{i}").alias("std"), F.col(f"min{i}").alias("min"),
-                  F.col(f"p{i}")[0].alias("q25"), F.col(f"p{i}")[1].alias("q50"), F.col(f"p{i}")[2].alias("q75"),
-                  F.col(f"max{i}").alias("max")]
-        fields += [F.col(f"p{i}")[3 + j].alias(f"p{int(round(p * 100)):02d}") for j, p in enumerate(extra_percentiles)]
+                  q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.col(f"max{i}").alias("max")]
+        fields += [q[3 + j].alias(f"p{int(round(p * 100)):02d}") for j, p in enumerate(extra_percentiles)]
         entries.append(F.struct(*fields))
     return wide.select(F.explode(F.array(*entries)).alias("d")).select("d.*")
 
 
 def percentiles(df: DataFrame, col: str, ps: Sequence[float], exact: bool = True,
                 accuracy: int = 100_000) -> DataFrame:
-    """One row with ``p<NN>`` columns; exact (numpy-linear) or sketch-based."""
+    """One row with ``p<NN>`` columns; exact (numpy-linear, bracketing) or sketch-based."""
+    if exact:
+        from limnos.operators.stats import exact_quantiles
+
+        vals = exact_quantiles(df, [col], ps)[col]
+        return df.sparkSession.range(1).select(
+            *[F.lit(v).cast("double").alias(f"p{int(round(p * 100)):02d}") for v, p in zip(vals, ps, strict=True)])
     arr = F.array(*[F.lit(float(p)) for p in ps])
-    agg = F.percentile(qcol(col), arr) if exact else F.percentile_approx(qcol(col), arr, accuracy)
-    row = df.agg(agg.alias("__p"))
+    row = df.agg(F.percentile_approx(qcol(col), arr, accuracy).alias("__p"))
     return row.select(*[F.col("__p")[i].alias(f"p{int(round(p * 100)):02d}") for i, p in enumerate(ps)])
 
 
