@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from limnos.operators.features import DERIVED_COLS, FEATURE_COLS, derived_feature_sql, fit_median_imputer
 from limnos.operators.quality import filter_range
-from limnos.operators.regression import hash_bucket, hash_folds, regression_metrics
+from limnos.operators.regression import fit_ols, hash_bucket, hash_folds, regression_metrics
 from limnos.session import qcol
 
 
@@ -30,7 +30,7 @@ class ModelSpec:
     """One model family with its estimator parameters."""
 
     name: str
-    family: str  # "lr" | "rf" | "gb"
+    family: str  # "lr" (one-pass OLS) | "spark_lr" (Spark LinearRegression) | "rf" | "gb"
     params: Mapping[str, object] = field(default_factory=dict)
     file_prefix: str = ""
 
@@ -70,7 +70,7 @@ MIN_SAMPLES = 50
 
 def _estimator(spec: ModelSpec, features_col: str, label_col: str, seed: int):
     p = dict(spec.params)
-    if spec.family == "lr":
+    if spec.family in ("lr", "spark_lr"):
         return LinearRegression(featuresCol=features_col, labelCol=label_col, **p)
     if spec.family == "rf":
         return RandomForestRegressor(featuresCol=features_col, labelCol=label_col, seed=seed, **p)
@@ -79,10 +79,9 @@ def _estimator(spec: ModelSpec, features_col: str, label_col: str, seed: int):
     raise ValueError(f"unknown family {spec.family!r}")
 
 
-def build_pipeline(spec: ModelSpec, features: Sequence[str], medians: Mapping[str, float | None],
-                   log_target: bool = False, label_col: str = "__label", seed: int = 42,
-                   derived: bool = True) -> Pipeline:
-    """M6-M8: imputer -> derived features -> assembler -> [scaler] -> estimator -> output."""
+def _preprocess_stages(features: Sequence[str], medians: Mapping[str, float | None], derived: bool = True
+                       ) -> tuple[list, list[str]]:
+    """SQLTransformer stages: median fill, then the derived features; returns (stages, model inputs)."""
     filled = {f: f"__in_{i}" for i, f in enumerate(features)}
     fill_sql = ", ".join(
         f"coalesce(`{f}`, CAST({medians.get(f)!r} AS DOUBLE)) AS `{filled[f]}`" if medians.get(f) is not None
@@ -95,17 +94,49 @@ def build_pipeline(spec: ModelSpec, features: Sequence[str], medians: Mapping[st
         stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
             f"{text} AS `__d_{name}`" for name, text in exprs.items()) + " FROM __THIS__"))
         inputs += [f"__d_{n}" for n in DERIVED_COLS]
+    return stages, inputs
+
+
+def _output_stage(log_target: bool) -> SQLTransformer:
+    out = "expm1(prediction)" if log_target else "prediction"
+    return SQLTransformer(statement=f"SELECT *, {out} AS predicted FROM __THIS__")
+
+
+def build_pipeline(spec: ModelSpec, features: Sequence[str], medians: Mapping[str, float | None],
+                   log_target: bool = False, label_col: str = "__label", seed: int = 42,
+                   derived: bool = True) -> Pipeline:
+    """M7/M8 (and Spark's own linear solver, family ``spark_lr``): imputer ->
+    derived features -> assembler -> [scaler] -> estimator -> output."""
+    stages, inputs = _preprocess_stages(features, medians, derived)
     stages.append(VectorAssembler(inputCols=inputs, outputCol="__raw", handleInvalid="keep"))
     vec = "__raw"
-    if spec.family == "lr":
+    if spec.family in ("lr", "spark_lr"):
         stages.append(StandardScaler(inputCol="__raw", outputCol="__scaled", withMean=True, withStd=True))
         vec = "__scaled"
     stages.append(_estimator(spec, vec, label_col, seed))
-    out = "expm1(prediction)" if log_target else "prediction"
-    stages.append(SQLTransformer(statement=f"SELECT *, {out} AS predicted FROM __THIS__"))
+    stages.append(_output_stage(log_target))
     return Pipeline(stages=stages)
 
 
+def _fit_linear(data: DataFrame, features: Sequence[str], medians: Mapping[str, float | None],
+                log_target: bool) -> PipelineModel:
+    """M6: least squares on standardised inputs (minimum-norm for collinear
+    columns, as a scaler + OLS pipeline does), solved from one Gram pass; the
+    fitted line is baked into a SQLTransformer, so the model is a plain,
+    persistable PipelineModel."""
+    stages, inputs = _preprocess_stages(features, medians)
+    prepared = data
+    for stage in stages:
+        prepared = stage.transform(prepared)
+    fit = fit_ols(prepared, inputs, "__label").first()
+    if fit is None:
+        raise ValueError("no complete training rows")
+    terms = " + ".join(f"CAST({b!r} AS DOUBLE) * `{c}`" for b, c in zip(fit["coefficients"], inputs, strict=True))
+    line = SQLTransformer(statement=f"SELECT *, CAST({fit['intercept']!r} AS DOUBLE) + {terms} AS prediction "
+                                    "FROM __THIS__")
+    return PipelineModel(stages=[*stages, line, _output_stage(log_target)])
+
+
 def _drop_internal(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("__") or c == "prediction"])
 
@@ -118,13 +149,22 @@ def fit_model(train: DataFrame, spec: ModelSpec, features: Sequence[str], label:
     hash of ``key_cols`` and sorted: the same rows give the same forest
     whatever the upstream partitioning was.
     """
-    medians = fit_median_imputer(train, features)
     lab = F.log1p(qcol(label)) if log_target else qcol(label)
-    data = train.withColumn("__label", lab.cast("double"))
+    cols = list(dict.fromkeys([*features, *key_cols]))
+    data = train.select(*[qcol(c) for c in cols], lab.cast("double").alias("__label"))
     if spec.family == "rf" and key_cols:
         n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         data = data.repartition(n, *[qcol(k) for k in key_cols]).sortWithinPartitions(*[qcol(k) for k in key_cols])
-    return build_pipeline(spec, features, medians, log_target, seed=seed).fit(data)
+    # The fit makes several passes (medians, scaler, solver / tree levels):
+    # keep only the needed columns in memory for its duration.
+    data = data.cache()
+    try:
+        medians = fit_median_imputer(data, features)
+        if spec.family == "lr":
+            return _fit_linear(data, features, medians, log_target)
+        return build_pipeline(spec, features, medians, log_target, seed=seed).fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -23,6 +23,15 @@ from pyspark.sql import types as T
 
 from limnos.session import qcol
 
+try:  # ship the per-group solver by value: executors need numpy/pandas, not this package
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except (ImportError, AttributeError, ValueError):  # pragma: no cover - older cloudpickle
+    pass
+
 HASH_BUCKETS = 10_000
 
 
@@ -74,50 +83,87 @@ def _group_cols(by: Sequence[str]) -> list[Column]:
     return [qcol(b) for b in by]
 
 
+def _partial_gram(keys: Sequence[str], p: int):
+    """Per partition: Gram sums of centred, scaled inputs per key (numpy BLAS on Arrow batches)."""
+    def run(batches):
+        acc: dict[tuple, list] = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            groups = pdf.groupby(list(keys), sort=False, dropna=False) if keys else [((), pdf)]
+            for key, part in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                x = np.stack(part["__x"].to_numpy()).astype(float).reshape(len(part), p)
+                m = np.asarray(part["__m"].iloc[0], float)
+                s = np.asarray(part["__s"].iloc[0], float)
+                z = np.where(s > 0, (x - m) / np.where(s > 0, s, 1.0), 0.0)
+                yc = part["__y"].to_numpy(float) - float(part["__my"].iloc[0])
+                cur = acc.get(key)
+                upd = [len(part), z.sum(axis=0), z.T @ z, yc.sum(), z.T @ yc, float(yc @ yc)]
+                acc[key] = upd if cur is None else [a + b for a, b in zip(cur, upd, strict=True)]
+        rows = []
+        for key, (n, sz, szz, sy, szy, syy) in acc.items():
+            flat = np.concatenate([[n, sy, syy], sz, szy, szz.ravel()])
+            rows.append({**dict(zip(keys, key, strict=True)), "__flat": flat.tolist()})
+        yield pd.DataFrame(rows, columns=[*keys, "__flat"])
+    return run
+
+
 def gram_rows(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = (),
               fold_col: str | None = None) -> DataFrame:
     """Per group (and fold): centres/scales and Gram sums of centred, scaled inputs.
 
-    Output columns: ``by``, ``__fold``, ``n``, ``mx`` (array), ``sx`` (array),
-    ``my``, ``sz``, ``szz`` (flattened p x p), ``sy``, ``szy``, ``syy``.
+    Pass 1 (one aggregate) gives each group's centres and population scales;
+    pass 2 accumulates per-partition partial sums with numpy inside the
+    tasks, and Spark adds the partials element-wise (explode + partial
+    aggregation), so no task ever holds more than one group's p^2 numbers.
+    Output columns: ``by``, ``__fold``, ``n``, ``mx``/``sx`` (arrays), ``my``,
+    ``sz``, ``szz`` (flattened p x p), ``sy``, ``szy``, ``syy``.
     """
     p = len(features)
     complete = df
     for c in [*features, label]:
         complete = complete.filter(qcol(c).isNotNull() & ~F.isnan(qcol(c)))
     centre = complete.groupBy(*_group_cols(by)).agg(
-        *[F.avg(qcol(f)).alias(f"__m{i}") for i, f in enumerate(features)],
-        *[F.stddev_pop(qcol(f)).alias(f"__s{i}") for i, f in enumerate(features)],
+        F.array(*[F.avg(qcol(f)) for f in features]).alias("__m"),
+        F.array(*[F.coalesce(F.stddev_pop(qcol(f)), F.lit(0.0)) for f in features]).alias("__s"),
         F.avg(qcol(label)).alias("__my"))
+    fold = (qcol(fold_col) if fold_col else F.lit(-1)).cast("int").alias("__fold")
+    rows = complete.select(*_group_cols(by), fold, F.array(*[qcol(f).cast("double") for f in features]).alias("__x"),
+                           qcol(label).cast("double").alias("__y"))
     if by:
         # One small row per group; AQE broadcasts it when it is small enough.
-        joined = complete.join(centre, on=list(by), how="inner")
+        rows = rows.join(centre, on=list(by), how="inner")
+    else:
+        c = centre.first()
+        rows = rows.select("*", F.lit(c["__m"]).cast("array<double>").alias("__m"),
+                           F.lit(c["__s"]).cast("array<double>").alias("__s"),
+                           F.lit(c["__my"]).cast("double").alias("__my"))
+    keys = [*by, "__fold"]
+    key_fields = [rows.schema[k] for k in keys]
+    schema = T.StructType([*key_fields, T.StructField("__flat", T.ArrayType(T.DoubleType()))])
+    partial = rows.mapInPandas(_partial_gram(keys, p), schema)
+    width = 3 + 2 * p + p * p
+    summed = (partial.select(*[qcol(k) for k in keys], F.posexplode("__flat").alias("__i", "__v"))
+              .groupBy(*[qcol(k) for k in keys], "__i").agg(F.sum("__v").alias("__v"))
+              .groupBy(*[qcol(k) for k in keys])
+              .agg(F.sort_array(F.collect_list(F.struct("__i", "__v"))).alias("__kv")))
+    flat = F.col("__kv.__v")
+    out = summed.select(*[qcol(k) for k in keys], F.col("__kv").alias("__kv")).withColumn("__f", flat)
+    out = out.select(*[qcol(k) for k in keys],
+                     F.col("__f")[0].cast("long").alias("n"), F.col("__f")[1].alias("sy"), F.col("__f")[2].alias("syy"),
+                     F.slice("__f", 4, p).alias("sz"), F.slice("__f", 4 + p, p).alias("szy"),
+                     F.slice("__f", 4 + 2 * p, p * p).alias("szz"))
+    del width
+    if by:
+        out = out.join(centre, on=list(by), how="inner")
     else:
-        row = centre.first()
-        consts = {f"__m{i}": row[f"__m{i}"] for i in range(p)}
-        consts.update({f"__s{i}": row[f"__s{i}"] for i in range(p)})
-        consts["__my"] = row["__my"]
-        joined = complete.withColumns({k: F.lit(v).cast("double") for k, v in consts.items()})
-    z = [F.when(F.col(f"__s{i}") > 0, (qcol(f) - F.col(f"__m{i}")) / F.col(f"__s{i}")).otherwise(F.lit(0.0))
-         for i, f in enumerate(features)]
-    zcols = {f"__z{i}": z[i] for i in range(p)}
-    zcols["__yc"] = qcol(label) - F.col("__my")
-    zz = joined.withColumns(zcols)
-    keys = [*_group_cols(by), (qcol(fold_col) if fold_col else F.lit(-1)).alias("__fold")]
-    keep_first = [F.first(F.col(f"__m{i}")).alias(f"__m{i}") for i in range(p)] + \
-                 [F.first(F.col(f"__s{i}")).alias(f"__s{i}") for i in range(p)] + [F.first("__my").alias("my")]
-    sums = [F.count(F.lit(1)).alias("n"), F.sum("__yc").alias("sy"), F.sum(F.col("__yc") * F.col("__yc")).alias("syy")]
-    sums += [F.sum(F.col(f"__z{i}")).alias(f"__sz{i}") for i in range(p)]
-    sums += [F.sum(F.col(f"__z{i}") * F.col("__yc")).alias(f"__szy{i}") for i in range(p)]
-    sums += [F.sum(F.col(f"__z{i}") * F.col(f"__z{j}")).alias(f"__szz{i}_{j}") for i in range(p) for j in range(i, p)]
-    agg = zz.groupBy(*keys).agg(*keep_first, *sums)
-    flat = [F.col(f"__szz{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]
-    return agg.select(*_group_cols(by), "__fold", "n",
-                      F.array(*[F.col(f"__m{i}") for i in range(p)]).alias("mx"),
-                      F.array(*[F.coalesce(F.col(f"__s{i}"), F.lit(0.0)) for i in range(p)]).alias("sx"),
-                      "my", F.array(*[F.col(f"__sz{i}") for i in range(p)]).alias("sz"),
-                      F.array(*flat).alias("szz"), "sy",
-                      F.array(*[F.col(f"__szy{i}") for i in range(p)]).alias("szy"), "syy")
+        c = centre.first()
+        out = out.select("*", F.lit(c["__m"]).cast("array<double>").alias("__m"),
+                         F.lit(c["__s"]).cast("array<double>").alias("__s"),
+                         F.lit(c["__my"]).cast("double").alias("__my"))
+    return out.select(*_group_cols(by), "__fold", "n", F.col("__m").alias("mx"), F.col("__s").alias("sx"),
+                      F.col("__my").alias("my"), "sz", "szz", "sy", "szy", "syy")
 
 
 def _solve(n, sz, szz, sy, szy, syy, mx, sx, my, rcond=1e-10):

@@ -3,11 +3,11 @@
 Spark's ``percentile`` is exact but merges a map of every distinct value of
 a group in one task, which is unbounded for a global quantile over a large
 continuous column.  Here each quantile is found by histogram bracketing: one
-aggregate per round counts values per bucket of the current bracket (at most
-``bins`` rows per target reach the driver), the bracket shrinks to the bucket
-holding the wanted rank, and once that bucket holds at most ``small`` values
-(or a single distinct value) those values are fetched and the rank read off.
-Results equal numpy's linear interpolation.
+aggregate per round counts values below the bracket and per bucket inside it
+(at most ``bins`` + 1 rows per target reach the driver), the bracket shrinks
+to the bucket holding the wanted rank, and once that bucket holds at most
+``small`` values (or a single distinct value) those values are fetched and
+the rank read off.  Results equal numpy's linear interpolation.
 """
 
 from __future__ import annotations
@@ -29,73 +29,98 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bins: int = 2048,
-                    small: int = 50_000, max_rounds: int = 12) -> dict[str, list[float | None]]:
-    """``{column: [quantile per prob]}``; NULL (None) for a column without values."""
+                    small: int = 50_000, max_rounds: int = 24, sketch_accuracy: int | None = None
+                    ) -> dict[str, list[float | None]]:
+    """``{column: [quantile per prob]}``; NULL (None) for a column without values.
+
+    Round 0 is one aggregate: count, min, max (and, with ``sketch_accuracy``,
+    a ``percentile_approx`` sketch whose neighbouring quantiles seed a narrow
+    bracket around each wanted rank — worth it when many bracketing rounds
+    would follow).  Every counting round counts the values below the bracket
+    and per bucket inside it, so the rank is always verified exactly; a
+    bracket that misses the rank falls back to [min, max].
+    """
     cols = list(cols)
     long = _long(df, cols)
     spark = df.sparkSession
-    stats = {r["c"]: r for r in long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                                          F.max("v").alias("hi")).collect()}
-    # target id -> [column index, rank, lo, hi, below, value]
-    targets: dict[int, list] = {}
+    aggs = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    if sketch_accuracy:
+        eps = 4.0 / sketch_accuracy
+        sketch_ps: list[float] = []
+        for p in probs:
+            sketch_ps += [max(0.0, p - eps), min(1.0, p + eps)]
+        arr = F.array(*[F.lit(float(x)) for x in sketch_ps])
+        aggs.append(F.percentile_approx("v", arr, sketch_accuracy).alias("sk"))
+    stats = {r["c"]: r for r in long.groupBy("c").agg(*aggs).collect()}
+    # target id -> dict(c=column index, r=rank, a, b=bracket, value, below)
+    targets: dict[int, dict] = {}
     plan: dict[tuple[int, float], tuple[int, int, float]] = {}
     for ci in range(len(cols)):
         st = stats.get(ci)
         if st is None:
             continue
-        for p in probs:
+        for pi, p in enumerate(probs):
             pos = p * (st["n"] - 1)
             r_lo, r_hi = math.floor(pos), math.ceil(pos)
             ids = []
             for r in (r_lo, r_hi):
-                key = next((t for t, v in targets.items() if v[0] == ci and v[1] == r), None)
+                key = next((t for t, v in targets.items() if v["c"] == ci and v["r"] == r), None)
                 if key is None:
                     key = len(targets)
-                    targets[key] = [ci, r, st["lo"], st["hi"], 0, None]
+                    a, b = (st["sk"][2 * pi], st["sk"][2 * pi + 1]) if sketch_accuracy else (st["lo"], st["hi"])
+                    targets[key] = {"c": ci, "r": r, "a": min(a, b), "b": max(a, b), "value": None, "below": 0}
                 ids.append(key)
             plan[(ci, p)] = (ids[0], ids[1], pos - r_lo)
-    for t in targets.values():
-        if t[2] == t[3]:
-            t[5] = t[2]
     bracket_schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("c", T.IntegerType()),
                                    T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+
+    def bracket(keys):
+        return spark.createDataFrame([(k, targets[k]["c"], float(targets[k]["a"]), float(targets[k]["b"]))
+                                      for k in keys], bracket_schema)
+
     for _ in range(max_rounds):
-        open_t = {k: v for k, v in targets.items() if v[5] is None}
+        open_t = [k for k, v in targets.items() if v["value"] is None]
         if not open_t:
             break
-        br = spark.createDataFrame([(k, v[0], float(v[2]), float(v[3])) for k, v in open_t.items()], bracket_schema)
-        inside = long.join(F.broadcast(br), on="c").filter((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b")))
-        width = F.col("b") - F.col("a")
-        bucket = F.least(F.floor((F.col("v") - F.col("a")) / width * F.lit(bins)), F.lit(bins - 1)).cast("int")
-        hist = (inside.groupBy("t", bucket.alias("k"))
+        j = long.join(F.broadcast(bracket(open_t)), on="c").filter(F.col("v") <= F.col("b"))
+        width = F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a")).otherwise(F.lit(1.0))
+        bucket = F.when(F.col("v") < F.col("a"), F.lit(-1)).otherwise(
+            F.least(F.floor((F.col("v") - F.col("a")) / width * F.lit(bins)), F.lit(bins - 1)).cast("int"))
+        hist = (j.groupBy("t", bucket.alias("k"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
         by_t: dict[int, list] = {}
         for row in hist:
             by_t.setdefault(row["t"], []).append(row)
         fetch = []
-        for k, t in open_t.items():
-            cum = t[4]
-            for row in sorted(by_t.get(k, []), key=lambda r: r["k"]):
-                if cum + row["n"] > t[1]:
+        for k in open_t:
+            t = targets[k]
+            rows = sorted(by_t.get(k, []), key=lambda r: r["k"])
+            below = sum(r["n"] for r in rows if r["k"] == -1)
+            inside = [r for r in rows if r["k"] >= 0]
+            if not below <= t["r"] < below + sum(r["n"] for r in inside):
+                st = stats[t["c"]]          # the sketch missed: search the full range
+                t["a"], t["b"] = st["lo"], st["hi"]
+                continue
+            cum = below
+            for row in inside:
+                if cum + row["n"] > t["r"]:
                     if row["lo"] == row["hi"]:
-                        t[5] = row["lo"]
+                        t["value"] = row["lo"]
                     else:
-                        t[2], t[3], t[4] = row["lo"], row["hi"], cum
+                        t["a"], t["b"], t["below"] = row["lo"], row["hi"], cum
                         if row["n"] <= small:
                             fetch.append(k)
                     break
                 cum += row["n"]
         if fetch:
-            br = spark.createDataFrame([(k, targets[k][0], float(targets[k][2]), float(targets[k][3]))
-                                        for k in fetch], bracket_schema)
-            vals = (long.join(F.broadcast(br), on="c")
+            vals = (long.join(F.broadcast(bracket(fetch)), on="c")
                     .filter((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b"))).select("t", "v").collect())
             got: dict[int, list[float]] = {}
             for row in vals:
                 got.setdefault(row["t"], []).append(row["v"])
             for k in fetch:
-                vs = sorted(got[k])
-                targets[k][5] = vs[targets[k][1] - targets[k][4]]
+                t = targets[k]
+                t["value"] = sorted(got[k])[t["r"] - t["below"]]
     out: dict[str, list[float | None]] = {}
     for ci, c in enumerate(cols):
         res = []
@@ -104,7 +129,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 res.append(None)
                 continue
             a, b, frac = plan[(ci, p)]
-            lo, hi = targets[a][5], targets[b][5]
+            lo, hi = targets[a]["value"], targets[b]["value"]
             res.append(lo + (hi - lo) * frac if frac else lo)
         out[c] = res
     return out
