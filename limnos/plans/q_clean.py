@@ -10,7 +10,7 @@ from limnos.functions import (classify, classify_detail, combine_date_time, conv
                               strip_thousands, suppression_to_null, to_day, to_number, to_ts_strict, year_key)
 from limnos.functions.calendar import MONTH_KEYS
 from limnos.functions.rules import UnitRule
-from limnos.operators.joins import join_on_keys, key_overlap, left_join_dedup, semi_join
+from limnos.operators.joins import join_on_keys, key_overlap, semi_join
 from limnos.operators.quality import (blank_to_null, drop_if_present, drop_sparse_columns, in_range,
                                       missing_report, normalize_columns, prefix_columns, range_counts,
                                       select_available, with_constant)
@@ -390,14 +390,14 @@ WHERE p.p_brand IN (SELECT p_brand FROM top) GROUP BY p.p_brand
 
 # --------------------------------------------------------- distinct counts
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A6 + A7 + A10: distinct keys, distinct rows, date range, mean."""
+    """A6 + A7 + A10: distinct keys, distinct rows, date range, mean — one aggregate."""
     o = table(spark, sf_dir, "orders")
-    pairs = o.select("o_custkey", "o_orderstatus").distinct().agg(F.count(F.lit(1)).alias("distinct_pairs"))
-    stats = o.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_custkey").alias("distinct_customers"),
+    return o.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_custkey").alias("distinct_customers"),
                   iso_date(F.min(to_day("o_orderdate"))).alias("first_day"),
                   iso_date(F.max(to_day("o_orderdate"))).alias("last_day"),
-                  r6(F.avg("o_totalprice"), 4).alias("mean_price"))
-    return stats.join(pairs, how="inner")
+                  r6(F.avg("o_totalprice"), 4).alias("mean_price"),
+                  # DISTINCT-row semantics: a struct with NULL fields is itself non-NULL.
+                  F.count_distinct(F.struct("o_custkey", "o_orderstatus")).alias("distinct_pairs"))
 
 
 register("distinct_counts", sql="""
@@ -462,16 +462,17 @@ FROM src WHERE ts IS NOT NULL GROUP BY user_id
 
 # ---------------------------------------------------------- null-safe join
 def null_safe_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2 + J4: deduplicated right side joined with SQL and with pandas
-    (NULL matches NULL) key semantics."""
+    """J2 + J4: right side deduplicated once, then joined with SQL and with
+    pandas (NULL matches NULL) key semantics in one chain."""
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, F.lit(None)).otherwise(F.col("o_custkey")).alias("k"))
     c = table(spark, sf_dir, "customer").select(
         F.when(F.col("c_custkey") % 10 == 0, F.lit(None)).otherwise(F.col("c_custkey")).alias("ck"), "c_name")
-    sql_sem = left_join_dedup(o, c, ["k"], ["ck"], order=["c_name"]).withColumnRenamed("c_name", "c_name_sql")
-    ns = left_join_dedup(o, c, ["k"], ["ck"], order=["c_name"], null_safe=True) \
-        .select("o_orderkey", F.col("c_name").alias("c_name_ns"))
-    return sql_sem.join(ns, on="o_orderkey", how="inner").withColumn("k", F.col("k").cast("double"))
+    first = dedup_first(c, ["ck"], ["c_name"])
+    sql_sem = join_on_keys(o, first.withColumnRenamed("c_name", "c_name_sql"), ["k"], ["ck"], how="left")
+    both = join_on_keys(sql_sem, first.withColumnRenamed("c_name", "c_name_ns"), ["k"], ["ck"], how="left",
+                        null_safe=True)
+    return both.withColumn("k", F.col("k").cast("double"))
 
 
 register("null_safe_join", sql="""
