@@ -124,7 +124,8 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_lat: str, left_lon:
         span = max(max(stats["a1"], lstats["a1"]) - min(stats["a0"], lstats["a0"]),
                    max(stats["b1"], lstats["b1"]) - min(stats["b0"], lstats["b0"]))
         area = max((stats["a1"] - stats["a0"]) * (stats["b1"] - stats["b0"]), 0.0)
-        d = start_cell or (math.sqrt(area / stats["n"]) if area > 0 else max(span, 1e-6) / max(stats["n"], 1))
+        # First cell edge ~ the spacing that holds k right points on average.
+        d = start_cell or (math.sqrt(k * area / stats["n"]) if area > 0 else max(span, 1e-6) / max(stats["n"], 1))
         d = max(d, 1e-9)
         full = 2.0 if metric == "haversine" else span
         if metric == "haversine" and start_cell is None:
