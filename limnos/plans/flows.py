@@ -25,7 +25,8 @@ from limnos.operators.learners import DEFAULT_TARGETS, TargetSpec, predict, trai
 from limnos.operators.quality import (blank_to_null, drop_null_rows, drop_sparse_columns,
                                       fill_constants, normalize_columns, prefix_columns, select_available,
                                       select_required, with_constant)
-from limnos.operators.regression import coefficient_table, fit_ols, hash_split, predict_linear, regression_metrics
+from limnos.operators.regression import (coefficient_table, eligible_targets, fit_ols, hash_split, predict_linear,
+                                         regression_metrics)
 from limnos.operators.reshape import keep_top_categories, latest_per_entity, pivot_first, pivot_value_unit
 from limnos.operators.spatial import nearest_join
 from limnos.operators.timeline import calendar_window, score_calendar, score_dates, score_entities
@@ -147,15 +148,18 @@ def train_models(table: DataFrame, specs, targets: Sequence[TargetSpec] = DEFAUL
     return train_all(table, targets, specs, FEATURE_COLS, key_cols=key_cols, folds=folds, model_dir=model_dir)
 
 
-def train_ols_long(long: DataFrame, targets: Sequence[str], min_samples: int = 100, test_size: float = 0.2,
-                   seed: int = 42, key_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """The OLS path on the long table: one grouped fit for all targets, holdout
-    metrics (7 columns) and the coefficient table (intercept first)."""
+def train_ols_long(long: DataFrame, targets: Sequence[str] | None = None, min_samples: int = 100,
+                   top_n: int = 5, test_size: float = 0.2, seed: int = 42, key_cols: Sequence[str] = ()
+                   ) -> tuple[DataFrame, DataFrame]:
+    """The OLS path on the long table: targets chosen by complete-row count
+    (M1: an explicit list keeps its order, else the ``top_n`` largest), one
+    grouped fit for all of them, holdout metrics (7 columns) and the
+    coefficient table (intercept first)."""
     need = [*OLS_PREDICTORS, "ResultMeasureValue"]
-    data = drop_null_rows(long.filter(F.col("CharacteristicName").isin(list(targets))), need)
-    counts = data.groupBy("CharacteristicName").agg(F.count(F.lit(1)).alias("sample_count")) \
-        .filter(F.col("sample_count") >= min_samples)
-    data = data.join(counts.select("CharacteristicName"), on="CharacteristicName", how="left_semi")
+    chosen = eligible_targets(long, "CharacteristicName", need, min_samples, top_n=top_n, explicit=targets)
+    data = drop_null_rows(long, need).join(
+        F.broadcast(chosen.select(F.col("target").alias("CharacteristicName"))),  # at most top_n / len(targets) rows
+        on="CharacteristicName", how="left_semi")
     split = hash_split(data, list(key_cols) or need, test_size, seed)
     fit = fit_ols(split.filter(~F.col("is_test")), list(OLS_PREDICTORS), "ResultMeasureValue",
                   by=["CharacteristicName"])
