@@ -222,15 +222,27 @@ def best_per_group(df: DataFrame, by: Sequence[str], score: str, rank_cols: Sequ
     return df.withColumn(flag, F.row_number().over(w) == 1)
 
 
-def bounded_sample(df: DataFrame, key_cols: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+def bounded_sample(df: DataFrame, key_cols: Sequence[str], n: int, seed: int = 0, oversample: float = 4.0
+                   ) -> DataFrame:
     """At most ``n`` rows chosen by a seeded hash of the key.
 
-    Deterministic under any partitioning (``sample`` is not); implemented
-    as top-n by ``md5(key || seed)``, a per-task top-n then a merge of
-    ``n`` rows per task.
+    Deterministic under any partitioning (``sample`` is not): the rows with
+    the ``n`` smallest ``md5(key || seed)``.  Rows are first cut to those
+    whose 32-bit hash prefix lies under a threshold expected to keep about
+    ``oversample * n`` rows — the cut keeps exactly the smallest hashes, so
+    the top ``n`` are unchanged — and only that remainder is ordered; if the
+    cut keeps fewer than ``n`` rows, all rows are ordered instead.
     """
     h = F.md5(F.concat_ws("\u0001", *[qcol(k).cast("string") for k in key_cols], F.lit(str(seed))))
-    return df.withColumn("__h", h).orderBy("__h", *_cols(key_cols)).limit(n).drop("__h")
+    hashed = df.withColumn("__h", h)
+    total = df.count()
+    if total > n:
+        cut = min(2 ** 32, int(oversample * n / total * 2 ** 32) + 1)
+        prefix = F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint")
+        kept = hashed.filter(prefix < F.lit(cut))
+        if kept.count() >= n:
+            hashed = kept
+    return hashed.orderBy("__h", *_cols(key_cols)).limit(n).drop("__h")
 
 
 def preview(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:

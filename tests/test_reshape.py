@@ -87,3 +87,12 @@ def test_key_overlap_and_dates(spark):
     assert (r.left_keys, r.right_keys, r.both_keys, r.left_only_keys, r.right_only_keys) == (3, 3, 2, 1, 1)
     d = with_dates(spark.createDataFrame([(1,)], "e int"), "2023-12-30", "2024-01-02")
     assert [r.date for r in d.orderBy("date").collect()] == [dt.date(2023, 12, 30) + dt.timedelta(i) for i in range(4)]
+
+
+def test_bounded_sample_equals_smallest_hashes(spark):
+    import hashlib
+
+    big = spark.range(20000).withColumnRenamed("id", "cell_id")
+    got = [r.cell_id for r in bounded_sample(big, ["cell_id"], 25, 0).collect()]
+    want = sorted(range(20000), key=lambda i: (hashlib.md5(f"{i}\u00010".encode()).hexdigest(), i))[:25]
+    assert got == want
