@@ -107,3 +107,11 @@ def test_nearest_label_first_listed_wins(spark):
                          place_name="name", place_order="ord").first()
     assert none.nearest_place == "Iowa"
     assert EARTH_RADIUS_KM == 6371.0 and np.isfinite(EARTH_RADIUS_KM)
+
+
+def test_planar_and_great_circle_disagree_at_42n(spark):
+    # East neighbour: 0.9 deg of longitude (~0.67 deg of arc at 42N); north neighbour: 0.8 deg of latitude.
+    l_df, r_df = _frames(spark, [(1, 42.0, -93.0)], [(10, 42.0, -92.1), (11, 42.8, -93.0)])
+    kw = dict(left_lat="lat", left_lon="lon", right_lat="rlat", right_lon="rlon", right_cols=["rid"], tie="rid")
+    assert nearest_join(l_df, r_df, metric="planar_rad", **kw).first().rid == 11
+    assert nearest_join(l_df, r_df, metric="haversine", **kw).first().rid == 10

@@ -103,3 +103,13 @@ def test_gram_rows_shape(spark):
     df, _ = _groups(spark)
     g = gram_rows(df, ["x0", "x1"], "y", by=["g"]).collect()
     assert len(g) == 3 and all(len(r.szz) == 4 for r in g)
+
+
+def test_fewer_rows_than_features_stays_finite(spark):
+    rows = [(float(i), float(i * i), float(i % 2), float(3 - i), 1.0 + i) for i in range(3)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, y double")
+    fit = fit_ols(df, ["a", "b", "c", "d"], "y").first()
+    assert all(np.isfinite(fit.coefficients)) and np.isfinite(fit.intercept)
+    pred = [r.prediction for r in predict_linear(df, fit_ols(df, ["a", "b", "c", "d"], "y"),
+                                                 ["a", "b", "c", "d"]).orderBy("a").collect()]
+    assert np.allclose(pred, [1.0, 2.0, 3.0], atol=1e-8)          # interpolates the training rows
