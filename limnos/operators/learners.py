@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from limnos.operators.features import DERIVED_COLS, FEATURE_COLS, derived_feature_sql, fit_median_imputer
 from limnos.operators.quality import filter_range
-from limnos.operators.regression import fit_ols, hash_bucket, hash_folds, regression_metrics
+from limnos.operators.regression import exact_split, fit_ols, hash_bucket, hash_folds, regression_metrics
 from limnos.session import qcol
 
 
@@ -199,7 +199,8 @@ def cross_validate(df: DataFrame, spec: ModelSpec, features: Sequence[str], labe
 def train_all(df: DataFrame, targets: Sequence[TargetSpec], specs: Sequence[ModelSpec] | Mapping[str, Sequence[ModelSpec]],
               features: Sequence[str] = FEATURE_COLS, key_cols: Sequence[str] = (), folds: int = 5,
               test_fraction: float = 0.2, seed: int = 42, min_samples: int = MIN_SAMPLES,
-              model_dir: str | None = None) -> tuple[DataFrame, dict[tuple[str, str], PipelineModel]]:
+              model_dir: str | None = None, exact_sizes: bool = True
+              ) -> tuple[DataFrame, dict[tuple[str, str], PipelineModel]]:
     """M11 + M12: per target and family — range filter, gate, hash split,
     CV, fit, holdout metrics, best flag; optionally persist the models.
 
@@ -214,7 +215,10 @@ def train_all(df: DataFrame, targets: Sequence[TargetSpec], specs: Sequence[Mode
                           F.count_if(qcol(t.column).between(*t.valid_range)).alias("used")).first()
         if counts["used"] < min_samples:
             continue
-        split = kept.withColumn("__test", hash_bucket(key_cols, seed) < F.lit(int(round(test_fraction * 10_000))))
+        if exact_sizes:    # test = ceil(fraction * n) exactly, as the reference's splitter
+            split = exact_split(kept, key_cols, test_fraction=test_fraction, seed=seed, rule="sklearn", col="__test")
+        else:
+            split = kept.withColumn("__test", hash_bucket(key_cols, seed) < F.lit(int(round(test_fraction * 10_000))))
         train = split.filter(~F.col("__test")).drop("__test").cache()
         test = split.filter(F.col("__test")).drop("__test")
         n_train, n_test = train.count(), test.count()

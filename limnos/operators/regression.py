@@ -333,3 +333,86 @@ def metric_lookup(metrics: DataFrame, target: str, model: str, target_col: str =
 def union_results(frames: Sequence[DataFrame]) -> DataFrame:
     """Stack per-target result frames."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+# ----------------------------------------------------------- exact splits
+_HASH_BITS = 60
+_STEP_BITS = 11
+
+
+def _test_size(n: int, test_fraction: float, rule: str) -> int:
+    if rule == "sklearn":                      # test = ceil(fraction * n)
+        return min(n, int(-(-test_fraction * n // 1)))
+    train = max(1, int((1.0 - test_fraction) * n))   # OLS script: train = max(1, floor(0.8 n)) ...
+    test = n - train
+    return 1 if test == 0 and n > 0 else test        # ... and the test side is never empty
+
+
+def exact_split(df: DataFrame, key_cols: Sequence[str], by: Sequence[str] = (), test_fraction: float = 0.2,
+                seed: int = 42, rule: str = "sklearn", col: str = "is_test", bins_bits: int = _STEP_BITS,
+                small: int = 50_000) -> DataFrame:
+    """M2 ``exact=True``: per group exactly the reference's test size, chosen as
+    the rows with the smallest ``(hash(key, seed), key)``.
+
+    The cut point is found per group by bracketing on a 60-bit hash prefix
+    (one bounded aggregate per 11 bits, at most ``2^bins_bits`` rows per group
+    to the driver); only the rows of the final small bucket are fetched to
+    break the tie exactly.  No group is ever sorted in one task.  Groups are
+    few (targets): one row per group reaches the driver.
+    """
+    key_txt = F.concat_ws("\u0001", *[qcol(c).cast("string") for c in key_cols])
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", key_txt, F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+    gid = F.to_json(F.struct(*[qcol(b) for b in by])) if by else F.lit("")
+    data = df.withColumns({"__h": h, "__k": key_txt, "__g": gid})
+    counts = {r["__g"]: r["n"] for r in data.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # per group: [rank wanted (0-based, last test row), prefix, bits fixed, rows below prefix, cut]
+    state = {g: [_test_size(n, test_fraction, rule) - 1, 0, 0, 0, None] for g, n in counts.items()}
+    spark = df.sparkSession
+    schema = "__bg string, __bp long, __bl int"
+    while True:
+        todo = {g: s for g, s in state.items() if s[4] is None and s[0] >= 0}
+        if not todo:
+            break
+        br = F.broadcast(spark.createDataFrame([(g, s[1], s[2]) for g, s in todo.items()], schema))
+        j = data.join(br, data["__g"] == br["__bg"])
+        hi = f"({_HASH_BITS} - __bl)"
+        step = f"least({bins_bits}, {hi})"
+        prefix = F.expr(f"CASE WHEN __bl = 0 THEN 0L ELSE shiftright(__h, {hi}) END")
+        bucket = F.when(prefix < F.col("__bp"), F.lit(-1)).otherwise(
+            F.expr(f"shiftright(__h, {hi} - {step}) & (shiftleft(1L, {step}) - 1)"))
+        hist = (j.filter(prefix <= F.col("__bp")).groupBy("__bg", bucket.alias("b"))
+                .agg(F.count(F.lit(1)).alias("n")).collect())
+        by_g: dict[str, list] = {}
+        for row in hist:
+            by_g.setdefault(row["__bg"], []).append(row)
+        fetch = []
+        for g, s in todo.items():
+            rows = sorted(by_g.get(g, []), key=lambda r: r["b"])
+            cum = sum(r["n"] for r in rows if r["b"] == -1)
+            step_bits = min(bins_bits, _HASH_BITS - s[2])
+            for r in rows:
+                if r["b"] < 0:
+                    continue
+                if cum + r["n"] > s[0]:
+                    s[1], s[2], s[3] = (s[1] << step_bits) | r["b"], s[2] + step_bits, cum
+                    if r["n"] <= small or s[2] >= _HASH_BITS:
+                        fetch.append(g)
+                    break
+                cum += r["n"]
+        if fetch:
+            br = spark.createDataFrame([(g, state[g][1], state[g][2]) for g in fetch], schema)
+            sel = data.join(F.broadcast(br), data["__g"] == br["__bg"]).filter(
+                F.expr(f"CASE WHEN __bl = 0 THEN 0L ELSE shiftright(__h, {_HASH_BITS} - __bl) END") == F.col("__bp")
+            ).select("__bg", "__h", "__k").collect()
+            got: dict[str, list] = {}
+            for row in sel:
+                got.setdefault(row["__bg"], []).append((row["__h"], row["__k"]))
+            for g in fetch:
+                s = state[g]
+                s[4] = sorted(got[g])[s[0] - s[3]]
+    cuts = [(g, s[4][0], s[4][1]) if s[4] else (g, None, None) for g, s in state.items()]
+    cut_df = F.broadcast(spark.createDataFrame(cuts, "__g string, __ch long, __ck string"))
+    marked = data.join(cut_df, on="__g", how="left")
+    is_test = F.coalesce(F.struct("__h", "__k") <= F.struct("__ch", "__ck"), F.lit(False)) \
+        & F.col("__ch").isNotNull()
+    return marked.withColumn(col, is_test).drop("__h", "__k", "__g", "__ch", "__ck")

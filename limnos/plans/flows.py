@@ -25,7 +25,7 @@ from limnos.operators.learners import DEFAULT_TARGETS, TargetSpec, predict, trai
 from limnos.operators.quality import (blank_to_null, drop_null_rows, drop_sparse_columns,
                                       fill_constants, normalize_columns, prefix_columns, select_available,
                                       select_required, with_constant)
-from limnos.operators.regression import (coefficient_table, eligible_targets, fit_ols, hash_split, predict_linear,
+from limnos.operators.regression import (coefficient_table, eligible_targets, exact_split, fit_ols, predict_linear,
                                          regression_metrics)
 from limnos.operators.reshape import keep_top_categories, latest_per_entity, pivot_first, pivot_value_unit
 from limnos.operators.spatial import nearest_join
@@ -160,7 +160,8 @@ def train_ols_long(long: DataFrame, targets: Sequence[str] | None = None, min_sa
     data = drop_null_rows(long, need).join(
         F.broadcast(chosen.select(F.col("target").alias("CharacteristicName"))),  # at most top_n / len(targets) rows
         on="CharacteristicName", how="left_semi")
-    split = hash_split(data, list(key_cols) or need, test_size, seed)
+    split = exact_split(data, list(key_cols) or need, by=["CharacteristicName"], test_fraction=test_size, seed=seed,
+                        rule="ols")
     fit = fit_ols(split.filter(~F.col("is_test")), list(OLS_PREDICTORS), "ResultMeasureValue",
                   by=["CharacteristicName"])
     scored = predict_linear(split.filter(F.col("is_test")), fit, list(OLS_PREDICTORS), by=["CharacteristicName"])

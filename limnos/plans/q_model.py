@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.operators.features import DERIVED_COLS, add_derived_features, scoring_matrix, standardise
-from limnos.operators.regression import (coefficient_table, cv_ols, eligible_targets, fit_ols, gram_rows,
+from limnos.operators.regression import (coefficient_table, cv_ols, eligible_targets, exact_split, fit_ols, gram_rows,
                                          hash_folds, hash_split, metric_lookup, regression_metrics)
 from limnos.operators.reshape import best_per_group
 from limnos.plans.registry import pseudo_lat, pseudo_lon, r6, register, sql_lat, sql_lon
@@ -140,6 +140,26 @@ FROM orders GROUP BY 1
 """)(fold_sizes)
 
 
+def exact_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 exact: per order status exactly ceil(0.2 n) test rows, chosen by (hash, key)."""
+    s = exact_split(table(spark, sf_dir, "orders"), ["o_orderkey"], by=["o_orderstatus"], test_fraction=0.2, seed=42)
+    return s.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("is_test").alias("n_test"),
+        F.sum(F.when(F.col("is_test"), F.col("o_orderkey"))).alias("test_key_sum"))
+
+
+register("exact_split_sizes", sql="""
+WITH h AS (SELECT o_orderstatus, o_orderkey, CAST(o_orderkey AS VARCHAR) AS k,
+                  ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 15))::BIGINT AS hv FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY hv, k) AS rn,
+                count(*) OVER (PARTITION BY o_orderstatus) AS n FROM h)
+SELECT o_orderstatus, count(*) AS n_rows,
+       count(*) FILTER (WHERE rn <= ceil(CAST(0.2 AS DOUBLE) * n)) AS n_test,
+       CAST(sum(o_orderkey) FILTER (WHERE rn <= ceil(CAST(0.2 AS DOUBLE) * n)) AS BIGINT) AS test_key_sum
+FROM r GROUP BY o_orderstatus
+""")(exact_split_sizes)
+
+
 # -------------------------------------------------------------------- OLS
 _OLS_X = ["l_quantity", "l_discount", "l_tax"]
 

@@ -113,3 +113,21 @@ def test_fewer_rows_than_features_stays_finite(spark):
     pred = [r.prediction for r in predict_linear(df, fit_ols(df, ["a", "b", "c", "d"], "y"),
                                                  ["a", "b", "c", "d"]).orderBy("a").collect()]
     assert np.allclose(pred, [1.0, 2.0, 3.0], atol=1e-8)          # interpolates the training rows
+
+
+@pytest.mark.parametrize("rule", ["sklearn", "ols"])
+def test_exact_split_sizes(spark, rule):
+    from limnos.operators.regression import exact_split
+
+    sizes = {"a": 1, "b": 5, "c": 10, "d": 1003}
+    data = [(g, i) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(data, "g string, i int")
+    out = exact_split(df, ["i"], by=["g"], rule=rule, small=7, bins_bits=3)   # force several rounds
+    got = {r.g: r.n for r in out.filter("is_test").groupBy("g").count().withColumnRenamed("count", "n").collect()}
+    import math
+    for g, n in sizes.items():
+        want = math.ceil(0.2 * n) if rule == "sklearn" else (n - max(1, int(0.8 * n))) or 1
+        assert got.get(g, 0) == want, (g, n)
+    again = exact_split(df.repartition(7), ["i"], by=["g"], rule=rule, small=7, bins_bits=3)
+    assert sorted((r.g, r.i) for r in out.filter("is_test").collect()) == \
+        sorted((r.g, r.i) for r in again.filter("is_test").collect())
