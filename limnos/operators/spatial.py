@@ -115,10 +115,14 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_lat: str, left_lon:
             .select(qcol(left_lat).alias(_LAT), qcol(left_lon).alias(_LON)).distinct()).cache()
     cached = [rp, locs]
 
-    stats = rp.agg(F.count(F.lit(1)).alias("n"), F.min(_RLAT).alias("a0"), F.max(_RLAT).alias("a1"),
-                   F.min(_RLON).alias("b0"), F.max(_RLON).alias("b1")).first()
-    lstats = locs.agg(F.min(_LAT).alias("a0"), F.max(_LAT).alias("a1"),
-                      F.min(_LON).alias("b0"), F.max(_LON).alias("b1")).first()
+    # One job for both sides' extents (it also fills both caches).
+    both = (rp.select(F.lit("r").alias("side"), F.col(_RLAT).alias("a"), F.col(_RLON).alias("b"))
+            .unionByName(locs.select(F.lit("l").alias("side"), F.col(_LAT).alias("a"), F.col(_LON).alias("b"))))
+    ext = {r["side"]: r for r in both.groupBy("side").agg(
+        F.count(F.lit(1)).alias("n"), F.min("a").alias("a0"), F.max("a").alias("a1"),
+        F.min("b").alias("b0"), F.max("b").alias("b1")).collect()}
+    empty = {"n": 0, "a0": None, "a1": None, "b0": None, "b1": None}
+    stats, lstats = ext.get("r", empty), ext.get("l", empty)
     pieces: list[DataFrame] = []
     if stats["n"] and lstats["a0"] is not None:
         span = max(max(stats["a1"], lstats["a1"]) - min(stats["a0"], lstats["a0"]),
