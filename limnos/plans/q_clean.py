@@ -11,7 +11,7 @@ from limnos.functions import (classify, classify_detail, combine_date_time, conv
 from limnos.functions.calendar import MONTH_KEYS
 from limnos.functions.rules import UnitRule
 from limnos.operators.joins import join_on_keys, key_overlap, semi_join
-from limnos.operators.quality import (blank_to_null, drop_if_present, drop_sparse_columns, in_range,
+from limnos.operators.quality import (blank_to_null, drop_if_present, drop_sparse_columns,
                                       missing_report, normalize_columns, prefix_columns, range_counts,
                                       select_available, with_constant)
 from limnos.operators.reshape import (dataset_summary, dedup_first, describe_numeric, keep_top_categories,
@@ -556,4 +556,3 @@ SELECT o_orderkey, o_custkey, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VA
 FROM orders ORDER BY o_orderkey LIMIT 10
 """)(preview_query)
 
-_unused = (in_range,)
