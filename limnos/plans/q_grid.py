@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.operators.grid import enrich_points, hull_mask, interpolate_idw, make_grid, render_table
-from limnos.operators.timeline import calendar_window, score_calendar, score_dates, score_entities
+from limnos.operators.timeline import calendar_summary, calendar_window, score_calendar, score_dates, score_entities
 from limnos.plans.registry import iso_date, pseudo_lat, pseudo_lon, r6, register, sql_lat, sql_lon
 from limnos.session import table
 
@@ -105,6 +105,25 @@ FROM c, b
 """)(score_calendar_query)
 
 
+def calendar_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current value, mean, peak and range of the past days in the calendar window."""
+    daily = score_dates(_snapshot(spark, sf_dir), linear_scorer, _calendar_dates(), SCORE_FEATURES)
+    s = calendar_summary(score_calendar(daily, CAL_END), CAL_END)
+    return s.select(*[r6(c).alias(c) for c in ("current_value", "window_mean", "peak_value", "window_low")],
+                    "days", iso_date("end_date").alias("end_date"))
+
+
+register("calendar_summary", sql=f"""
+WITH {_SNAP_SQL},
+d AS (SELECT CAST(x AS DATE) AS date FROM generate_series(TIMESTAMP '2023-10-15', TIMESTAMP '{CAL_END}',
+                                                       INTERVAL 1 DAY) t(x)),
+m AS (SELECT date, avg({_pred_sql('CAST(dayofyear(date) AS DOUBLE)')}) AS v FROM d CROSS JOIN f GROUP BY date)
+SELECT round(arg_max(v, date), 6) AS current_value, round(avg(v), 6) AS window_mean, round(max(v), 6) AS peak_value,
+       round(min(v), 6) AS window_low, count(*) AS days, '{CAL_END}' AS end_date
+FROM m
+""")(calendar_summary_query)
+
+
 # ------------------------------------------------------------------ grids
 def _stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
