@@ -11,10 +11,11 @@ from limnos.functions import (classify, classify_detail, combine_date_time, conv
 from limnos.functions.calendar import MONTH_KEYS
 from limnos.functions.rules import UnitRule
 from limnos.operators.joins import join_on_keys, key_overlap, semi_join
-from limnos.operators.quality import (blank_to_null, drop_if_present, drop_sparse_columns,
+from limnos.operators.quality import (blank_to_null, drop_if_present, drop_sparse_columns, keep_in,
                                       missing_report, normalize_columns, prefix_columns, range_counts,
                                       select_available, with_constant)
-from limnos.operators.reshape import (dataset_summary, dedup_first, describe_numeric, keep_top_categories,
+from limnos.operators.reshape import (dataset_summary, dedup_first, describe_numeric, distinct_count,
+                                      keep_top_categories,
                                       latest_per_entity, pivot_first, preview, top_categories, value_counts)
 from limnos.plans.registry import iso_date, iso_ts, pseudo_lat, pseudo_lon, r6, register, sql_lat, sql_lon
 from limnos.session import scratch_path, table
@@ -340,13 +341,13 @@ FROM s
 def range_filter_counts(spark: SparkSession, sf_dir: str, min_rows: int = 15_000) -> DataFrame:
     """F2 + F4 + F5 + J14: per target (return flag) rows before and after its
     physical-range filter, and whether the target passes the row gate."""
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus").isin("O", "F"))
+    li = keep_in(table(spark, sf_dir, "lineitem"), "l_linestatus", ["O", "F"])
     flag = F.col("l_returnflag")
     lo = F.when(flag == "A", 5.0).when(flag == "N", 0.0).otherwise(10.0)
     hi = F.when(flag == "A", 45.0).when(flag == "N", 30.0).otherwise(50.0)
     counts = range_counts(li, "l_quantity", lo, hi, by=["l_returnflag"])
     return counts.select(F.col("l_returnflag").alias("target"), "rows_before_filter", "rows_used",
-                         (F.col("rows_used") >= F.lit(min_rows * 1.0) * 1).alias("passes_gate"))
+                         (F.col("rows_used") >= F.lit(min_rows)).alias("passes_gate"))
 
 
 register("range_filter_counts", sql="""
@@ -392,7 +393,7 @@ WHERE p.p_brand IN (SELECT p_brand FROM top) GROUP BY p.p_brand
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6 + A7 + A10: distinct keys, distinct rows, date range, mean — one aggregate."""
     o = table(spark, sf_dir, "orders")
-    return o.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_custkey").alias("distinct_customers"),
+    return o.agg(F.count(F.lit(1)).alias("n_rows"), distinct_count("o_custkey").alias("distinct_customers"),
                   iso_date(F.min(to_day("o_orderdate"))).alias("first_day"),
                   iso_date(F.max(to_day("o_orderdate"))).alias("last_day"),
                   r6(F.avg("o_totalprice"), 4).alias("mean_price"),
