@@ -12,7 +12,7 @@ from limnos.functions.calendar import MONTH_KEYS
 from limnos.functions.rules import UnitRule
 from limnos.operators.joins import join_on_keys, key_overlap, semi_join
 from limnos.operators.quality import (blank_to_null, drop_if_present, drop_sparse_columns, keep_in,
-                                      missing_report, normalize_columns, prefix_columns, range_counts,
+                                      missing_report, normalize_columns, prefix_columns, profile, range_counts,
                                       select_available, with_constant)
 from limnos.operators.reshape import (dataset_summary, dedup_first, describe_numeric, distinct_count,
                                       keep_top_categories,
@@ -190,6 +190,20 @@ register("missing_report", sql="\nUNION ALL\n".join(
     f"FROM customer" for i, (name, expr) in enumerate(_MR_COLS)))(missing_report_query)
 
 
+def profile_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per column of the planted customer table: type, non-null and null counts."""
+    return profile(_planted_customer(spark, sf_dir))
+
+
+_PROFILE_TYPES = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double",
+                  "c_mktsegment": "string", "fill_5": "double", "fill_20": "int", "fill_50": "string",
+                  "helper": "string"}
+register("profile_customer", sql="\nUNION ALL\n".join(
+    f"SELECT '{name}' AS column_name, {i} AS position, '{_PROFILE_TYPES[name]}' AS data_type, "
+    f"count({expr}) AS non_null, count(*) - count({expr}) AS null_count, count(*) AS rows FROM customer"
+    for i, (name, expr) in enumerate(_MR_COLS)))(profile_customer)
+
+
 # ---------------------------------------------------------------- describe
 _DESC_COLS = ("l_quantity", "l_extendedprice", "l_discount")
 
