@@ -86,9 +86,13 @@ def attach_map(df: DataFrame, mapping: DataFrame, keys: Sequence[str], one_per_i
 
 def semi_join(df: DataFrame, other: DataFrame, keys: Sequence[str], other_keys: Sequence[str] | None = None,
               anti: bool = False) -> DataFrame:
-    """Keep (or, with ``anti``, drop) rows whose key occurs in ``other``."""
+    """Keep (or, with ``anti``, drop) rows whose key occurs in ``other``.
+
+    ``other`` is reduced to its distinct keys first (a partial aggregate), so
+    the join's build side is the key set, not every row of a large table.
+    """
     other_keys = list(other_keys or keys)
-    o = other.select(*[qcol(k).alias(f"__s{i}") for i, k in enumerate(other_keys)])
+    o = other.select(*[qcol(k).alias(f"__s{i}") for i, k in enumerate(other_keys)]).distinct()
     cond = reduce(lambda a, b: a & b, [df[k] == o[f"__s{i}"] for i, k in enumerate(keys)])
     return df.join(o, cond, "left_anti" if anti else "left_semi")
 

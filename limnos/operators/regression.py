@@ -100,10 +100,12 @@ def _partial_gram(keys: Sequence[str], p: int):
                 yc = part["__y"].to_numpy(float) - float(part["__my"].iloc[0])
                 cur = acc.get(key)
                 upd = [len(part), z.sum(axis=0), z.T @ z, yc.sum(), z.T @ yc, float(yc @ yc)]
-                acc[key] = upd if cur is None else [a + b for a, b in zip(cur, upd, strict=True)]
+                acc[key] = [*upd, m, s, float(part["__my"].iloc[0])] if cur is None else \
+                    [*[a + b for a, b in zip(cur[:6], upd, strict=True)], *cur[6:]]
         rows = []
-        for key, (n, sz, szz, sy, szy, syy) in acc.items():
-            flat = np.concatenate([[n, sy, syy], sz, szy, szz.ravel()])
+        for key, (n, sz, szz, sy, szy, syy, m, s, my) in acc.items():
+            # sums first, then the key's constant centre/scale (merged with max, i.e. exactly)
+            flat = np.concatenate([[n, sy, syy], sz, szy, szz.ravel(), m, s, [my]])
             rows.append({**dict(zip(keys, key, strict=True)), "__flat": flat.tolist()})
         yield pd.DataFrame(rows, columns=[*keys, "__flat"])
     return run
@@ -143,27 +145,18 @@ def gram_rows(df: DataFrame, features: Sequence[str], label: str, by: Sequence[s
     key_fields = [rows.schema[k] for k in keys]
     schema = T.StructType([*key_fields, T.StructField("__flat", T.ArrayType(T.DoubleType()))])
     partial = rows.mapInPandas(_partial_gram(keys, p), schema)
-    width = 3 + 2 * p + p * p
+    width = 3 + 2 * p + p * p          # summed entries; the rest are per-key constants
     summed = (partial.select(*[qcol(k) for k in keys], F.posexplode("__flat").alias("__i", "__v"))
-              .groupBy(*[qcol(k) for k in keys], "__i").agg(F.sum("__v").alias("__v"))
+              .groupBy(*[qcol(k) for k in keys], "__i")
+              .agg(F.when(F.col("__i") < width, F.sum("__v")).otherwise(F.max("__v")).alias("__v"))
               .groupBy(*[qcol(k) for k in keys])
               .agg(F.sort_array(F.collect_list(F.struct("__i", "__v"))).alias("__kv")))
-    flat = F.col("__kv.__v")
-    out = summed.select(*[qcol(k) for k in keys], F.col("__kv").alias("__kv")).withColumn("__f", flat)
-    out = out.select(*[qcol(k) for k in keys],
-                     F.col("__f")[0].cast("long").alias("n"), F.col("__f")[1].alias("sy"), F.col("__f")[2].alias("syy"),
-                     F.slice("__f", 4, p).alias("sz"), F.slice("__f", 4 + p, p).alias("szy"),
-                     F.slice("__f", 4 + 2 * p, p * p).alias("szz"))
-    del width
-    if by:
-        out = out.join(centre, on=list(by), how="inner")
-    else:
-        c = centre.first()
-        out = out.select("*", F.lit(c["__m"]).cast("array<double>").alias("__m"),
-                         F.lit(c["__s"]).cast("array<double>").alias("__s"),
-                         F.lit(c["__my"]).cast("double").alias("__my"))
-    return out.select(*_group_cols(by), "__fold", "n", F.col("__m").alias("mx"), F.col("__s").alias("sx"),
-                      F.col("__my").alias("my"), "sz", "szz", "sy", "szy", "syy")
+    f = F.col("__kv.__v")
+    return summed.select(
+        *[qcol(k) for k in keys], f[0].cast("long").alias("n"),
+        F.slice(f, width + 1, p).alias("mx"), F.slice(f, width + 1 + p, p).alias("sx"), f[width + 2 * p].alias("my"),
+        F.slice(f, 4, p).alias("sz"), F.slice(f, 4 + 2 * p, p * p).alias("szz"), f[1].alias("sy"),
+        F.slice(f, 4 + p, p).alias("szy"), f[2].alias("syy"))
 
 
 def _solve(n, sz, szz, sy, szy, syy, mx, sx, my, rcond=1e-10):

@@ -130,12 +130,12 @@ def merge_agriculture(df: DataFrame, ag: DataFrame, items: Sequence[str], state:
     ag = ag.withColumn("data_item", strip_suffix("data_item"))
     if "__ord" not in ag.columns:
         ag = ag.withColumn("__ord", F.monotonically_increasing_id())
-    monthly = pivot_first(ag.filter(F.col("period").isin(list(MONTH_KEYS))), ["year", "period", "state"],
-                          "data_item", "value", items, ["__ord"])
-    monthly = prefix_columns(monthly, "AG_MONTH_", ["year", "period", "state"]).withColumnRenamed("period", "month")
-    yearly = pivot_first(ag.filter(F.col("period") == YEAR_KEY), ["year", "state"], "data_item", "value", items,
-                         ["__ord"])
-    yearly = prefix_columns(yearly, "AG_YEAR_", ["year", "state"])
+    # One pivot over (year, period, state) feeds both tables (one scan, one shuffle).
+    cells = pivot_first(ag.filter(F.col("period").isin([*MONTH_KEYS, YEAR_KEY])), ["year", "period", "state"],
+                        "data_item", "value", items, ["__ord"])
+    monthly = prefix_columns(cells.filter(F.col("period") != YEAR_KEY), "AG_MONTH_", ["year", "period", "state"]) \
+        .withColumnRenamed("period", "month")
+    yearly = prefix_columns(cells.filter(F.col("period") == YEAR_KEY).drop("period"), "AG_YEAR_", ["year", "state"])
     base = with_constant(df, "state", state).withColumns({"year": year_key("day"), "month": month_abbr("day")})
     out = join_on_keys(base, yearly, ["year", "state"], how="left")
     return join_on_keys(out, monthly, ["year", "month", "state"], how="left")
