@@ -93,9 +93,11 @@ def clean_weather(raw: DataFrame) -> DataFrame:
 
 
 def clean_agriculture(raw: DataFrame) -> DataFrame:
-    df = drop_sparse_columns(blank_to_null(normalize_columns(raw, lower=True)), 0.10)
-    return df.withColumns({"value": to_number(strip_thousands(suppression_to_null("value"))),
-                           "cv_(%)": to_number(suppression_to_null("cv_(%)"))})
+    df = drop_sparse_columns(blank_to_null(normalize_columns(raw, lower=True)), 0.10, keep=["value"])
+    fixes = {"value": to_number(strip_thousands(suppression_to_null("value")))}
+    if "cv_(%)" in df.columns:    # may have been dropped as sparse
+        fixes["cv_(%)"] = to_number(suppression_to_null(qcol("cv_(%)")))
+    return df.withColumns(fixes)
 
 
 # ------------------------------------------------------------ Entry 1: merge
