@@ -104,9 +104,10 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_lat: str, left_lon:
                  max_rounds: int = 64, key_col: str | None = None) -> DataFrame:
     """Attach the ``k`` nearest right points to every left row.
 
-    Returns the left rows with ``right_cols``, ``distance_col``, (k > 1)
-    ``rank_col`` and optionally the raw ranking key as ``key_col``; ``k > 1`` yields up to ``k`` rows per left row.  Left rows
-    with NULL coordinates (or an empty right side) get NULL neighbours.
+    Returns the left rows with ``right_cols``, ``distance_col``, ``rank_col``
+    (k > 1 only) and optionally the raw ranking key as ``key_col``; ``k > 1``
+    yields up to ``k`` rows per left row.  Left rows with NULL coordinates
+    (or an empty right side) get NULL neighbours.
     """
     spark = left.sparkSession
     ensure_checkpoint_dir(spark)
@@ -169,7 +170,8 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_lat: str, left_lon:
                                         F.col("__key")).alias(distance_col),
                          *([F.col("__rank").alias(rank_col)] if k > 1 else []),
                          *([F.col("__key").alias(key_col)] if key_col else []))
-    clash = [c for c in keep + [distance_col, rank_col] if c in left.columns]
+    added = [*keep, distance_col, *([rank_col] if k > 1 else []), *([key_col] if key_col else [])]
+    clash = [c for c in added if c in left.columns]
     if clash:
         raise ValueError(f"output columns already on the left side: {clash}")
     joined = left.join(found, (left[left_lat] == found[_LAT]) & (left[left_lon] == found[_LON]), "left")
