@@ -27,7 +27,7 @@ from limnos.operators.quality import (blank_to_null, drop_null_rows, drop_sparse
                                       select_required, with_constant)
 from limnos.operators.regression import (coefficient_table, eligible_targets, exact_split, fit_ols, predict_linear,
                                          regression_metrics)
-from limnos.operators.reshape import keep_top_categories, latest_per_entity, pivot_first, pivot_value_unit
+from limnos.operators.reshape import latest_per_entity, pivot_first, pivot_value_unit
 from limnos.operators.spatial import nearest_join
 from limnos.operators.timeline import calendar_window, score_calendar, score_dates, score_entities
 from limnos.session import qcol
@@ -55,23 +55,41 @@ def clean_water_quality(raw: DataFrame, top_n: int = 30, order_col: str | None =
 
     ``order_col`` is the ingest ordinal that stands for file row order (the
     "first" duplicate wins); without one, an ordinal is taken at scan time.
+    Two passes over the feed: one grouped aggregate per characteristic gives
+    at once the non-null count of every column (sparse-column drop), the
+    ``top_n`` characteristics (counted before cleaning, ties by name) and which
+    of them keep at least one clean row (the declared pivot columns); the
+    second pass is the cleaning and the pivot itself.
     """
     df = blank_to_null(normalize_columns(raw))
     if order_col is None:
         df = df.withColumn("__ord", F.monotonically_increasing_id())
         order_col = "__ord"
-    df = drop_sparse_columns(df, 0.10, keep=[ID, "CharacteristicName", "ResultMeasureValue", order_col])
-    df = select_required(df, [c for c in WQ_COLUMNS if c in df.columns] + [order_col])
-    df = keep_top_categories(df, "CharacteristicName", top_n)
-    df = (df.withColumn(TS, combine_date_time("ActivityStartDate", "ActivityStartTime/Time"))
-          .drop("ActivityStartDate", "ActivityStartTime/Time")
+    unit = "ResultMeasure/MeasureUnitCode"
+    ts = combine_date_time("ActivityStartDate", "ActivityStartTime/Time")
+    clean_row = (qcol(ID).isNotNull() & qcol("MonitoringLocationName").isNotNull() & ts.isNotNull()
+                 & to_number("ResultMeasureValue").isNotNull())
+    cols = df.columns
+    stats = df.groupBy("CharacteristicName").agg(
+        F.count(F.lit(1)).alias("__n"), F.count_if(clean_row).alias("__clean"),
+        *[F.count(qcol(c)).alias(f"__nn{i}") for i, c in enumerate(cols)]).collect()  # one row per characteristic
+    total = sum(r["__n"] for r in stats)
+    required = [ID, "CharacteristicName", "ResultMeasureValue", "MonitoringLocationName", "ActivityStartDate",
+                "ActivityStartTime/Time", unit, order_col]
+    survivors = [c for i, c in enumerate(cols)
+                 if c in required or sum(r[f"__nn{i}"] for r in stats) >= total * 0.10]
+    named = sorted((r for r in stats if r["CharacteristicName"] is not None),
+                   key=lambda r: (-r["__n"], r["CharacteristicName"]))[:top_n]
+    top = [r["CharacteristicName"] for r in named]
+    chars = sorted(r["CharacteristicName"] for r in named if r["__clean"] > 0)
+    df = select_required(df.select(*[qcol(c) for c in survivors]),
+                         [c for c in WQ_COLUMNS if c in survivors] + [order_col])
+    df = (df.filter(qcol("CharacteristicName").isin(top))        # bounded literal list (<= top_n)
+          .withColumn(TS, ts).drop("ActivityStartDate", "ActivityStartTime/Time")
           .withColumn("ResultMeasureValue", to_number("ResultMeasureValue")))
     df = drop_null_rows(df, [ID, "CharacteristicName", "ResultMeasureValue"])
-    unit = "ResultMeasure/MeasureUnitCode"
     df = df.withColumns({"ResultMeasureValue": convert_units("CharacteristicName", "ResultMeasureValue", unit),
                          unit: standardised_unit("CharacteristicName", unit)})
-    # Declared pivot list: the (at most top_n) characteristics that remain.
-    chars = sorted(r[0] for r in df.select("CharacteristicName").distinct().collect())
     # First (value, unit) per (id, name, timestamp, characteristic); null keys drop out.
     keyed = drop_null_rows(df, [ID, "MonitoringLocationName", TS, "CharacteristicName"])
     return pivot_value_unit(keyed, [ID, TS], "CharacteristicName", "ResultMeasureValue", unit, chars,
