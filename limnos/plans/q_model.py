@@ -69,7 +69,7 @@ SELECT l_orderkey, l_linenumber,
        0.0 + round(moist, 6) AS moisture,
        0.0 + round(ln(1 + CASE WHEN moist IS NULL THEN NULL ELSE greatest(moist, 0.0) END), 6) AS log_moisture,
        0.0 + round(gdd_40_86 * greatest(precip, 0.0), 6) AS gdd_x_precip,
-       CASE WHEN highc <= 0 THEN 1.0 ELSE 0.0 END AS frozen,
+       CAST(CASE WHEN highc <= 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS frozen,
        0.0 + round(LatitudeMeasure * sin(ang), 6) AS lat_x_season_sin,
        0.0 + round(LongitudeMeasure * cos(ang), 6) AS lon_x_season_cos,
        0.0 + round(distance_to_climate_station_km * cos(ang), 6) AS dist_x_season_cos
