@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from limnos.operators.features import DERIVED_COLS, FEATURE_COLS, derived_feature_sql, fit_median_imputer
 from limnos.operators.quality import filter_range
+from limnos.operators.stats import exact_quantiles_by
 from limnos.operators.regression import exact_split, fit_ols, hash_bucket, hash_folds, regression_metrics
 from limnos.session import qcol
 
@@ -147,7 +148,8 @@ def _drop_internal(df: DataFrame) -> DataFrame:
 
 
 def fit_model(train: DataFrame, spec: ModelSpec, features: Sequence[str], label: str, log_target: bool = False,
-              key_cols: Sequence[str] = (), seed: int = 42) -> PipelineModel:
+              key_cols: Sequence[str] = (), seed: int = 42, medians: Mapping[str, float | None] | None = None
+              ) -> PipelineModel:
     """Fit one pipeline; medians are learned on ``train``.
 
     Forests bootstrap per partition, so their input is first laid out by a
@@ -164,7 +166,8 @@ def fit_model(train: DataFrame, spec: ModelSpec, features: Sequence[str], label:
     # keep only the needed columns in memory for its duration.
     data = data.cache()
     try:
-        medians = fit_median_imputer(data, features)
+        if medians is None:
+            medians = fit_median_imputer(data, features)
         if spec.family == "lr":
             return _fit_linear(data, features, medians, log_target)
         return build_pipeline(spec, features, medians, log_target, seed=seed).fit(data)
@@ -181,9 +184,14 @@ def cross_validate(df: DataFrame, spec: ModelSpec, features: Sequence[str], labe
                    folds: int = 5, seed: int = 42, log_target: bool = False) -> tuple[float, float]:
     """M9: k-fold R^2 (mean, population std); medians are re-learned per training fold."""
     data = hash_folds(df, key_cols, folds, seed, "__cv_fold").cache()
+    # Every training fold's medians in one bracketing run: a row counts for each fold but its own.
+    trains = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("__cv_fold"))
+    fold_medians = exact_quantiles_by(data.withColumn("__trains", trains), "__trains", range(folds), features, [0.5])
     scores = []
     for f in range(folds):
-        model = fit_model(data.filter(F.col("__cv_fold") != f), spec, features, label, log_target, key_cols, seed)
+        medians = {c: v[0] for c, v in fold_medians[f].items()}
+        model = fit_model(data.filter(F.col("__cv_fold") != f), spec, features, label, log_target, key_cols, seed,
+                          medians=medians)
         scored = predict(model, data.filter(F.col("__cv_fold") == f))
         m = regression_metrics(scored, label, "predicted", zero_variance="sklearn").first()
         if m is not None and m["n"]:

@@ -41,8 +41,39 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     bracket that misses the rank falls back to [min, max].
     """
     cols = list(cols)
-    long = _long(df, cols)
-    spark = df.sparkSession
+    found = _search(_long(df, cols), df.sparkSession, range(len(cols)), probs, bins, small, max_rounds,
+                    sketch_accuracy)
+    return {c: found[ci] for ci, c in enumerate(cols)}
+
+
+def exact_quantiles_by(df: DataFrame, group_col: str, groups: Sequence[int], cols: Sequence[str],
+                       probs: Sequence[float], bins: int = 2048, small: int = 50_000, max_rounds: int = 24
+                       ) -> dict[int, dict[str, list[float | None]]]:
+    """Exact quantiles per (integer group, column) in one bracketing run.
+
+    ``group_col`` holds small non-negative ints (e.g. a fold id); a row may
+    belong to several groups if ``group_col`` is an array column (it is
+    exploded), which gives every cross-validation training set's medians in
+    one pass.
+    """
+    cols = list(cols)
+    gcol = qcol(group_col)
+    is_array = isinstance(df.schema[group_col].dataType, T.ArrayType)
+    base = df.select((F.explode(gcol) if is_array else gcol).alias("__grp"), *[qcol(c) for c in cols]) \
+        .withColumn("__grp", F.col("__grp").cast("int"))
+    pairs = F.array(*[F.struct((F.col("__grp") * len(cols) + i).alias("c"), qcol(c).cast("double").alias("v"))
+                      for i, c in enumerate(cols)])
+    long = (base.select(F.explode(pairs).alias("x")).select("x.c", "x.v")
+            .filter(F.col("v").isNotNull() & ~F.isnan(F.col("v"))))
+    keys = [gi * len(cols) + ci for gi in groups for ci in range(len(cols))]
+    found = _search(long, df.sparkSession, keys, probs, bins, small, max_rounds, None)
+    return {gi: {c: found[gi * len(cols) + ci] for ci, c in enumerate(cols)} for gi in groups}
+
+
+def _search(long: DataFrame, spark, keys, probs: Sequence[float], bins: int, small: int, max_rounds: int,
+            sketch_accuracy: int | None) -> dict[int, list[float | None]]:
+    """Bracketing search over ``long(c int, v double)`` for every target key ``c`` in ``keys``."""
+    keys = list(keys)
     aggs = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
     if sketch_accuracy:
         eps = 4.0 / sketch_accuracy
@@ -55,7 +86,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     # target id -> dict(c=column index, r=rank, a, b=bracket, value, below)
     targets: dict[int, dict] = {}
     plan: dict[tuple[int, float], tuple[int, int, float]] = {}
-    for ci in range(len(cols)):
+    for ci in keys:
         st = stats.get(ci)
         if st is None:
             continue
@@ -121,8 +152,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             for k in fetch:
                 t = targets[k]
                 t["value"] = sorted(got[k])[t["r"] - t["below"]]
-    out: dict[str, list[float | None]] = {}
-    for ci, c in enumerate(cols):
+    out: dict[int, list[float | None]] = {}
+    for ci in keys:
         res = []
         for p in probs:
             if (ci, p) not in plan:
@@ -131,7 +162,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             a, b, frac = plan[(ci, p)]
             lo, hi = targets[a]["value"], targets[b]["value"]
             res.append(lo + (hi - lo) * frac if frac else lo)
-        out[c] = res
+        out[ci] = res
     return out
 
 

@@ -131,3 +131,16 @@ def test_exact_split_sizes(spark, rule):
     again = exact_split(df.repartition(7), ["i"], by=["g"], rule=rule, small=7, bins_bits=3)
     assert sorted((r.g, r.i) for r in out.filter("is_test").collect()) == \
         sorted((r.g, r.i) for r in again.filter("is_test").collect())
+
+
+def test_grouped_quantiles_equal_per_group(spark):
+    from limnos.operators.stats import exact_medians, exact_quantiles_by
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i % 3), float(rng.normal()), float(rng.integers(0, 5)) if i % 7 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "fold int, a double, b double")
+    trains = F.array_remove(F.sequence(F.lit(0), F.lit(2)), F.col("fold"))
+    got = exact_quantiles_by(df.withColumn("t", trains), "t", range(3), ["a", "b"], [0.5], bins=8, small=20)
+    for f in range(3):
+        want = exact_medians(df.filter(F.col("fold") != f), ["a", "b"])
+        assert got[f]["a"][0] == pytest.approx(want["a"]) and got[f]["b"][0] == pytest.approx(want["b"])
