@@ -12,7 +12,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from limnos.functions import (combine_date_time, convert_units, month_abbr, standardised_unit, strip_suffix,
@@ -67,12 +67,8 @@ def clean_water_quality(raw: DataFrame, top_n: int = 30, order_col: str | None =
         order_col = "__ord"
     unit = "ResultMeasure/MeasureUnitCode"
     ts = combine_date_time("ActivityStartDate", "ActivityStartTime/Time")
-    clean_row = (qcol(ID).isNotNull() & qcol("MonitoringLocationName").isNotNull() & ts.isNotNull()
-                 & to_number("ResultMeasureValue").isNotNull())
     cols = df.columns
-    stats = df.groupBy("CharacteristicName").agg(
-        F.count(F.lit(1)).alias("__n"), F.count_if(clean_row).alias("__clean"),
-        *[F.count(qcol(c)).alias(f"__nn{i}") for i, c in enumerate(cols)]).collect()  # one row per characteristic
+    stats = _wq_stats(df, cols).collect()  # one row per characteristic
     total = sum(r["__n"] for r in stats)
     required = [ID, "CharacteristicName", "ResultMeasureValue", "MonitoringLocationName", "ActivityStartDate",
                 "ActivityStartTime/Time", unit, order_col]
@@ -96,6 +92,28 @@ def clean_water_quality(raw: DataFrame, top_n: int = 30, order_col: str | None =
                             order=["MonitoringLocationName", order_col])
 
 
+def _wq_stats(df: DataFrame, cols) -> DataFrame:
+    """Per characteristic: rows, rows that survive cleaning (all keys and a number), non-null per column."""
+    ts = combine_date_time("ActivityStartDate", "ActivityStartTime/Time")
+    clean_row = (qcol(ID).isNotNull() & qcol("MonitoringLocationName").isNotNull() & ts.isNotNull()
+                 & to_number("ResultMeasureValue").isNotNull())
+    return df.groupBy("CharacteristicName").agg(
+        F.count(F.lit(1)).alias("__n"), F.count_if(clean_row).alias("__clean"),
+        *[F.count(qcol(c)).alias(f"__nn{i}") for i, c in enumerate(cols)])
+
+
+def water_quality_report(raw: DataFrame, top_n: int = 30) -> DataFrame:
+    """A3 report: per characteristic the raw rows, the rows the cleaning keeps, the
+    rows it drops (unparseable value or a NULL key such as a missing time of
+    day, which pandas ``groupby`` drops silently) and whether it is in the top n."""
+    df = blank_to_null(normalize_columns(raw))
+    s = _wq_stats(df, []).select(F.col("CharacteristicName").alias("characteristic"), F.col("__n").alias("rows"),
+                                 F.col("__clean").alias("clean_rows"))
+    rank = F.row_number().over(Window.orderBy(F.col("rows").desc(), F.col("characteristic")))  # one row per name
+    return (s.withColumn("dropped_rows", F.col("rows") - F.col("clean_rows"))
+            .withColumn("in_top", F.col("characteristic").isNotNull() & (rank <= top_n)))
+
+
 def clean_stations(raw: DataFrame) -> DataFrame:
     df = drop_sparse_columns(blank_to_null(normalize_columns(raw)), 0.10)
     df = select_available(df, STATION_COLUMNS)

@@ -64,6 +64,11 @@ def _raw_feeds(spark, tmp_path):
 
 def test_end_to_end(spark, tmp_path):
     raw_wq, raw_st, wx_path, gj_path, ag_raw = _raw_feeds(spark, tmp_path)
+    report = {r.characteristic: r for r in flows.water_quality_report(
+        raw_wq.withColumn("ActivityStartTime/Time", F.when(F.col("ActivityIdentifier") == "A0", F.lit(None))
+                          .otherwise(F.col("ActivityStartTime/Time")))).collect()}
+    assert report["pH"].dropped_rows == 1 and report["Temperature, water"].dropped_rows == 1  # A0 lost its time
+    assert report["pH"].in_top and report["pH"].rows == report["pH"].clean_rows + 1
     samples = flows.clean_water_quality(raw_wq)
     assert {"Temperature, water_value", "Temperature, water_unit", "pH_value"} <= set(samples.columns)
     units = {r[0] for r in samples.select("`Temperature, water_unit`").distinct().collect()}
