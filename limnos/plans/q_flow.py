@@ -174,3 +174,22 @@ SELECT m.MonitoringLocationIdentifier, strftime(m.ActivityStartDateTime, '%Y-%m-
                   ("doy", "gdd_40_86", "high", "highc", "low", "lowc", "precip", "snow", "snowd"))}
 FROM m LEFT JOIN weather ON m.climate_station = weather.station AND m.day = weather.day
 """)(merged_samples)
+
+
+def cleaning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 report on the driver tables: rows kept and dropped per characteristic."""
+    raw = _raw_measurements(spark, sf_dir).drop("__ingest_order")
+    return flows.water_quality_report(raw, top_n=4)
+
+
+register("cleaning_report", sql=f"""
+WITH raw AS (
+  SELECT CASE event_type {_CNAME} END AS characteristic, user_id, ts, value FROM events),
+s AS (
+  SELECT characteristic, count(*) AS rows,
+         count(*) FILTER (WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL) AS clean_rows
+  FROM raw GROUP BY characteristic)
+SELECT characteristic, rows, clean_rows, rows - clean_rows AS dropped_rows,
+       characteristic IS NOT NULL AND row_number() OVER (ORDER BY rows DESC, characteristic) <= 4 AS in_top
+FROM s
+""")(cleaning_report)
