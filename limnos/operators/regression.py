@@ -36,13 +36,18 @@ HASH_BUCKETS = 10_000
 
 
 # ------------------------------------------------------------------ splits
+def _key_part(col: str) -> Column:
+    """Key text for hashing; NULL gets a marker so (a, NULL) and (NULL, a) differ."""
+    return F.coalesce(qcol(col).cast("string"), F.lit("\u0000"))
+
+
 def hash_bucket(key_cols: Sequence[str], seed: int = 42, buckets: int = HASH_BUCKETS) -> Column:
     """Stable bucket in [0, buckets) from ``md5(key || ':' || seed)`` (first 32 bits).
 
     Reproducible across runs, partitionings and engines (DuckDB:
     ``('0x' || substr(md5(k), 1, 8))::BIGINT % buckets``).
     """
-    key = F.concat_ws(":", *[qcol(c).cast("string") for c in key_cols], F.lit(str(seed)))
+    key = F.concat_ws(":", *[_key_part(c) for c in key_cols], F.lit(str(seed)))
     return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % F.lit(buckets)).cast("int")
 
 
@@ -351,9 +356,10 @@ def exact_split(df: DataFrame, key_cols: Sequence[str], by: Sequence[str] = (),
     (one bounded aggregate per 11 bits, at most ``2^bins_bits`` rows per group
     to the driver); only the rows of the final small bucket are fetched to
     break the tie exactly.  No group is ever sorted in one task.  Groups are
-    few (targets): one row per group reaches the driver.
+    few (targets): one row per group reaches the driver.  Keys should be
+    unique within a group; rows sharing a whole key move together.
     """
-    key_txt = F.concat_ws("\u0001", *[qcol(c).cast("string") for c in key_cols])
+    key_txt = F.concat_ws("\u0001", *[_key_part(c) for c in key_cols])
     h = F.conv(F.substring(F.md5(F.concat_ws(":", key_txt, F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
     gid = F.to_json(F.struct(*[qcol(b) for b in by])) if by else F.lit("")
     data = df.withColumns({"__h": h, "__k": key_txt, "__g": gid})

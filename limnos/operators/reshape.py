@@ -233,7 +233,8 @@ def bounded_sample(df: DataFrame, key_cols: Sequence[str], n: int, seed: int = 0
     the top ``n`` are unchanged — and only that remainder is ordered; if the
     cut keeps fewer than ``n`` rows, all rows are ordered instead.
     """
-    h = F.md5(F.concat_ws("\u0001", *[qcol(k).cast("string") for k in key_cols], F.lit(str(seed))))
+    parts = [F.coalesce(qcol(k).cast("string"), F.lit("\u0000")) for k in key_cols]  # NULL-safe key text
+    h = F.md5(F.concat_ws("\u0001", *parts, F.lit(str(seed))))
     hashed = df.withColumn("__h", h)
     total = df.count()
     if total > n:
