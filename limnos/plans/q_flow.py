@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limnos.operators.reshape import to_long
 from limnos.plans import flows
 from limnos.plans.registry import iso_date, iso_ts, pseudo_lat, pseudo_lon, r6, register
 from limnos.session import qcol, table
@@ -193,3 +194,22 @@ SELECT characteristic, rows, clean_rows, rows - clean_rows AS dropped_rows,
        characteristic IS NOT NULL AND row_number() OVER (ORDER BY rows DESC, characteristic) <= 4 AS in_top
 FROM s
 """)(cleaning_report)
+
+
+def ols_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry 2, OLS path: the merged wide samples unpivoted to the long layout
+    the OLS trainer expects, targets chosen by complete-row count (M1), exact
+    split, one grouped fit, holdout metrics per target (7 columns)."""
+    merged = merged_samples(spark, sf_dir)
+    values = [c for c in merged.columns if c.endswith("_value")]
+    ids = [flows.ID, flows.TS, "LatitudeMeasure", "LongitudeMeasure", "distance_to_climate_station_km", "doy",
+           "gdd_40_86", "high", "low", "precip", "snow", "snowd"]
+    long = to_long(merged, ids, values, "CharacteristicName", "ResultMeasureValue").withColumns({
+        "CharacteristicName": F.regexp_replace("CharacteristicName", "_value$", ""),
+        "latitude": F.col("LatitudeMeasure"), "longitude": F.col("LongitudeMeasure")})
+    metrics, _ = flows.train_ols_long(long, min_samples=100, top_n=5, key_cols=[flows.ID, flows.TS])
+    return metrics.select("target_variable", "sample_count", "train_count", "test_count",
+                          *[r6(c).alias(c) for c in ("rmse", "mae", "r2")])
+
+
+register("ols_targets")(ols_targets)
