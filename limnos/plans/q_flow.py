@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limnos.operators.learners import LINEAR, fit_model
 from limnos.operators.reshape import to_long
 from limnos.plans import flows
 from limnos.plans.registry import iso_date, iso_ts, pseudo_lat, pseudo_lon, r6, register
@@ -213,3 +214,21 @@ def ols_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("ols_targets")(ols_targets)
+
+
+def station_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry 3 on the driver tables: per-station snapshot (A9), a linear model
+    of water temperature fitted on the merged samples, every station scored
+    for 2024-01-20 and the map table (grid, IDW, hull mask, clip, labels)."""
+    merged = merged_samples(spark, sf_dir).withColumn(flows.TS, F.to_timestamp_ntz(flows.TS))
+    target = "Temperature, water_value"
+    feats = [c for c in flows.FEATURE_COLS]
+    train = merged.filter(qcol(target).isNotNull())
+    model = fit_model(train, LINEAR, feats, target, key_cols=[flows.ID, flows.TS])
+    snap = flows.station_snapshot(merged.select(flows.ID, flows.TS, "MonitoringLocationName", *feats))
+    out = flows.run_prediction(snap, model, "Water Temperature", "2024-01-20", resolution=60, sample_n=1000)
+    return out["map"].select("kind", "id", "name", r6("lat").alias("lat"), r6("lon").alias("lon"),
+                             r6("value").alias("value"), "label")
+
+
+register("station_map")(station_map)
