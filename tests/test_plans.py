@@ -12,7 +12,8 @@ LAZY = ["flagship_wide_join", "match_rate", "clean_strings", "describe_lineitem"
         "unit_standardise", "classify_values", "range_filter_counts", "top_brand_items", "distinct_counts",
         "key_overlap", "dedup_first", "latest_per_user", "null_safe_join", "year_month_joins", "seasonal_features",
         "imputed_matrix", "ols_moments", "ols_simple", "metrics_by_group", "score_dates", "score_calendar",
-        "nearest_supplier", "grid_idw", "enriched_points"]
+        "nearest_supplier", "grid_idw", "enriched_points", "merged_samples", "cleaning_report", "exact_split_sizes",
+        "calendar_summary", "profile_customer", "geojson_points", "csv_roundtrip"]
 
 
 def _plan(df) -> str:
