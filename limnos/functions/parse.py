@@ -17,7 +17,8 @@ SUPPRESSION_CODES = ("(D)", "(H)", "(Z)", "(NA)")
 _NUMERIC = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 DEFAULT_TS_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss",
-                      "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd")
+                      "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd",
+                      "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")
 
 
 def _c(col) -> Column:

@@ -89,3 +89,13 @@ def test_round_half_even_matches_numpy(spark):
 
 def test_lit_helpers(spark):
     assert spark.range(1).select(F.lit(1)).first()[0] == 1
+
+
+def test_to_ts_us_formats(spark):
+    from limnos.functions import to_ts
+
+    df = spark.createDataFrame([("1/2/2024 10:05",), ("12/31/2024",), ("2024-01-02 10:05:00",), ("13/45/2024",)],
+                               "s string")
+    got = [r[0] for r in df.select(to_ts("s")).collect()]
+    assert got[0] == dt.datetime(2024, 1, 2, 10, 5) and got[1] == dt.datetime(2024, 12, 31)
+    assert got[2] == dt.datetime(2024, 1, 2, 10, 5) and got[3] is None
