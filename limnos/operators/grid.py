@@ -11,6 +11,7 @@ through support lines in a fixed set of directions.
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +93,14 @@ def hull_mask(grid: DataFrame, stations: DataFrame, *, lat: str, lon: str, direc
 
 def render_table(grid_values: DataFrame, stations: DataFrame, *, target: str, station_id: str, lat: str, lon: str,
                  value: str, grid_value: str = "value", sample_n: int = SAMPLE_CAP, seed: int = SAMPLE_SEED,
-                 station_name: str | None = None) -> DataFrame:
+                 station_name: str | None = None, station_extra: Mapping[str, object] | None = None) -> DataFrame:
     """Clipped, labelled, bounded grid sample plus labelled station rows.
 
     Grid values are clipped to the 2nd..98th percentile of the *station*
     values (exact), NULL cells dropped, at most ``sample_n`` cells kept by a
     seeded hash; every station row is kept with its rounded value.
+    ``station_extra`` maps further station columns to the constant that
+    stands in for a missing value (P12); grid rows carry NULL there.
     """
     p = exact_quantiles(stations, [value], [0.02, 0.98])[value]
     lo, hi = p if p[0] is not None else (None, None)
@@ -112,8 +115,9 @@ def render_table(grid_values: DataFrame, stations: DataFrame, *, target: str, st
                               F.coalesce(qcol(station_id).cast("string"), F.lit("Unknown ID")).alias("id"),
                               name.alias("name"), qcol(lat).alias("lat"), qcol(lon).alias("lon"),
                               round_half_even(qcol(value), 4).alias("value"), classify(qcol(value), target).alias("label"),
-                              classify_detail(qcol(value), target).alias("detail"))
-    return grid_rows.unionByName(st_rows)
+                              classify_detail(qcol(value), target).alias("detail"),
+                              *[F.coalesce(qcol(c), F.lit(v)).alias(c) for c, v in (station_extra or {}).items()])
+    return grid_rows.unionByName(st_rows, allowMissingColumns=True)
 
 
 def enrich_points(points: DataFrame, places: DataFrame, *, target: str, lat: str, lon: str, value: str,

@@ -223,15 +223,20 @@ def run_prediction(snapshot: DataFrame, model: PipelineModel, target: str, when:
     """Stations scored for ``when``, interpolated map table and the 14-week calendar."""
     scorer = lambda d: predict(model, d)
     stations = score_entities(snapshot, scorer, when, FEATURE_COLS)
+    # Stand-ins for missing station details on the map.
+    extra_fill = {"ProviderName": "Unknown provider", "climate_station_name": "Unknown climate station",
+                  "distance_to_climate_station_km": 0.0}
+    extra = {c: v for c, v in extra_fill.items() if c in stations.columns}
     pts = stations.select(ID, "LatitudeMeasure", "LongitudeMeasure", "predicted",
-                          *[c for c in ("MonitoringLocationName",) if c in stations.columns])
+                          *[c for c in ("MonitoringLocationName", *extra) if c in stations.columns])
     grid = make_grid(pts, "LatitudeMeasure", "LongitudeMeasure", resolution)
     vals = interpolate_idw(pts, grid, station_id=ID, lat="LatitudeMeasure", lon="LongitudeMeasure",
                            value="predicted")
     vals = hull_mask(vals, pts, lat="LatitudeMeasure", lon="LongitudeMeasure")
     table = render_table(vals, pts, target=target, station_id=ID, lat="LatitudeMeasure", lon="LongitudeMeasure",
                          value="predicted", sample_n=sample_n,
-                         station_name="MonitoringLocationName" if "MonitoringLocationName" in pts.columns else None)
+                         station_name="MonitoringLocationName" if "MonitoringLocationName" in pts.columns else None,
+                         station_extra=extra)
     start, stop = calendar_window(when)
     days = [start + dt.timedelta(days=i) for i in range((stop - start).days + 1)]
     daily = score_dates(snapshot, scorer, days, FEATURE_COLS)
