@@ -22,6 +22,42 @@ from limnos.operators.spatial import nearest_join, nearest_label
 from limnos.operators.stats import exact_quantiles
 from limnos.session import qcol
 
+# The named places used to label map points, in their listed
+# order (the first listed wins a tie): (name, latitude, longitude).
+REFERENCE_PLACES = (
+    ("Des Moines", 41.5868, -93.6250),
+    ("Cedar Rapids", 41.9779, -91.6656),
+    ("Davenport", 41.5236, -90.5776),
+    ("Sioux City", 42.4999, -96.4003),
+    ("Iowa City", 41.6611, -91.5302),
+    ("Waterloo", 42.4928, -92.3426),
+    ("Council Bluffs", 41.2619, -95.8608),
+    ("Ames", 42.0308, -93.6319),
+    ("Dubuque", 42.5006, -90.6646),
+    ("Ankeny", 41.7321, -93.6030),
+    ("West Des Moines", 41.5772, -93.7113),
+    ("Cedar Falls", 42.5349, -92.4452),
+    ("Marion", 42.0341, -91.5974),
+    ("Bettendorf", 41.5244, -90.5121),
+    ("Urbandale", 41.6265, -93.7122),
+    ("Mason City", 43.1536, -93.2010),
+    ("Ottumwa", 41.0200, -92.4113),
+    ("Marshalltown", 42.0494, -92.9080),
+    ("Clinton", 41.8444, -90.1887),
+    ("Burlington", 40.8073, -91.1128),
+    ("Fort Dodge", 42.4975, -94.1680),
+    ("Muscatine", 41.4245, -91.0432),
+    ("Coralville", 41.6727, -91.5802),
+    ("Waukee", 41.6113, -93.8888),
+    ("North Liberty", 41.7494, -91.6052),
+    ("Oskaloosa", 41.2961, -92.6457),
+    ("Storm Lake", 42.6411, -95.2097),
+    ("Carroll", 42.0661, -94.8672),
+    ("Fairfield", 41.0086, -91.9657),
+    ("Spencer", 43.1414, -95.1441),
+)
+DEFAULT_PLACE = "Iowa"  # fixed value: label when there is no place at all
+
 GRID_RESOLUTION = 120  # fixed value: cells per axis
 GRID_MARGIN_DEG = 0.5  # fixed value: margin around the stations' bounding box
 SAMPLE_CAP = 4000  # fixed value: at most this many grid cells are rendered
@@ -120,11 +156,21 @@ def render_table(grid_values: DataFrame, stations: DataFrame, *, target: str, st
     return grid_rows.unionByName(st_rows, allowMissingColumns=True)
 
 
-def enrich_points(points: DataFrame, places: DataFrame, *, target: str, lat: str, lon: str, value: str,
-                  place_lat: str, place_lon: str, place_name: str, place_order: str) -> DataFrame:
-    """Every point with its value, interpretation and nearest named place."""
+def places_frame(spark) -> DataFrame:
+    """The reference places as a (bounded, literal) DataFrame: name, lat, lon, ordinal."""
+    return spark.createDataFrame([(n, la, lo, i) for i, (n, la, lo) in enumerate(REFERENCE_PLACES)],
+                                 "place_name string, place_lat double, place_lon double, place_order int")
+
+
+def enrich_points(points: DataFrame, places: DataFrame | None = None, *, target: str, lat: str, lon: str,
+                  value: str, place_lat: str = "place_lat", place_lon: str = "place_lon",
+                  place_name: str = "place_name", place_order: str = "place_order") -> DataFrame:
+    """Every point with its value, interpretation and nearest named place
+    (the reference places when ``places`` is omitted)."""
+    if places is None:
+        places = places_frame(points.sparkSession)
     named = nearest_label(points, places, lat=lat, lon=lon, place_lat=place_lat, place_lon=place_lon,
-                          place_name=place_name, place_order=place_order)
+                          place_name=place_name, place_order=place_order, default=DEFAULT_PLACE)
     return named.withColumns({"label": classify(qcol(value), target),
                               "detail": classify_detail(qcol(value), target)})
 

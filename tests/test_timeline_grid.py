@@ -69,3 +69,13 @@ def test_grid_idw_hull_render(spark):
     assert [r.label for r in sorted((r for r in table if r.kind == "station"), key=lambda r: r.value)] == [
         "Moderate", "Moderate", "Very Warm"]  # 20 is inside the Moderate band (<= 20)
     assert math.isfinite(sum(r.value for r in table))
+
+
+def test_reference_places_labels(spark):
+    from limnos.operators.grid import enrich_points
+
+    pts = spark.createDataFrame([(1, 41.59, -93.62, 15.0), (2, 42.03, -93.63, 30.0), (3, 43.15, -93.20, 2.0)],
+                                "id int, lat double, lon double, v double")
+    out = {r.id: r for r in enrich_points(pts, target="Water Temperature", lat="lat", lon="lon", value="v").collect()}
+    assert out[1].nearest_place == "Des Moines" and out[2].nearest_place == "Ames"
+    assert out[3].nearest_place == "Mason City" and out[3].label == "Very Cold" and out[2].label == "Very Warm"
