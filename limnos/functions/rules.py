@@ -87,6 +87,9 @@ TARGET_RULES = {
     ],
 }
 UNKNOWN_LABEL = ("Unknown", "No interpretation available.")
+
+# Display unit per target.
+TARGET_UNITS = {"Water Temperature": "°C", "pH": "pH", "Dissolved Oxygen": "mg/L", "Nitrate": "mg/L"}
 MEASURED_LABEL = ("Measured", "Predicted value available.")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions.numeric import clip, round_half_even
-from limnos.functions.rules import classify, classify_detail
+from limnos.functions.rules import TARGET_UNITS, classify, classify_detail
 from limnos.operators.reshape import bounded_sample
 from limnos.operators.spatial import nearest_join, nearest_label
 from limnos.operators.stats import exact_quantiles
@@ -145,12 +145,15 @@ def render_table(grid_values: DataFrame, stations: DataFrame, *, target: str, st
     cells = bounded_sample(cells, ["cell_id"], sample_n, seed)
     grid_rows = cells.select(F.lit("grid").alias("kind"), F.col("cell_id").cast("string").alias("id"),
                              F.lit("Interpolated surface").alias("name"), "lat", "lon", F.col("__v").alias("value"),
+                             F.lit(TARGET_UNITS.get(target, "")).alias("unit"),
                              classify("__v", target).alias("label"), classify_detail("__v", target).alias("detail"))
     name = F.coalesce(qcol(station_name), F.lit("Unknown station")) if station_name else F.lit("Unknown station")
     st_rows = stations.select(F.lit("station").alias("kind"),
                               F.coalesce(qcol(station_id).cast("string"), F.lit("Unknown ID")).alias("id"),
                               name.alias("name"), qcol(lat).alias("lat"), qcol(lon).alias("lon"),
-                              round_half_even(qcol(value), 4).alias("value"), classify(qcol(value), target).alias("label"),
+                              round_half_even(qcol(value), 4).alias("value"),
+                              F.lit(TARGET_UNITS.get(target, "")).alias("unit"),
+                              classify(qcol(value), target).alias("label"),
                               classify_detail(qcol(value), target).alias("detail"),
                               *[F.coalesce(qcol(c), F.lit(v)).alias(c) for c, v in (station_extra or {}).items()])
     return grid_rows.unionByName(st_rows, allowMissingColumns=True)

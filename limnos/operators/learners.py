@@ -36,21 +36,20 @@ class ModelSpec:
     file_prefix: str = ""
 
 
-# The reference's model settings (learning rate, rounds, leaf
+# Model file prefixes (lr, rf, gb) and the reference's model settings (learning rate, rounds, leaf
 # sizes, forest size).  Spark caps tree depth at 30 (the reference's forest is
 # unlimited) and its boosting has no L2 term and no leaf-count cap: the
 # reference's boosted trees keep their library's default cap of 31 leaves
 # even at depth 8-10, so depth 5 (at most 32 leaves) is the closest Spark
 # equivalent of that capacity.  255 split bins mirror histogram boosting's
 # default binning (Spark's default is 32).
-LINEAR = ModelSpec("Linear Regression", "lr", {}, "linear_regression")
+LINEAR = ModelSpec("Linear Regression", "lr", {}, "lr")
 FOREST = ModelSpec("Random Forest", "rf", {"numTrees": 500, "maxDepth": 30, "minInstancesPerNode": 2,
-                                           "featureSubsetStrategy": "sqrt", "maxBins": 255}, "random_forest")
+                                           "featureSubsetStrategy": "sqrt", "maxBins": 255}, "rf")
 BOOSTING = ModelSpec("Gradient Boosting", "gb", {"stepSize": 0.03, "maxDepth": 5, "maxIter": 700,
-                                                 "minInstancesPerNode": 5, "maxBins": 255}, "gradient_boosting")
+                                                 "minInstancesPerNode": 5, "maxBins": 255}, "gb")
 BOOSTING_NITRATE = ModelSpec("Gradient Boosting", "gb", {"stepSize": 0.05, "maxDepth": 5, "maxIter": 500,
-                                                         "minInstancesPerNode": 10, "maxBins": 255},
-                             "gradient_boosting")
+                                                         "minInstancesPerNode": 10, "maxBins": 255}, "gb")
 # Per-target families as the reference trains them.
 DEFAULT_SPECS = {"*": [LINEAR, FOREST, BOOSTING], "Nitrate": [LINEAR, FOREST, BOOSTING_NITRATE]}
 

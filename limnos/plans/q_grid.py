@@ -181,7 +181,7 @@ def grid_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = render_table(inside, st, target="Water Temperature", station_id="s_suppkey", lat="lat", lon="lon",
                        value="score", sample_n=100, seed=0, station_name="s_name")
     return out.select("kind", "id", "name", r6("lat").alias("lat"), r6("lon").alias("lon"),
-                      r6("value").alias("value"), "label", "detail")
+                      r6("value").alias("value"), "unit", "label", "detail")
 
 
 def _dirs_sql() -> str:
@@ -215,11 +215,12 @@ q AS (SELECT quantile_cont(score, 0.02) AS lo, quantile_cont(score, 0.98) AS hi
 cl AS (SELECT cell_id, lat, lon, least(greatest(value, lo), hi) AS v FROM inside, q WHERE value IS NOT NULL),
 smp AS (SELECT * FROM cl ORDER BY md5(CAST(cell_id AS VARCHAR) || chr(1) || '0'), cell_id LIMIT 100)
 SELECT 'grid' AS kind, CAST(cell_id AS VARCHAR) AS id, 'Interpolated surface' AS name, round(lat, 6) AS lat,
-       round(lon, 6) AS lon, round(v, 6) AS value, {_label_sql('v')} AS label, {_detail_sql('v')} AS detail
+       round(lon, 6) AS lon, round(v, 6) AS value, '°C' AS unit, {_label_sql('v')} AS label,
+       {_detail_sql('v')} AS detail
 FROM smp
 UNION ALL
 SELECT 'station', CAST(s_suppkey AS VARCHAR), coalesce(s_name, 'Unknown station'), round(lat, 6), round(lon, 6),
-       round(round_even(score, 4), 6), {_label_sql('score')}, {_detail_sql('score')}
+       round(round_even(score, 4), 6), '°C', {_label_sql('score')}, {_detail_sql('score')}
 FROM s
 """)(grid_masked)
 
