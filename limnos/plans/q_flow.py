@@ -201,7 +201,9 @@ def ols_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry 2, OLS path: the merged wide samples unpivoted to the long layout
     the OLS trainer expects, targets chosen by complete-row count (M1), exact
     split, one grouped fit, holdout metrics per target (7 columns)."""
-    merged = merged_samples(spark, sf_dir)
+    # Written once to the shared checkpoint folder: the training steps below
+    # run several jobs over it, which would otherwise each recompute the flow.
+    merged = merged_samples(spark, sf_dir).checkpoint()
     values = [c for c in merged.columns if c.endswith("_value")]
     ids = [flows.ID, flows.TS, "LatitudeMeasure", "LongitudeMeasure", "distance_to_climate_station_km", "doy",
            "gdd_40_86", "high", "low", "precip", "snow", "snowd"]
@@ -220,7 +222,7 @@ def station_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry 3 on the driver tables: per-station snapshot (A9), a linear model
     of water temperature fitted on the merged samples, every station scored
     for 2024-01-20 and the map table (grid, IDW, hull mask, clip, labels)."""
-    merged = merged_samples(spark, sf_dir).withColumn(flows.TS, F.to_timestamp_ntz(flows.TS))
+    merged = merged_samples(spark, sf_dir).withColumn(flows.TS, F.to_timestamp_ntz(flows.TS)).checkpoint()
     target = "Temperature, water_value"
     feats = [c for c in flows.FEATURE_COLS]
     train = merged.filter(qcol(target).isNotNull())
