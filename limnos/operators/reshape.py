@@ -168,27 +168,21 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], extra_percentiles: Sequ
 
     Quartiles are exact with numpy's linear interpolation, found by
     histogram bracketing (no single-task merge of all values); the moments
-    come from one aggregate over all columns.
+    come from the bracketing's first aggregate, so the profile costs no
+    extra scan.  The result is a small literal frame (one row per column).
     """
-    from limnos.operators.stats import exact_quantiles
+    from limnos.operators.stats import exact_profile
 
     ps = [0.25, 0.5, 0.75, *extra_percentiles]
-    qs = exact_quantiles(df, cols, ps)
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(qcol(c)).alias(f"n{i}"), F.avg(qcol(c)).alias(f"mean{i}"),
-                 F.stddev_samp(qcol(c)).alias(f"std{i}"), F.min(qcol(c)).alias(f"min{i}"),
-                 F.max(qcol(c)).alias(f"max{i}")]
-    wide = df.agg(*aggs)
-    entries = []
-    for i, c in enumerate(cols):
-        q = [F.lit(v).cast("double") for v in qs[c]]
-        fields = [F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"), F.col(f"mean{i}").alias("mean"),
-                  F.col(f"std{i}").alias("std"), F.col(f"min{i}").alias("min"),
-                  q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.col(f"max{i}").alias("max")]
-        fields += [q[3 + j].alias(f"p{int(round(p * 100)):02d}") for j, p in enumerate(extra_percentiles)]
-        entries.append(F.struct(*fields))
-    return wide.select(F.explode(F.array(*entries)).alias("d")).select("d.*")
+    prof = exact_profile(df, cols, ps)
+    extra_names = [f"p{int(round(p * 100)):02d}" for p in extra_percentiles]
+    rows = []
+    for c in cols:
+        n, mean, std, lo, hi, q = prof[c]
+        rows.append((c, int(n), mean, std, lo, q[0], q[1], q[2], hi, *q[3:]))
+    schema = ("column_name string, count long, mean double, std double, min double, q25 double, q50 double, "
+              "q75 double, max double" + "".join(f", {e} double" for e in extra_names))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def percentiles(df: DataFrame, col: str, ps: Sequence[float], exact: bool = True,

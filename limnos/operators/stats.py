@@ -46,6 +46,16 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     return {c: found[ci] for ci, c in enumerate(cols)}
 
 
+def exact_profile(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
+                  ) -> dict[str, tuple[int, float | None, float | None, float | None, float | None, list]]:
+    """``{column: (count, mean, std_samp, min, max, [quantiles])}`` from one search
+    (the moments come from the search's first pass)."""
+    cols = list(cols)
+    moments: dict = {}
+    found = _search(_long(df, cols), df.sparkSession, range(len(cols)), probs, 2048, 50_000, 24, None, moments)
+    return {c: (*moments.get(ci, (0, None, None, None, None)), found[ci]) for ci, c in enumerate(cols)}
+
+
 def exact_quantiles_by(df: DataFrame, group_col: str, groups: Sequence[int], cols: Sequence[str],
                        probs: Sequence[float], bins: int = 2048, small: int = 50_000, max_rounds: int = 24
                        ) -> dict[int, dict[str, list[float | None]]]:
@@ -71,10 +81,15 @@ def exact_quantiles_by(df: DataFrame, group_col: str, groups: Sequence[int], col
 
 
 def _search(long: DataFrame, spark, keys, probs: Sequence[float], bins: int, small: int, max_rounds: int,
-            sketch_accuracy: int | None) -> dict[int, list[float | None]]:
-    """Bracketing search over ``long(c int, v double)`` for every target key ``c`` in ``keys``."""
+            sketch_accuracy: int | None, moments: dict | None = None) -> dict[int, list[float | None]]:
+    """Bracketing search over ``long(c int, v double)`` for every target key ``c`` in ``keys``.
+
+    ``moments``, if given, receives ``{c: (count, mean, std, min, max)}`` from
+    the first pass, so a profile needs no separate scan.
+    """
     keys = list(keys)
-    aggs = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+            F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")]
     if sketch_accuracy:
         eps = 4.0 / sketch_accuracy
         sketch_ps: list[float] = []
@@ -83,6 +98,8 @@ def _search(long: DataFrame, spark, keys, probs: Sequence[float], bins: int, sma
         arr = F.array(*[F.lit(float(x)) for x in sketch_ps])
         aggs.append(F.percentile_approx("v", arr, sketch_accuracy).alias("sk"))
     stats = {r["c"]: r for r in long.groupBy("c").agg(*aggs).collect()}
+    if moments is not None:
+        moments.update({c: (r["n"], r["mean"], r["std"], r["lo"], r["hi"]) for c, r in stats.items()})
     # target id -> dict(c=column index, r=rank, a, b=bracket, value, below)
     targets: dict[int, dict] = {}
     plan: dict[tuple[int, float], tuple[int, int, float]] = {}
