@@ -34,6 +34,21 @@ def split_words(text: str | Column, sep_class: str = SPACE_CLASS, sep_chars: str
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, sep_class + "+"))
 
 
+ROW_KEY = ["k1", "k2"]
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """Two hashes, k1 and k2, that name a row by its id and text, both of which may be NULL or repeated."""
+    return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(text_col, id_col, F.lit(1)).alias("k2")]
+
+
+def keyed_join(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Join ``docs`` with a table of row keys (k1, k2), which arrive as _k1, _k2 beside columns of any name."""
+    keys = keys.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    k1, k2 = row_key(id_col, text_col)
+    return docs.join(keys, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), how)
+
+
 def uniform(*cols: Column | str) -> Column:
     """Deterministic number in (0, 1) from a hash of the columns."""
     return (F.shiftrightunsigned(F.xxhash64(*[_col(c) for c in cols]), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))

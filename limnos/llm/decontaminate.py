@@ -14,15 +14,13 @@ row back; repeated benchmark rows count once; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from limnos.llm.common import NON_WORD_CHARS, NON_WORD_CLASS, ascii_lower, split_words, stored
+from limnos.llm.common import NON_WORD_CHARS, NON_WORD_CLASS, ascii_lower, keyed_join, row_key, split_words, stored
+from limnos.llm.common import ROW_KEY as KEY
 
 WINDOW = 10
-KEY = ["k1", "k2"]
 SEP_CLASS = NON_WORD_CLASS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # texts are split before A-Z are lowered
 SEP_CHARS = "".join(c for c in NON_WORD_CHARS if not "A" <= c <= "Z")
 
@@ -45,8 +43,7 @@ def write_postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", te
     repeated.  Every document also gets one posting of the empty term at
     position ``n_words``: its length.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("k1"),
-                      F.xxhash64(text_col, id_col, F.lit(1)).alias("k2"), F.concat(_tokens(text_col), F.array(F.lit(""))).alias("words"))
+    src = docs.select(F.col(id_col).alias("doc_id"), *row_key(id_col, text_col), F.concat(_tokens(text_col), F.array(F.lit(""))).alias("words"))
     tokens = src.select("doc_id", *KEY, F.posexplode("words").alias("pos", "term")).withColumn("term", ascii_lower("term"))
     vocabulary = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     return stored(tokens.join(stored(vocabulary, "vocabulary"), "term"), "postings")
@@ -127,6 +124,4 @@ def document_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a whole benchmark window (columns as given)."""
     bad = stored(document_report(docs, benchmark, id_col, text_col).where("contaminated").select(*KEY).distinct(), "contaminated")
-    marked = reduce(lambda d, c: d.withColumnRenamed(c, f"_bad_{c}"), KEY, bad)
-    cond = (F.xxhash64(id_col, text_col) == F.col("_bad_k1")) & (F.xxhash64(text_col, id_col, F.lit(1)) == F.col("_bad_k2"))
-    return docs.join(marked, cond, "left_anti")
+    return keyed_join(docs, bad, "left_anti", id_col, text_col)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import decontaminate, mixing, secrets, sharding
+from limnos.llm import chat, decontaminate, langid, mixing, neardup, secrets, sharding
 from limnos.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,23 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@register("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document and of every raw page, from text, markup and address."""
+    docs = table(spark, sf_dir, "documents")
+    records = langid.document_records(docs).withColumn("page_id", F.lit(None).cast("long")).unionByName(
+        langid.page_records(table(spark, sf_dir, "pages")).withColumn("doc_id", F.lit(None).cast("long")))
+    found = langid.identify(records, langid.training_rows(docs))
+    return found.select("doc_id", "page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "host", "letters", "kept")
+
+
+@register("op3_chat_formatting")
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the planted one, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.planted_conversation(spark))
+    return chat.read_back(chat.format_turns(turns))
+
+
 @register("op4_sharding")
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes, through 4,096 virtual slots."""
@@ -64,6 +81,36 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') END AS w
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + least(5, len(w)) - 1), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS s FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b
+  WHERE 100 * both >= 85 * (sa.n + sb.n - both)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM docs
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_id AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT docs.doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, docs.doc_id = component_id AS kept
+FROM docs LEFT JOIN sizes USING (doc_id) JOIN least_id USING (doc_id)
+"""
+
+
+@register("op8_minhash_near_dedup", OP8_SQL)
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at a Jaccard similarity of 0.85."""
+    groups = neardup.near_duplicate_groups(table(spark, sf_dir, "documents"), 85)
+    return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @register("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words by source weights."""
