@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,20 @@ def keyed_join(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id
     return docs.join(keys, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), how)
 
 
+class WordHashes(dict):
+    """Memo of the 64-bit hashes of words or lines (bytes), emptied when it grows past ``limit`` entries."""
+
+    def __init__(self, limit: int = 1_000_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 def uniform(*cols: Column | str) -> Column:
     """Deterministic number in (0, 1) from a hash of the columns."""
     return (F.shiftrightunsigned(F.xxhash64(*[_col(c) for c in cols]), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))

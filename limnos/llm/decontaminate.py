@@ -90,8 +90,8 @@ def find_matches(postings: DataFrame, terms: DataFrame, window: int = WINDOW, sl
     # Survivors: look up all item words within one window of the anchor.
     around = (aligned.select(*KEY, "item", "diag", F.explode(F.sequence(F.greatest(F.col("p1") - window + 1, F.lit(0)), F.col("p1") + window - 1)).alias("p"))
               .distinct().join(terms, ["item", "p"]))
-    doc_postings = postings.join(aligned.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "term", "pos").distinct()
-    found = (_near(around, F.col("diag") + F.col("p"), slop).join(doc_postings, [*KEY, "term", "pos"])
+    # Survivors grow with the corpus, so they are never broadcast: one sort-merge join at every size.
+    found = (_near(around, F.col("diag") + F.col("p"), slop).join(postings.select(*KEY, "term", "pos").hint("merge"), [*KEY, "term", "pos"])
              .groupBy(*KEY, "item", "item_id", "diag", "len", "p").agg(F.bool_or(F.col("off") == 0).alias("on")))
     line = Window.partitionBy(*KEY, "item", "diag")
     order = line.orderBy("p")

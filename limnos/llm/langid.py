@@ -42,6 +42,11 @@ _FOLD[:128] = 32
 _FOLD[65:91] = _FOLD[97:123] = np.arange(97, 123)
 
 
+def _bytes(text: str) -> np.ndarray:
+    """UTF-8 bytes between two blanks, so a one-letter word has a trigram."""
+    return np.frombuffer(f" {text} ".encode(), np.uint8)
+
+
 def _trigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the trigram at every byte but the last two, and whether it holds a letter."""
     x = _FOLD[data].astype(np.uint32)
@@ -57,9 +62,8 @@ def fit_text_models(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[
     names = sorted({r.label for r in rows})
     counts = np.zeros((len(names), 1 << BITS))
     for r in rows:
-        data = np.frombuffer(r.text.encode(), np.uint8)
-        if len(data) > 2:
-            code, letter = _trigrams(data)
+        code, letter = _trigrams(_bytes(r.text))
+        if len(code):
             counts[names.index(r.label)] += np.bincount(code[letter], minlength=1 << BITS)
     total = counts.sum(axis=1, keepdims=True)
     return names, np.log((counts + 0.05) / (total + 0.05 * (1 << BITS))).astype(np.float32)
@@ -73,7 +77,7 @@ def _score_batches(model: np.ndarray):
             texts = pc.fill_null(batch.column(0), "")
             scores, letters = [], []
             for text in texts:
-                data = np.frombuffer(text.as_buffer() or b"", np.uint8)
+                data = _bytes(text.as_py())
                 total, n = np.zeros(table.shape[1]), 0
                 for at in range(0, max(len(data) - 2, 0), 1 << 20):  # blocks bound the memory of very long texts
                     code, letter = _trigrams(data[at:at + (1 << 20) + 2])

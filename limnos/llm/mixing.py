@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from limnos.llm.common import split_words, stored, uniform
+from limnos.llm.common import ROW_KEY, keyed_join, row_key, split_words, stored, uniform
 
 FAN_IN = 64
 EPS = 1e-9
@@ -124,13 +124,13 @@ def pivotal_round(members: DataFrame, seed: int = 17, fan_in: int = FAN_IN) -> D
 
 def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per document row: doc_id, text_key, source, size, source_size, target, copies."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_key"),
+    """One row per document row: doc_id, k1, k2 (row key), source, size, source_size, target, copies."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *row_key(id_col, text_col),
                        F.size(split_words(text_col)).cast("long").alias("size"))
     # Repeated rows are counted and numbered again, so each has a key of its own.
-    same = rows.groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("n"))
-    rows = same.select("doc_id", "source", "text_key", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("occurrence"))
-    rows = stored(rows.withColumn("key", F.md5(F.to_json(F.struct("doc_id", "source", "text_key", "size", "occurrence")).cast("binary"))), "mix-rows")
+    same = rows.groupBy("doc_id", "source", *ROW_KEY, "size").agg(F.count("*").alias("n"))
+    rows = same.select("doc_id", "source", *ROW_KEY, "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("occurrence"))
+    rows = stored(rows.withColumn("key", F.md5(F.to_json(F.struct("doc_id", "source", *ROW_KEY, "size", "occurrence")).cast("binary"))), "mix-rows")
     sources = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     targets = stored(share_targets(cycle_weights(sources, weights), share, limit), "mix-targets")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -141,4 +141,17 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rounded = pivotal_round(stored(fractional, "mix-fractions"), seed)
     copies = (F.col("whole") + F.coalesce("copies", F.lit(0))).cast("int")
     return (joined.join(rounded, "key", "left")
-            .select("doc_id", "text_key", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).alias("copies")))
+            .select("doc_id", *ROW_KEY, "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).alias("copies")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it (columns as given)."""
+    copies = mix_copies(docs, id_col, text_col, source_col, **options)
+    per_key = stored(copies.groupBy(*ROW_KEY, F.col("source").alias("_source")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "mix-copies")
+    joined = keyed_join(docs, per_key.where("_copies > 0"), "inner", id_col, text_col).where(F.col(source_col).eqNullSafe(F.col("_source")))
+    times = lambda d: d.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    if per_key.where("_rows > 1").isEmpty():
+        return times(joined)
+    # Rows repeated as they are share one key; one of them stands for all.
+    again = joined.where("_rows > 1").dropDuplicates(["_k1", "_k2", "_source"])
+    return times(joined.where("_rows = 1")).unionByName(times(again))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.common import ROW_KEY as KEY
-from limnos.llm.common import keyed_join, row_key, stored
+from limnos.llm.common import WordHashes, keyed_join, row_key, stored
 from limnos.llm.components import connected_components
 
 PERMUTATIONS = 64
@@ -43,21 +43,10 @@ VALUES = BANDS * BAND_ROWS
 SIGN_LEAST = 0.71
 SHINGLE = 5
 BLOCK = 1024
-MEMO = 1_000_000
 
 _MULTIPLIERS = np.random.default_rng(20240229).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class WordHashes(dict):
-    """Memo of word hashes, emptied when it grows past ``MEMO`` words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def shingle_set(text: str | None, memo: WordHashes, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles (A-Z lowered; a shorter text is one shingle)."""
     words = (text or "").encode().lower().split()  # bytes: only A-Z are lowered, only ASCII white space splits

@@ -101,3 +101,11 @@ def assign_shards(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col:
     loads = stored(slot_loads(records, slots), "slot-loads")
     slot_map = stored(first_map(loads, shards), "slot-map")
     return number_rows(records, slot_map, loads).drop("order_key")
+
+
+def with_shards(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``virtual_slot`` and ``shard``; only sizes are summed, no text is shuffled."""
+    sizes = docs.select(slot_of(id_col, text_col, slots).alias("vslot"), byte_size(text_col).alias("size"))
+    slot_map = stored(first_map(stored(slot_loads(sizes, slots), "slot-loads"), shards), "slot-map")
+    placed = slot_map.select(F.col("vslot").alias("virtual_slot"), "shard")
+    return docs.withColumn("virtual_slot", slot_of(id_col, text_col, slots)).join(F.broadcast(placed), "virtual_slot").select(*docs.columns, "virtual_slot", "shard")
