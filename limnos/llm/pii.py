@@ -33,6 +33,7 @@ EPOCHS = 8
 RATE = 0.2
 DECAY = 1e-4
 SURE = 0.95
+MEMO = 100_000
 
 # The base patterns, anchored so that no start inside a run is tried twice.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -150,16 +151,17 @@ class Region:
             if not opens[i]:
                 continue
             digits = at_signs = 0
-            letters = False
+            letters = blank = False
             for j in range(i, min(i + MAX_TOKENS, self.n)):
                 token = text[self.starts[j]:self.ends[j]]
                 digits += len(token) if token[0].isdigit() else 0
                 letters |= token[0].isalpha()
                 at_signs += token == "@"
-                if digits > MAX_DIGITS or "\n" in token:
+                blank |= token[0].isspace()
+                if digits > MAX_DIGITS or "\n" in token or blank and (letters or at_signs):
                     break
-                # Numbers hold no letters; addresses hold an at-sign.
-                if closes[j] and (at_signs == 1 or not letters and digits >= LEAST_DIGITS):
+                # Numbers hold no letters; addresses hold an at-sign and no blank.
+                if closes[j] and (at_signs == 1 and not blank or not at_signs and not letters and digits >= LEAST_DIGITS):
                     self.spans.append((i, j + 1, span_features(text, self.starts[i], self.ends[j])))
 
 
@@ -170,6 +172,21 @@ class SpanModel:
         self.index: dict[str, int] = {}
         self.weights = np.zeros((0, len(KINDS)))
         self.moves = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
+        self.memo: dict[tuple, bool] = {}
+
+    def _may_be_sure(self, span: tuple[int, int, list[str]]) -> bool:
+        """Whether a span could reach ``SURE``: against the same segmentation with the span's tokens
+        outside, its odds are at most this; so regions without such a span need no program."""
+        i, j, names = span
+        key = (j - i, *names)
+        if (able := self.memo.get(key)) is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            score = self.weights[[self.index[x] for x in names if x in self.index]].sum(axis=0)
+            outside = (self.moves[:, :1] + (j - i - 1) * self.moves[0, 0])[:, None, :] + self.moves[0][None, :, None]
+            inside = self.moves[:, None, 1:] + self.moves[1:, :].T[None, :, :] + score
+            able = self.memo[key] = bool((inside - outside).max() >= np.log(SURE))
+        return able
 
     def _vectors(self, region: Region, grow: bool = False) -> list[tuple[int, int, np.ndarray]]:
         out = []
@@ -263,14 +280,17 @@ class SpanModel:
         if not len(self.weights):
             return []
         out = []
+        taken = np.zeros(len(text) + 1, np.int64)  # characters of base spans before each place
+        for _, a, b in base:
+            taken[a + 1:b + 1] = 1
+        np.cumsum(taken, out=taken)
         for lo, hi in regions(text):
-            known = [(a, b) for _, a, b in base if a < hi and b > lo]
             region = Region(text, lo, hi)
-            free = [(i, j) for i, j, _ in region.spans if not any(a < region.ends[j - 1] and b > region.starts[i] for a, b in known)]
+            free = {s[:2] for s in region.spans if self._may_be_sure(s) and taken[region.starts[s[0]]] == taken[region.ends[s[1] - 1]]}
             if not free:
                 continue
             spans = self._vectors(region)
-            chosen = [(k, y) for k, y in self.best(region.n, spans) if spans[k][:2] in set(free)]
+            chosen = [(k, y) for k, y in self.best(region.n, spans) if spans[k][:2] in free]
             if chosen:
                 made = self.marginals(region.n, spans)[0]
                 out += [(KINDS[y], region.starts[spans[k][0]], region.ends[spans[k][1] - 1]) for k, y in chosen if made[k, y] >= SURE]
