@@ -17,11 +17,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limnos.session import qcol
+from limnos.session import qcol, stored
 
 try:  # ship the per-group solver by value: executors need numpy/pandas, not this package
     import sys as _sys
@@ -335,83 +335,67 @@ def union_results(frames: Sequence[DataFrame]) -> DataFrame:
 
 # ----------------------------------------------------------- exact splits
 _HASH_BITS = 60
-_STEP_BITS = 11
+_STEP_BITS = 15
 
 
-def _test_size(n: int, test_fraction: float, rule: str) -> int:
+def _test_size(n: Column, test_fraction: float, rule: str) -> Column:
     if rule == "sklearn":                      # test = ceil(fraction * n)
-        return min(n, int(-(-test_fraction * n // 1)))
-    train = max(1, int((1.0 - test_fraction) * n))   # OLS script: train = max(1, floor(0.8 n)) ...
-    test = n - train
-    return 1 if test == 0 and n > 0 else test        # ... and the test side is never empty
+        return F.least(n, F.ceil(F.lit(test_fraction) * n))
+    train = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(1.0 - test_fraction) * n))   # OLS script: train = max(1, floor(0.8 n)) ...
+    return F.greatest(n - train, F.lit(1).cast("long"))                                  # ... and the test side is never empty
+
+
+def _cut_hashes(keys: DataFrame, need: DataFrame) -> DataFrame:
+    """Per group the hash at which ``need`` rows (those of least hash) are reached.
+
+    ``keys``: __g, __h (60 bits); ``need``: __g, __need (at least 1).  Returns
+    __g, __cut, __left (rows still wanted among those with the cut hash) and
+    __at (rows that have it).  Each step counts at most 2^15 prefixes a group;
+    the state stays a table with one row a group.
+    """
+    state, done = need.select("__g", "__need", F.lit(0).cast("long").alias("__p")), 0
+    while done < _HASH_BITS:
+        step = min(_STEP_BITS, _HASH_BITS - done)
+        here = keys.join(state, "__g")
+        if done:
+            here = here.filter(F.shiftright("__h", _HASH_BITS - done) == F.col("__p"))
+        done += step
+        hist = here.groupBy("__g", "__need", F.shiftright("__h", _HASH_BITS - done).alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
+        cum = hist.withColumn("__cum", F.sum("__n").over(Window.partitionBy("__g").orderBy("__b")))
+        reached = cum.filter(F.col("__cum") >= F.col("__need")).groupBy("__g").agg(F.min(F.struct("__b", "__need", "__cum", "__n")).alias("x"))
+        state = stored(reached.select("__g", (F.col("x.__need") - F.col("x.__cum") + F.col("x.__n")).alias("__need"),
+                                      F.col("x.__b").alias("__p"), F.col("x.__n").alias("__n")), "split-state")
+    return state.select("__g", F.col("__p").alias("__cut"), F.col("__need").alias("__left"), F.col("__n").alias("__at"))
 
 
 def exact_split(df: DataFrame, key_cols: Sequence[str], by: Sequence[str] = (), test_fraction: float = 0.2,
-                seed: int = 42, rule: str = "sklearn", col: str = "is_test", bins_bits: int = _STEP_BITS,
-                small: int = 50_000) -> DataFrame:
+                seed: int = 42, rule: str = "sklearn", col: str = "is_test") -> DataFrame:
     """M2 ``exact=True``: per group exactly the reference's test size, chosen as
-    the rows with the smallest ``(hash(key, seed), key)``.
-
-    The cut point is found per group by bracketing on a 60-bit hash prefix
-    (one bounded aggregate per 11 bits, at most ``2^bins_bits`` rows per group
-    to the driver); only the rows of the final small bucket are fetched to
-    break the tie exactly.  No group is ever sorted in one task.  Groups are
-    few (targets): one row per group reaches the driver.  Keys should be
-    unique within a group; rows sharing a whole key move together.
+    the rows with the smallest ``hash(key, seed)``.
+
+    The cut is found on 15 bits of the hash at a time, by counts alone.  Rows
+    that share the cut hash (repeated keys) are told apart by a hash of the
+    whole row and, for rows equal in every column, of an occurrence number, so
+    the size is exact whatever repeats.  No group is sorted in one task and
+    nothing that grows with groups or repeats reaches the driver.
     """
     key_txt = F.concat_ws("\u0001", *[_key_part(c) for c in key_cols])
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", key_txt, F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+    sixty = lambda text: F.conv(F.substring(F.md5(text), 1, _HASH_BITS // 4), 16, 10).cast("long")
     gid = F.to_json(F.struct(*[qcol(b) for b in by])) if by else F.lit("")
-    data = df.withColumns({"__h": h, "__k": key_txt, "__g": gid})
-    counts = {r["__g"]: r["n"] for r in data.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # per group: [rank wanted (0-based, last test row), prefix, bits fixed, rows below prefix, cut]
-    state = {g: [_test_size(n, test_fraction, rule) - 1, 0, 0, 0, None] for g, n in counts.items()}
-    spark = df.sparkSession
-    schema = "__bg string, __bp long, __bl int"
-    while True:
-        todo = {g: s for g, s in state.items() if s[4] is None and s[0] >= 0}
-        if not todo:
-            break
-        br = F.broadcast(spark.createDataFrame([(g, s[1], s[2]) for g, s in todo.items()], schema))
-        j = data.join(br, data["__g"] == br["__bg"])
-        hi = f"({_HASH_BITS} - __bl)"
-        step = f"least({bins_bits}, {hi})"
-        prefix = F.expr(f"CASE WHEN __bl = 0 THEN 0L ELSE shiftright(__h, {hi}) END")
-        bucket = F.when(prefix < F.col("__bp"), F.lit(-1)).otherwise(
-            F.expr(f"shiftright(__h, {hi} - {step}) & (shiftleft(1L, {step}) - 1)"))
-        hist = (j.filter(prefix <= F.col("__bp")).groupBy("__bg", bucket.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n")).collect())
-        by_g: dict[str, list] = {}
-        for row in hist:
-            by_g.setdefault(row["__bg"], []).append(row)
-        fetch = []
-        for g, s in todo.items():
-            rows = sorted(by_g.get(g, []), key=lambda r: r["b"])
-            cum = sum(r["n"] for r in rows if r["b"] == -1)
-            step_bits = min(bins_bits, _HASH_BITS - s[2])
-            for r in rows:
-                if r["b"] < 0:
-                    continue
-                if cum + r["n"] > s[0]:
-                    s[1], s[2], s[3] = (s[1] << step_bits) | r["b"], s[2] + step_bits, cum
-                    if r["n"] <= small or s[2] >= _HASH_BITS:
-                        fetch.append(g)
-                    break
-                cum += r["n"]
-        if fetch:
-            br = spark.createDataFrame([(g, state[g][1], state[g][2]) for g in fetch], schema)
-            sel = data.join(F.broadcast(br), data["__g"] == br["__bg"]).filter(
-                F.expr(f"CASE WHEN __bl = 0 THEN 0L ELSE shiftright(__h, {_HASH_BITS} - __bl) END") == F.col("__bp")
-            ).select("__bg", "__h", "__k").collect()
-            got: dict[str, list] = {}
-            for row in sel:
-                got.setdefault(row["__bg"], []).append((row["__h"], row["__k"]))
-            for g in fetch:
-                s = state[g]
-                s[4] = sorted(got[g])[s[0] - s[3]]
-    cuts = [(g, s[4][0], s[4][1]) if s[4] else (g, None, None) for g, s in state.items()]
-    cut_df = F.broadcast(spark.createDataFrame(cuts, "__g string, __ch long, __ck string"))
-    marked = data.join(cut_df, on="__g", how="left")
-    is_test = F.coalesce(F.struct("__h", "__k") <= F.struct("__ch", "__ck"), F.lit(False)) \
-        & F.col("__ch").isNotNull()
-    return marked.withColumn(col, is_test).drop("__h", "__k", "__g", "__ch", "__ck")
+    data = df.withColumns({"__h": sixty(F.concat_ws(":", key_txt, F.lit(str(seed)))), "__g": gid})
+    keys = stored(data.select("__g", "__h"), "split-keys")
+    need = keys.groupBy("__g").agg(F.count(F.lit(1)).alias("__n")).select("__g", _test_size(F.col("__n"), test_fraction, rule).alias("__need"))
+    cuts = stored(_cut_hashes(keys, need.filter("__need > 0")), "split-cuts")
+    marked = data.join(cuts, "__g", "left")
+    tied = F.coalesce((F.col("__h") == F.col("__cut")) & (F.col("__left") < F.col("__at")), F.lit(False))
+    plain = marked.filter(~tied).withColumn(col, F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False)))
+    plain = plain.select(*df.columns, col)
+    if cuts.filter("__left < __at").isEmpty():
+        return plain
+    same = marked.filter(tied).groupBy(*[qcol(c) for c in df.columns], "__g", "__left").agg(F.count(F.lit(1)).alias("__n"))
+    rows = same.withColumn("__o", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    text = F.to_json(F.struct(*[qcol(c) for c in df.columns], "__o"))
+    rows = stored(rows.withColumn("__h", sixty(F.concat_ws(":", text, F.lit(str(seed))))), "split-ties")
+    inner = _cut_hashes(rows.select("__g", "__h"), rows.select("__g", F.col("__left").alias("__need")).distinct())
+    ties = rows.join(inner.select("__g", "__cut"), "__g").withColumn(col, F.col("__h") <= F.col("__cut"))
+    return plain.unionByName(ties.select(*df.columns, col))

@@ -2,48 +2,60 @@
 
 Spark's ``percentile`` is exact but merges a map of every distinct value of
 a group in one task, which is unbounded for a global quantile over a large
-continuous column.  Here each quantile is found by histogram bracketing: one
-aggregate per round counts values below the bracket and per bucket inside it
-(at most ``bins`` + 1 rows per target reach the driver), the bracket shrinks
-to the bucket holding the wanted rank, and once that bucket holds at most
-``small`` values (or a single distinct value) those values are fetched and
-the rank read off.  Results equal numpy's linear interpolation.
+continuous column.  Here a quantile sketch brackets the wanted ranks, and an
+aggregate of conditional counts proves the bracket: how many values lie below
+it, on its ends and strictly inside.  A rank on an end is found; else only the
+values strictly inside matter.  Once they are few (``SMALL``, as counted) one
+more aggregate sorts them and picks the rank; until then a sketch of them gives
+the next bracket.  Every step is one aggregate over the source, whatever the
+number of columns and quantiles, and returns one row a group: three scans for
+up to some ten million values, two more for every further factor of a thousand.
+
+An open bracket loses both its ends in each round, so the search ends for any
+data.  Infinities are values like others; NaN and NULL are missing.  Results
+equal numpy's linear interpolation.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limnos.session import qcol
 
+ACCURACY = 10_000
+SMALL = 10_000
 
-def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(i).alias("c"), qcol(c).cast("double").alias("v")) for i, c in enumerate(cols)])
-    return (df.select(F.explode(pairs).alias("x")).select("x.c", "x.v")
-            .filter(F.col("v").isNotNull() & ~F.isnan(F.col("v"))))
 
+@dataclass
+class _Rank:
+    """One wanted rank of a column in a group, and what is known of it.
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], bins: int = 2048,
-                    small: int = 50_000, max_rounds: int = 24, sketch_accuracy: int | None = None
-                    ) -> dict[str, list[float | None]]:
-    """``{column: [quantile per prob]}``; NULL (None) for a column without values.
-
-    Round 0 is one aggregate: count, min, max (and, with ``sketch_accuracy``,
-    a ``percentile_approx`` sketch whose neighbouring quantiles seed a narrow
-    bracket around each wanted rank — worth it when many bracketing rounds
-    would follow).  Every counting round counts the values below the bracket
-    and per bucket inside it, so the rank is always verified exactly; a
-    bracket that misses the rank falls back to [min, max].
+    ``a`` and ``b`` are the bracket's ends (at first ``lo`` and ``hi``, the least and
+    greatest value); ``below`` values are known to lie under the open interval,
+    ``inside`` in it (None: not counted yet).
     """
-    cols = list(cols)
-    found = _search(_long(df, cols), df.sparkSession, range(len(cols)), probs, bins, small, max_rounds,
-                    sketch_accuracy)
-    return {c: found[ci] for ci, c in enumerate(cols)}
+
+    group: int
+    col: int
+    rank: int
+    lo: float
+    hi: float
+    a: float
+    b: float
+    below: int = 0
+    inside: int | None = None
+    value: float | None = None
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """``{column: [quantile per prob]}``; None for a column without values."""
+    return {c: v[-1] for c, v in exact_profile(df, cols, probs).items()}
 
 
 def exact_profile(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
@@ -51,15 +63,14 @@ def exact_profile(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     """``{column: (count, mean, std_samp, min, max, [quantiles])}`` from one search
     (the moments come from the search's first pass)."""
     cols = list(cols)
-    moments: dict = {}
-    found = _search(_long(df, cols), df.sparkSession, range(len(cols)), probs, 2048, 50_000, 24, None, moments)
-    return {c: (*moments.get(ci, (0, None, None, None, None)), found[ci]) for ci, c in enumerate(cols)}
+    frame = df.select(F.lit(0).alias("g"), *_values(cols))
+    found, moments = _search(frame, [0], len(cols), probs)
+    return {c: (*moments[0, i], found[0, i]) for i, c in enumerate(cols)}
 
 
 def exact_quantiles_by(df: DataFrame, group_col: str, groups: Sequence[int], cols: Sequence[str],
-                       probs: Sequence[float], bins: int = 2048, small: int = 50_000, max_rounds: int = 24
-                       ) -> dict[int, dict[str, list[float | None]]]:
-    """Exact quantiles per (integer group, column) in one bracketing run.
+                       probs: Sequence[float]) -> dict[int, dict[str, list[float | None]]]:
+    """Exact quantiles per (integer group, column) in one search.
 
     ``group_col`` holds small non-negative ints (e.g. a fold id); a row may
     belong to several groups if ``group_col`` is an array column (it is
@@ -68,121 +79,158 @@ def exact_quantiles_by(df: DataFrame, group_col: str, groups: Sequence[int], col
     """
     cols = list(cols)
     gcol = qcol(group_col)
-    is_array = isinstance(df.schema[group_col].dataType, T.ArrayType)
-    base = df.select((F.explode(gcol) if is_array else gcol).alias("__grp"), *[qcol(c) for c in cols]) \
-        .withColumn("__grp", F.col("__grp").cast("int"))
-    pairs = F.array(*[F.struct((F.col("__grp") * len(cols) + i).alias("c"), qcol(c).cast("double").alias("v"))
-                      for i, c in enumerate(cols)])
-    long = (base.select(F.explode(pairs).alias("x")).select("x.c", "x.v")
-            .filter(F.col("v").isNotNull() & ~F.isnan(F.col("v"))))
-    keys = [gi * len(cols) + ci for gi in groups for ci in range(len(cols))]
-    found = _search(long, df.sparkSession, keys, probs, bins, small, max_rounds, None)
-    return {gi: {c: found[gi * len(cols) + ci] for ci, c in enumerate(cols)} for gi in groups}
-
-
-def _search(long: DataFrame, spark, keys, probs: Sequence[float], bins: int, small: int, max_rounds: int,
-            sketch_accuracy: int | None, moments: dict | None = None) -> dict[int, list[float | None]]:
-    """Bracketing search over ``long(c int, v double)`` for every target key ``c`` in ``keys``.
-
-    ``moments``, if given, receives ``{c: (count, mean, std, min, max)}`` from
-    the first pass, so a profile needs no separate scan.
-    """
-    keys = list(keys)
-    aggs = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-            F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")]
-    if sketch_accuracy:
-        eps = 4.0 / sketch_accuracy
-        sketch_ps: list[float] = []
-        for p in probs:
-            sketch_ps += [max(0.0, p - eps), min(1.0, p + eps)]
-        arr = F.array(*[F.lit(float(x)) for x in sketch_ps])
-        aggs.append(F.percentile_approx("v", arr, sketch_accuracy).alias("sk"))
-    stats = {r["c"]: r for r in long.groupBy("c").agg(*aggs).collect()}
-    if moments is not None:
-        moments.update({c: (r["n"], r["mean"], r["std"], r["lo"], r["hi"]) for c, r in stats.items()})
-    # target id -> dict(c=column index, r=rank, a, b=bracket, value, below)
-    targets: dict[int, dict] = {}
-    plan: dict[tuple[int, float], tuple[int, int, float]] = {}
-    for ci in keys:
-        st = stats.get(ci)
-        if st is None:
-            continue
-        for pi, p in enumerate(probs):
-            pos = p * (st["n"] - 1)
-            r_lo, r_hi = math.floor(pos), math.ceil(pos)
-            ids = []
-            for r in (r_lo, r_hi):
-                key = next((t for t, v in targets.items() if v["c"] == ci and v["r"] == r), None)
-                if key is None:
-                    key = len(targets)
-                    a, b = (st["sk"][2 * pi], st["sk"][2 * pi + 1]) if sketch_accuracy else (st["lo"], st["hi"])
-                    targets[key] = {"c": ci, "r": r, "a": min(a, b), "b": max(a, b), "value": None, "below": 0}
-                ids.append(key)
-            plan[(ci, p)] = (ids[0], ids[1], pos - r_lo)
-    bracket_schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("c", T.IntegerType()),
-                                   T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
-
-    def bracket(keys):
-        return spark.createDataFrame([(k, targets[k]["c"], float(targets[k]["a"]), float(targets[k]["b"]))
-                                      for k in keys], bracket_schema)
-
-    for _ in range(max_rounds):
-        open_t = [k for k, v in targets.items() if v["value"] is None]
-        if not open_t:
-            break
-        j = long.join(F.broadcast(bracket(open_t)), on="c").filter(F.col("v") <= F.col("b"))
-        width = F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a")).otherwise(F.lit(1.0))
-        bucket = F.when(F.col("v") < F.col("a"), F.lit(-1)).otherwise(
-            F.least(F.floor((F.col("v") - F.col("a")) / width * F.lit(bins)), F.lit(bins - 1)).cast("int"))
-        hist = (j.groupBy("t", bucket.alias("k"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
-        by_t: dict[int, list] = {}
-        for row in hist:
-            by_t.setdefault(row["t"], []).append(row)
-        fetch = []
-        for k in open_t:
-            t = targets[k]
-            rows = sorted(by_t.get(k, []), key=lambda r: r["k"])
-            below = sum(r["n"] for r in rows if r["k"] == -1)
-            inside = [r for r in rows if r["k"] >= 0]
-            if not below <= t["r"] < below + sum(r["n"] for r in inside):
-                st = stats[t["c"]]          # the sketch missed: search the full range
-                t["a"], t["b"] = st["lo"], st["hi"]
-                continue
-            cum = below
-            for row in inside:
-                if cum + row["n"] > t["r"]:
-                    if row["lo"] == row["hi"]:
-                        t["value"] = row["lo"]
-                    else:
-                        t["a"], t["b"], t["below"] = row["lo"], row["hi"], cum
-                        if row["n"] <= small:
-                            fetch.append(k)
-                    break
-                cum += row["n"]
-        if fetch:
-            vals = (long.join(F.broadcast(bracket(fetch)), on="c")
-                    .filter((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b"))).select("t", "v").collect())
-            got: dict[int, list[float]] = {}
-            for row in vals:
-                got.setdefault(row["t"], []).append(row["v"])
-            for k in fetch:
-                t = targets[k]
-                t["value"] = sorted(got[k])[t["r"] - t["below"]]
-    out: dict[int, list[float | None]] = {}
-    for ci in keys:
-        res = []
-        for p in probs:
-            if (ci, p) not in plan:
-                res.append(None)
-                continue
-            a, b, frac = plan[(ci, p)]
-            lo, hi = targets[a]["value"], targets[b]["value"]
-            res.append(lo + (hi - lo) * frac if frac else lo)
-        out[ci] = res
-    return out
+    if isinstance(df.schema[group_col].dataType, T.ArrayType):
+        gcol = F.explode(gcol)
+    frame = df.select(gcol.cast("int").alias("g"), *_values(cols)).filter(F.col("g").isin(*[int(g) for g in groups]))
+    found, _ = _search(frame, groups, len(cols), probs)
+    return {g: {c: found[g, i] for i, c in enumerate(cols)} for g in groups}
 
 
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """Exact median per column (numpy/pandas ``median``: mean of the middle pair)."""
     return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}
+
+
+def _values(cols: Sequence[str]) -> list[Column]:
+    out = []
+    for i, c in enumerate(cols):
+        v = qcol(c).cast("double")
+        out.append(F.when(~F.isnan(v), v).alias(f"v{i}"))
+    return out
+
+
+def _by_group(values: dict[int, float]) -> Column:
+    """A number per group as a column; NULL for other groups."""
+    whens = F.lit(None).cast("double")
+    for g, v in values.items():
+        whens = F.when(F.col("g") == g, F.lit(float(v))).otherwise(whens)
+    return whens
+
+
+def _search(frame: DataFrame, groups: Sequence[int], width: int, probs: Sequence[float]):
+    """Quantiles and moments per (group, column) of ``frame`` (g, v0, v1, ...)."""
+    shares = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-2.0 / ACCURACY, 2.0 / ACCURACY)}) if probs else [0.5]
+    first = {r["g"]: r for r in frame.groupBy("g").agg(*[x for i in range(width) for x in (
+        F.count(f"v{i}").alias(f"n{i}"), F.avg(f"v{i}").alias(f"mean{i}"), F.stddev_samp(f"v{i}").alias(f"std{i}"),
+        F.min(f"v{i}").alias(f"min{i}"), F.max(f"v{i}").alias(f"max{i}"),
+        F.percentile_approx(f"v{i}", shares, ACCURACY).alias(f"q{i}"))]).collect()}
+    moments, ranks, plan = {}, {}, {}
+    for g in groups:
+        row = first.get(g)
+        for i in range(width):
+            n = row[f"n{i}"] if row else 0
+            moments[g, i] = (n, *(row[f"{k}{i}"] if n else None for k in ("mean", "std", "min", "max")))
+            for p in probs if n else ():
+                at = p * (n - 1)
+                for r in {math.floor(at), math.ceil(at)}:
+                    t = ranks.setdefault((g, i, r), _Rank(g, i, r, *2 * (row[f"min{i}"], row[f"max{i}"])))
+                    _narrow(t, shares, row[f"q{i}"], (r + 0.5) / n)
+                plan[g, i, p] = (math.floor(at), math.ceil(at), at - math.floor(at))
+    todo = list(ranks.values())
+    while todo:
+        _count_brackets(frame, todo)
+        counted = [t for t in todo if t.value is None and t.inside is not None]
+        _pick(frame, [t for t in counted if t.inside <= SMALL])
+        _sketch_inside(frame, [t for t in counted if t.value is None])
+        todo = [t for t in todo if t.value is None]
+    out = {}
+    for g in groups:
+        for i in range(width):
+            out[g, i] = []
+            for p in probs:
+                if (g, i, p) not in plan:
+                    out[g, i].append(None)
+                    continue
+                lo, hi, part = plan[g, i, p]
+                a, b = ranks[g, i, lo].value, ranks[g, i, hi].value
+                out[g, i].append(a if not part or a == b else a + (b - a) * part)
+    return out, moments
+
+
+def _narrow(t: _Rank, shares: Sequence[float], values: Sequence[float], share: float) -> None:
+    """Set the bracket of ``t`` to the sketched values around ``share`` (with the sketch's error to spare)."""
+    under = [v for s, v in zip(shares, values) if s <= share - 1.5 / ACCURACY]
+    over = [v for s, v in zip(shares, values) if s >= share + 1.5 / ACCURACY]
+    t.a, t.b = max([t.a, *under]), min([t.b, *over])
+
+
+def _slots(targets: Sequence[_Rank]) -> dict[tuple[int, int], list[_Rank]]:
+    """Targets by (column, number within its group and column): one expression serves all groups."""
+    slots: dict[tuple[int, int], list[_Rank]] = {}
+    seen: dict[tuple[int, int], int] = {}
+    for t in targets:
+        k = seen[t.group, t.col] = seen.get((t.group, t.col), -1) + 1
+        slots.setdefault((t.col, k), []).append(t)
+    return slots
+
+
+def _aggregate(frame: DataFrame, targets: Sequence[_Rank], make) -> dict:
+    """One aggregate with ``make(value, a, b, targets)`` (a dict of columns) per slot; {(group, col, k): {name: value}}."""
+    slots = _slots(targets)
+    exprs, names = [], {}
+    for (col, k), members in slots.items():
+        made = make(F.col(f"v{col}"), _by_group({t.group: t.a for t in members}), _by_group({t.group: t.b for t in members}), members)
+        for name, e in made.items():
+            names[f"{name}_{col}_{k}"] = (name, col, k)
+            exprs.append(e.alias(f"{name}_{col}_{k}"))
+    got = {r["g"]: r for r in frame.filter(F.col("g").isin(*sorted({t.group for t in targets}))).groupBy("g").agg(*exprs).collect()}
+    return {(t.group, col, k): {name: got[t.group][f"{name}_{col}_{k}"] for name, c, j in set(names.values()) if (c, j) == (col, k)}
+            for (col, k), members in slots.items() for t in members}
+
+
+def _each(targets: Sequence[_Rank]):
+    for (col, k), members in _slots(targets).items():
+        for t in members:
+            yield (t.group, col, k), t
+
+
+def _count_brackets(frame: DataFrame, targets: Sequence[_Rank]) -> None:
+    """Count around the brackets' ends; settle ranks that fall on an end."""
+    got = _aggregate(frame, targets, lambda v, a, b, _: {
+        "lt": F.count(F.when(v < a, 1)), "ea": F.count(F.when(v == a, 1)),
+        "mid": F.count(F.when((v > a) & (v < b), 1)), "eb": F.count(F.when((v == b) & (b > a), 1))})
+    for key, t in _each(targets):
+        c = got[key]
+        low, high = c["lt"] + c["ea"], c["lt"] + c["ea"] + c["mid"]
+        if c["lt"] <= t.rank < low:
+            t.value = t.a
+        elif high <= t.rank < high + c["eb"]:
+            t.value = t.b
+        elif t.rank < c["lt"]:  # the sketch was off by more than it promises: count again below, or above
+            t.a, t.b, t.inside = t.lo, t.a, None
+        elif t.rank >= high + c["eb"]:
+            t.a, t.b, t.inside = t.b, t.hi, None
+        else:
+            t.below, t.inside = low, c["mid"]
+
+
+def _within(v: Column, a: Column, b: Column) -> Column:
+    return F.when((v > a) & (v < b), v)
+
+
+def _pick(frame: DataFrame, targets: Sequence[_Rank]) -> None:
+    """Sort the (counted, few) values inside the brackets on the executors and take the rank."""
+    if not targets:
+        return
+    got = _aggregate(frame, targets, lambda v, a, b, members: {
+        "x": F.element_at(F.sort_array(F.collect_list(_within(v, a, b))), _by_group({t.group: t.rank - t.below + 1 for t in members}).cast("int"))})
+    for key, t in _each(targets):
+        t.value = got[key]["x"]
+
+
+def _sketch_inside(frame: DataFrame, targets: Sequence[_Rank]) -> None:
+    """Next brackets from sketches of the values inside the present ones."""
+    if not targets:
+        return
+
+    def share(t: _Rank) -> float:
+        return min(1.0, (t.rank - t.below + 0.5) / t.inside)
+
+    def shares(members: Sequence[_Rank]) -> list[float]:
+        return sorted({min(1.0, max(0.0, share(t) + e)) for t in members for e in (-2.0 / ACCURACY, 2.0 / ACCURACY)} | {0.0, 1.0})
+
+    by_slot = {(col, k): shares(m) for (col, k), m in _slots(targets).items()}
+    slots = iter(by_slot.values())
+    got = _aggregate(frame, targets, lambda v, a, b, members: {"q": F.percentile_approx(_within(v, a, b), next(slots), ACCURACY)})
+    for key, t in _each(targets):
+        _narrow(t, by_slot[key[1:]], got[key]["q"], share(t))

@@ -68,6 +68,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/limnos-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh table in the shared scratch folder and read it back (cuts the lineage)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def qcol(name: str) -> Column:
     """Column reference for names with spaces, dots, commas, slashes, parens."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from limnos.operators.spatial import EARTH_RADIUS_KM, nearest_join, nearest_label
 
@@ -115,3 +116,27 @@ def test_planar_and_great_circle_disagree_at_42n(spark):
     kw = dict(left_lat="lat", left_lon="lon", right_lat="rlat", right_lon="rlon", right_cols=["rid"], tie="rid")
     assert nearest_join(l_df, r_df, metric="planar_rad", **kw).first().rid == 11
     assert nearest_join(l_df, r_df, metric="haversine", **kw).first().rid == 10
+
+
+def test_far_cluster_is_not_compared_pair_by_pair(spark):
+    """All right points in one dense cluster, all left points far away, some with unusable coordinates."""
+    import numpy as np
+
+    from limnos.operators import spatial
+
+    rng = np.random.default_rng(8)
+    right = [(i, float(41 + x), float(-93 + y)) for i, (x, y) in enumerate(rng.uniform(0, 0.01, (2000, 2)))]
+    left = [(i, float(10 + x), float(-60 + y)) for i, (x, y) in enumerate(rng.uniform(0, 0.01, (2000, 2)))]
+    r = spark.createDataFrame([*right, (9001, float("nan"), 1.0), (9002, float("inf"), 1.0), (9003, None, 1.0)], "sid int, rlat double, rlon double")
+    l = spark.createDataFrame([*left, (9001, float("nan"), 1.0), (9002, 1.0, float("-inf")), (9003, None, None)], "id int, lat double, lon double")
+    rp = spatial._prepare_right(r, "rlat", "rlon", "sid", ["sid"], 1)
+    tree = spatial._Tree(rp, "degrees", 1)
+    locs = spark.createDataFrame(left, "id int, lat double, lon double").select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"))
+    leaves = tree.search(locs, 1)
+    assert leaves.agg(F.sum("__n")).first()[0] < 60 * (len(left) + len(right))
+    got = {x.id: x.sid for x in spatial.nearest_join(l, r, left_lat="lat", left_lon="lon", right_lat="rlat", right_lon="rlon", right_cols=["sid"], tie="sid", metric="degrees").collect()}
+    pts = np.array([(a, b) for _, a, b in right])
+    for i, a, b in left[::20]:
+        d = (pts[:, 0] - a) ** 2 + (pts[:, 1] - b) ** 2
+        assert got[i] == int(np.argmin(d))
+    assert [got[k] for k in (9001, 9002, 9003)] == [None, None, None]

@@ -14,7 +14,7 @@ def test_exact_quantiles_match_numpy(spark):
     pdf = [(float(x), float(y) if i % 5 else None) for i, (x, y) in enumerate(zip(a, b))]
     df = spark.createDataFrame(pdf, "a double, b double")
     ps = [0.02, 0.25, 0.5, 0.75, 0.98]
-    got = exact_quantiles(df, ["a", "b"], ps, bins=16, small=50)        # force several bracketing rounds
+    got = exact_quantiles(df, ["a", "b"], ps)
     bb = np.array([y for _, y in pdf if y is not None])
     assert np.allclose(got["a"], np.percentile(a, [p * 100 for p in ps]), rtol=0, atol=1e-12)
     assert np.allclose(got["b"], np.percentile(bb, [p * 100 for p in ps]), rtol=0, atol=1e-12)
@@ -122,7 +122,7 @@ def test_exact_split_sizes(spark, rule):
     sizes = {"a": 1, "b": 5, "c": 10, "d": 1003}
     data = [(g, i) for g, n in sizes.items() for i in range(n)]
     df = spark.createDataFrame(data, "g string, i int")
-    out = exact_split(df, ["i"], by=["g"], rule=rule, small=7, bins_bits=3)   # force several rounds
+    out = exact_split(df, ["i"], by=["g"], rule=rule)
     got = {r.g: r.n for r in out.filter("is_test").groupBy("g").count().withColumnRenamed("count", "n").collect()}
     import math
     for g, n in sizes.items():
@@ -140,7 +140,39 @@ def test_grouped_quantiles_equal_per_group(spark):
     rows = [(int(i % 3), float(rng.normal()), float(rng.integers(0, 5)) if i % 7 else None) for i in range(600)]
     df = spark.createDataFrame(rows, "fold int, a double, b double")
     trains = F.array_remove(F.sequence(F.lit(0), F.lit(2)), F.col("fold"))
-    got = exact_quantiles_by(df.withColumn("t", trains), "t", range(3), ["a", "b"], [0.5], bins=8, small=20)
+    got = exact_quantiles_by(df.withColumn("t", trains), "t", range(3), ["a", "b"], [0.5])
     for f in range(3):
         want = exact_medians(df.filter(F.col("fold") != f), ["a", "b"])
         assert got[f]["a"][0] == pytest.approx(want["a"]) and got[f]["b"][0] == pytest.approx(want["b"])
+
+
+def test_exact_quantiles_of_ties_infinities_and_many_rounds(spark, monkeypatch):
+    import numpy as np
+
+    from limnos.operators import stats
+
+    monkeypatch.setattr(stats, "SMALL", 3)        # force several bracketing rounds
+    monkeypatch.setattr(stats, "ACCURACY", 50)
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.normal(size=5000), np.full(4000, 0.25), np.full(3000, 0.75), [np.inf, -np.inf, 1e300]])
+    df = spark.createDataFrame([(float(v), float(i % 2)) for i, v in enumerate(data)], "a double, b double")
+    ps = [0.0, 0.001, 0.3, 0.5, 0.6, 0.99, 1.0]
+    got = stats.exact_quantiles(df, ["a", "b"], ps)
+    srt = np.sort(data)
+    for p, v in zip(ps, got["a"]):
+        at = p * (len(srt) - 1)
+        lo, hi = srt[int(np.floor(at))], srt[int(np.ceil(at))]
+        assert v == lo or np.isclose(v, lo + (hi - lo) * (at - np.floor(at)))
+    assert got["b"] == [0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0]
+
+
+def test_exact_split_sizes_with_repeated_keys(spark):
+    rows = [("g", "same", 1)] * 1000 + [("h", f"k{i % 7}", i) for i in range(101)] + [("i", None, None)]
+    df = spark.createDataFrame(rows, "g string, k string, v int")
+    from limnos.operators.regression import exact_split
+    for rule in ("sklearn", "ols"):
+        out = exact_split(df, ["k"], by=["g"], rule=rule)
+        got = {r.g: (r.t, r.n) for r in out.groupBy("g").agg(F.count(F.when(F.col("is_test"), 1)).alias("t"), F.count("*").alias("n")).collect()}
+        assert {g: t for g, (t, _) in got.items()} == {"g": 200, "h": 21 if rule == "sklearn" else 101 - int(0.8 * 101), "i": 1}
+        assert {g: n for g, (_, n) in got.items()} == {"g": 1000, "h": 101, "i": 1}
+    assert sorted(map(tuple, exact_split(df, ["k"], by=["g"]).collect()), key=str) == sorted(map(tuple, exact_split(df.repartition(5), ["k"], by=["g"]).collect()), key=str)
