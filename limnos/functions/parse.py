@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Text tokens that pandas' CSV reader treats as missing.
-NULL_TOKENS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A")
+NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 # Agricultural suppression codes that mean "no value".
 SUPPRESSION_CODES = ("(D)", "(H)", "(Z)", "(NA)")
@@ -26,9 +27,9 @@ def _c(col) -> Column:
 
 
 def null_tokens_to_null(col, tokens: Sequence[str] = NULL_TOKENS) -> Column:
-    """Missing-value tokens (compared after trimming) become NULL."""
+    """Missing-value tokens become NULL; as in pandas, a token with blanks around it is text."""
     c = _c(col)
-    return F.when(F.trim(c).isin(list(tokens)), F.lit(None)).otherwise(c)
+    return F.when(c.isin(list(tokens)), F.lit(None)).otherwise(c)
 
 
 def to_number(col) -> Column:
@@ -36,6 +37,8 @@ def to_number(col) -> Column:
 
     ``try_cast`` alone would accept ``1.0d``, ``inf`` and ``NaN``; the regex
     guard keeps the engine's rule that a missing number is NULL, never NaN.
+    A number too large for a DOUBLE (``1e999``) is an infinity, which is a value
+    like others: quantiles rank it, spatial joins leave its row unmatched.
     """
     c = _c(col).cast("string")
     return F.when(c.rlike(_NUMERIC), F.trim(c).try_cast("double"))

@@ -61,7 +61,7 @@ DEFAULT_PLACE = "Iowa"  # fixed value: label when there is no place at all
 GRID_RESOLUTION = 120  # fixed value: cells per axis
 GRID_MARGIN_DEG = 0.5  # fixed value: margin around the stations' bounding box
 SAMPLE_CAP = 4000  # fixed value: at most this many grid cells are rendered
-SAMPLE_SEED = 0
+SAMPLE_SEED = 0  # fixed value: seed of that choice
 
 
 def make_grid(points: DataFrame, lat: str, lon: str, resolution: int = GRID_RESOLUTION,
@@ -128,12 +128,12 @@ def hull_mask(grid: DataFrame, stations: DataFrame, *, lat: str, lon: str, direc
 
 
 def render_table(grid_values: DataFrame, stations: DataFrame, *, target: str, station_id: str, lat: str, lon: str,
-                 value: str, grid_value: str = "value", sample_n: int = SAMPLE_CAP, seed: int = SAMPLE_SEED,
+                 value: str, grid_value: str = "value", sample_n: int | None = None, seed: int = SAMPLE_SEED,
                  station_name: str | None = None, station_extra: Mapping[str, object] | None = None) -> DataFrame:
     """Clipped, labelled, bounded grid sample plus labelled station rows.
 
     Grid values are clipped to the 2nd..98th percentile of the *station*
-    values (exact), NULL cells dropped, at most ``sample_n`` cells kept by a
+    values (exact), NULL cells dropped; with ``sample_n`` at most that many cells are kept, by a
     seeded hash; every station row is kept with its rounded value.
     ``station_extra`` maps further station columns to the constant that
     stands in for a missing value (P12); grid rows carry NULL there.
@@ -142,7 +142,8 @@ def render_table(grid_values: DataFrame, stations: DataFrame, *, target: str, st
     lo, hi = p if p[0] is not None else (None, None)
     cells = grid_values.filter(qcol(grid_value).isNotNull()) \
         .withColumn("__v", clip(grid_value, lo, hi) if lo is not None else qcol(grid_value))
-    cells = bounded_sample(cells, ["cell_id"], sample_n, seed)
+    if sample_n is not None:
+        cells = bounded_sample(cells, ["cell_id"], sample_n, seed)
     grid_rows = cells.select(F.lit("grid").alias("kind"), F.col("cell_id").cast("string").alias("id"),
                              F.lit("Interpolated surface").alias("name"), "lat", "lon", F.col("__v").alias("value"),
                              F.lit(TARGET_UNITS.get(target, "")).alias("unit"),

@@ -1,9 +1,7 @@
 """Key joins, set comparisons and date fan-out.
 
 Join strategy is left to Catalyst + AQE: a side is broadcast at runtime
-only when its measured size is under the threshold.  An explicit broadcast
-hint is applied only behind a bounded row-count probe (``bounded_broadcast``),
-never on a side whose size grows unchecked with the data.
+only when its measured size is under the threshold; no hint is given here.
 """
 
 from __future__ import annotations
@@ -19,18 +17,6 @@ from limnos.operators.reshape import dedup_first
 from limnos.session import qcol
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int | None) -> DataFrame:
-    """Broadcast hint only if ``df`` has at most ``max_rows`` rows.
-
-    The probe reads at most ``max_rows + 1`` rows (``limit`` stops early).
-    Beyond the bound the frame is returned unhinted and the join falls back
-    to a shuffle (sort-merge) join.
-    """
-    if max_rows is None:
-        return df
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def _key_cond(left: DataFrame, right: DataFrame, lkeys: Sequence[str], rkeys: Sequence[str],
               null_safe: bool) -> Column:
     conds = []
@@ -41,8 +27,7 @@ def _key_cond(left: DataFrame, right: DataFrame, lkeys: Sequence[str], rkeys: Se
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str] | None = None,
-                 how: str = "left", null_safe: bool = False, drop_right_keys: bool = True,
-                 max_broadcast_rows: int | None = None) -> DataFrame:
+                 how: str = "left", null_safe: bool = False, drop_right_keys: bool = True) -> DataFrame:
     """Equi-join with possibly different key names on each side.
 
     ``null_safe=True`` gives pandas ``merge`` semantics (NULL matches NULL,
@@ -50,9 +35,9 @@ def join_on_keys(left: DataFrame, right: DataFrame, left_keys: Sequence[str], ri
     """
     right_keys = list(right_keys or left_keys)
     if not null_safe and list(left_keys) == right_keys:
-        out = left.join(bounded_broadcast(right, max_broadcast_rows), on=list(left_keys), how=how)
+        out = left.join(right, on=list(left_keys), how=how)
         return out
-    r = bounded_broadcast(right, max_broadcast_rows)
+    r = right
     clash = [k for k in right_keys if k in left.columns]
     renamed = {k: f"__r_{k}" for k in clash}
     r = r.withColumnsRenamed(renamed)

@@ -34,6 +34,8 @@ class ModelSpec:
     family: str  # "lr" (one-pass OLS) | "spark_lr" (Spark LinearRegression) | "rf" | "gb"
     params: Mapping[str, object] = field(default_factory=dict)
     file_prefix: str = ""
+    #: Partitions a forest bootstraps in; part of the model, as another number gives another forest.
+    layout: int = 16
 
 
 # Model file prefixes (lr, rf, gb) and the reference's model settings (learning rate, rounds, leaf
@@ -73,7 +75,7 @@ DEFAULT_TARGETS = (
     TargetSpec("Nitrate", "Nitrate_value", (0.0, 50.0), True, "nitrate"),
 )
 
-MIN_SAMPLES = 50
+MIN_SAMPLES = 50  # fixed value: fewer rows train no model
 
 
 def _estimator(spec: ModelSpec, features_col: str, label_col: str, seed: int):
@@ -167,8 +169,7 @@ def fit_model(train: DataFrame, spec: ModelSpec, features: Sequence[str], label:
     cols = list(dict.fromkeys([*features, *key_cols]))
     data = train.select(*[qcol(c) for c in cols], lab.cast("double").alias("__label"))
     if spec.family == "rf" and key_cols:
-        n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        data = data.repartition(n, *[qcol(k) for k in key_cols]).sortWithinPartitions(*[qcol(k) for k in key_cols])
+        data = data.repartition(spec.layout, *[qcol(k) for k in key_cols]).sortWithinPartitions(*[qcol(k) for k in key_cols])
     # The fit makes several passes (medians, scaler, solver / tree levels):
     # keep only the needed columns in memory for its duration.
     data = data.cache()

@@ -166,10 +166,9 @@ def group_mean(df: DataFrame, by: Sequence[str], col: str, name: str = "mean") -
 def describe_numeric(df: DataFrame, cols: Sequence[str], extra_percentiles: Sequence[float] = ()) -> DataFrame:
     """P10: count/mean/std/min/quartiles/max per column as long rows.
 
-    Quartiles are exact with numpy's linear interpolation, found by
-    histogram bracketing (no single-task merge of all values); the moments
-    come from the bracketing's first aggregate, so the profile costs no
-    extra scan.  The result is a small literal frame (one row per column).
+    Quartiles are exact with numpy's linear interpolation, found in proven
+    sketch brackets (no single-task merge of all values); the moments come
+    from the search's first aggregate, so the profile costs no extra scan.  The result is a small literal frame (one row per column).
     """
     from limnos.operators.stats import exact_profile
 
@@ -185,26 +184,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], extra_percentiles: Sequ
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def percentiles(df: DataFrame, col: str, ps: Sequence[float], exact: bool = True,
-                accuracy: int = 100_000) -> DataFrame:
-    """One row with ``p<NN>`` columns; exact (numpy-linear, bracketing) or sketch-based."""
-    if exact:
-        from limnos.operators.stats import exact_quantiles
-
-        vals = exact_quantiles(df, [col], ps)[col]
-        return df.sparkSession.range(1).select(
-            *[F.lit(v).cast("double").alias(f"p{int(round(p * 100)):02d}") for v, p in zip(vals, ps, strict=True)])
-    arr = F.array(*[F.lit(float(p)) for p in ps])
-    row = df.agg(F.percentile_approx(qcol(col), arr, accuracy).alias("__p"))
-    return row.select(*[F.col("__p")[i].alias(f"p{int(round(p * 100)):02d}") for i, p in enumerate(ps)])
-
-
 # ---------------------------------------------------------- ordered / top-k
-def top_k(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
-    """The first ``n`` rows under ``order`` (TakeOrderedAndProject: per-task top-n, then merge)."""
-    return df.orderBy(*order).limit(n)
-
-
 def best_per_group(df: DataFrame, by: Sequence[str], score: str, rank_cols: Sequence[str],
                    flag: str = "best") -> DataFrame:
     """Flag the best row per group by ``score`` desc; earliest ``rank_cols`` wins ties.
@@ -216,27 +196,14 @@ def best_per_group(df: DataFrame, by: Sequence[str], score: str, rank_cols: Sequ
     return df.withColumn(flag, F.row_number().over(w) == 1)
 
 
-def bounded_sample(df: DataFrame, key_cols: Sequence[str], n: int, seed: int = 0, oversample: float = 4.0
-                   ) -> DataFrame:
-    """At most ``n`` rows chosen by a seeded hash of the key.
+def bounded_sample(df: DataFrame, key_cols: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """At most ``n`` rows, those with the smallest ``md5(key || seed)``.
 
-    Deterministic under any partitioning (``sample`` is not): the rows with
-    the ``n`` smallest ``md5(key || seed)``.  Rows are first cut to those
-    whose 32-bit hash prefix lies under a threshold expected to keep about
-    ``oversample * n`` rows — the cut keeps exactly the smallest hashes, so
-    the top ``n`` are unchanged — and only that remainder is ordered; if the
-    cut keeps fewer than ``n`` rows, all rows are ordered instead.
+    Deterministic under any partitioning (``sample`` is not).  Every task keeps
+    its own first ``n`` before they meet, so nothing is sorted whole.
     """
     parts = [F.coalesce(qcol(k).cast("string"), F.lit("\u0000")) for k in key_cols]  # NULL-safe key text
-    h = F.md5(F.concat_ws("\u0001", *parts, F.lit(str(seed))))
-    hashed = df.withColumn("__h", h)
-    total = df.count()
-    if total > n:
-        cut = min(2 ** 32, int(oversample * n / total * 2 ** 32) + 1)
-        prefix = F.conv(F.substring("__h", 1, 8), 16, 10).cast("bigint")
-        kept = hashed.filter(prefix < F.lit(cut))
-        if kept.count() >= n:
-            hashed = kept
+    hashed = df.withColumn("__h", F.md5(F.concat_ws("\u0001", *parts, F.lit(str(seed)))))
     return hashed.orderBy("__h", *_cols(key_cols)).limit(n).drop("__h")
 
 

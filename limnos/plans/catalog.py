@@ -69,4 +69,4 @@ FROM wide w LEFT JOIN customer c ON w.user_id = c.c_custkey
 
 
 # Importing the query modules registers their queries.
-from limnos.plans import q_clean, q_flow, q_grid, q_ml, q_model, q_spatial  # noqa: E402,F401
+from limnos.plans import q_clean, q_flow, q_grid, q_ml, q_model, q_more, q_spatial  # noqa: E402,F401

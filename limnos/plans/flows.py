@@ -12,25 +12,25 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.functions import (combine_date_time, convert_units, month_abbr, standardised_unit, strip_suffix,
                               strip_thousands, suppression_to_null, to_day, to_number, to_ts, year_key)
 from limnos.functions.calendar import MONTH_KEYS, YEAR_KEY
 from limnos.operators.features import FEATURE_COLS
-from limnos.operators.grid import hull_mask, interpolate_idw, make_grid, render_table
+from limnos.operators.grid import SAMPLE_CAP, hull_mask, interpolate_idw, make_grid, render_table
 from limnos.operators.joins import attach_map, join_on_keys, semi_join
 from limnos.operators.learners import DEFAULT_TARGETS, TargetSpec, predict, train_all
 from limnos.operators.quality import (blank_to_null, drop_null_rows, drop_sparse_columns,
                                       fill_constants, normalize_columns, prefix_columns, select_available,
                                       select_required, with_constant)
-from limnos.operators.regression import (coefficient_table, eligible_targets, exact_split, fit_ols, predict_linear,
-                                         regression_metrics)
+from limnos.operators.regression import (coefficient_table, eligible_targets, exact_split, fit_ols, metric_lookup,
+                                         predict_linear, regression_metrics)
 from limnos.operators.reshape import latest_per_entity, pivot_first, pivot_value_unit
 from limnos.operators.spatial import nearest_join
-from limnos.operators.timeline import calendar_window, score_calendar, score_dates, score_entities
-from limnos.session import qcol
+from limnos.operators.timeline import calendar_summary, calendar_window, score_calendar, score_dates, score_entities
+from limnos.session import qcol, stored
 
 ID = "MonitoringLocationIdentifier"
 TS = "ActivityStartDateTime"
@@ -68,14 +68,15 @@ def clean_water_quality(raw: DataFrame, top_n: int = 30, order_col: str | None =
     unit = "ResultMeasure/MeasureUnitCode"
     ts = combine_date_time("ActivityStartDate", "ActivityStartTime/Time")
     cols = df.columns
-    stats = _wq_stats(df, cols).collect()  # one row per characteristic
-    total = sum(r["__n"] for r in stats)
+    stats = stored(_wq_stats(df, cols), "wq-stats")  # one row per characteristic
+    sums = stats.agg(F.sum("__n").alias("n"), *[F.sum(f"__nn{i}").alias(f"c{i}") for i in range(len(cols))]).first()
+    total = sums["n"] or 0
     required = [ID, "CharacteristicName", "ResultMeasureValue", "MonitoringLocationName", "ActivityStartDate",
                 "ActivityStartTime/Time", unit, order_col]
     survivors = [c for i, c in enumerate(cols)
-                 if c in required or sum(r[f"__nn{i}"] for r in stats) >= total * 0.10]
-    named = sorted((r for r in stats if r["CharacteristicName"] is not None),
-                   key=lambda r: (-r["__n"], r["CharacteristicName"]))[:top_n]
+                 if c in required or (sums[f"c{i}"] or 0) >= total * 0.10]
+    named = (stats.filter(qcol("CharacteristicName").isNotNull()).orderBy(F.col("__n").desc(), "CharacteristicName")
+             .limit(top_n).select("CharacteristicName", "__clean").collect())
     top = [r["CharacteristicName"] for r in named]
     chars = sorted(r["CharacteristicName"] for r in named if r["__clean"] > 0)
     df = select_required(df.select(*[qcol(c) for c in survivors]),
@@ -109,9 +110,11 @@ def water_quality_report(raw: DataFrame, top_n: int = 30) -> DataFrame:
     df = blank_to_null(normalize_columns(raw))
     s = _wq_stats(df, []).select(F.col("CharacteristicName").alias("characteristic"), F.col("__n").alias("rows"),
                                  F.col("__clean").alias("clean_rows"))
-    rank = F.row_number().over(Window.orderBy(F.col("rows").desc(), F.col("characteristic")))  # one row per name
-    return (s.withColumn("dropped_rows", F.col("rows") - F.col("clean_rows"))
-            .withColumn("in_top", F.col("characteristic").isNotNull() & (rank <= top_n)))
+    s = stored(s, "wq-report")
+    top = s.orderBy(F.col("rows").desc(), F.col("characteristic")).limit(top_n).select("characteristic", F.lit(True).alias("in_top"))
+    return (s.join(top, "characteristic", "left").withColumn("dropped_rows", F.col("rows") - F.col("clean_rows"))
+            .withColumn("in_top", F.coalesce("in_top", F.lit(False)))
+            .select("characteristic", "rows", "clean_rows", "dropped_rows", "in_top"))
 
 
 def clean_stations(raw: DataFrame) -> DataFrame:
@@ -219,10 +222,16 @@ def station_snapshot(merged: DataFrame) -> DataFrame:
 
 
 def run_prediction(snapshot: DataFrame, model: PipelineModel, target: str, when: dt.date | str,
-                   resolution: int = 120, sample_n: int = 4000) -> dict[str, DataFrame]:
-    """Stations scored for ``when``, interpolated map table and the 14-week calendar."""
+                   resolution: int = 120, sample_n: int | None = SAMPLE_CAP, metrics: DataFrame | None = None,
+                   model_name: str | None = None) -> dict[str, DataFrame]:
+    """Stations scored for ``when``, map table, 14-week calendar and its summary, low/average/high over the
+    stations, and (given the ``metrics`` table) the metrics row of the chosen target and model.
+
+    The snapshot and the scored stations are written once; every later step reads those tables.
+    """
+    snapshot = stored(snapshot, "snapshot")
     scorer = lambda d: predict(model, d)
-    stations = score_entities(snapshot, scorer, when, FEATURE_COLS)
+    stations = stored(score_entities(snapshot, scorer, when, FEATURE_COLS), "scored-stations")
     # Stand-ins for missing station details on the map.
     extra_fill = {"ProviderName": "Unknown provider", "climate_station_name": "Unknown climate station",
                   "distance_to_climate_station_km": 0.0}
@@ -240,5 +249,11 @@ def run_prediction(snapshot: DataFrame, model: PipelineModel, target: str, when:
     start, stop = calendar_window(when)
     days = [start + dt.timedelta(days=i) for i in range((stop - start).days + 1)]
     daily = score_dates(snapshot, scorer, days, FEATURE_COLS)
-    return {"stations": stations, "map": table, "calendar": score_calendar(daily, when)}
+    calendar = stored(score_calendar(daily, when), "calendar")
+    levels = stations.agg(F.min("predicted").alias("low"), F.avg("predicted").alias("average"), F.max("predicted").alias("high"),
+                          F.count("predicted").alias("stations"))
+    out = {"stations": stations, "map": table, "calendar": calendar, "calendar_summary": calendar_summary(calendar, when), "levels": levels}
+    if metrics is not None and model_name is not None:
+        out["metrics"] = metric_lookup(metrics, target, model_name)
+    return out
 

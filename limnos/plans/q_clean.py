@@ -55,18 +55,20 @@ FROM j
 
 # ----------------------------------------------------------- csv round trip
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IO1 + IO2 + IO5: orders exported as CSV (with planted missing tokens)
-    and read back as text, then typed leniently."""
+    """IO1 + IO2 + IO5: orders exported as CSV (with planted missing tokens, a
+    token in blanks, quotes and line feeds) and read back as text, then typed leniently."""
     o = table(spark, sf_dir, "orders")
     export = o.select(
         "o_orderkey", "o_custkey",
         F.when(F.col("o_orderkey") % 11 == 0, F.lit("")).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
         "o_totalprice",
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
-        F.when(F.col("o_orderkey") % 7 == 0, F.lit("NA")).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("NA")).when(F.col("o_orderkey") % 13 == 0, F.lit("<NA>"))
+        .when(F.col("o_orderkey") % 17 == 0, F.lit(" NA ")).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit('first "line",\nsecond')).otherwise(F.lit("one line")).alias("note"))
     path = write_table(export, scratch_path(spark, "orders-csv"), fmt="csv")
     back = read_table_csv(spark, path, types={"o_orderkey": "bigint", "o_custkey": "bigint",
-                                              "o_totalprice": "double"}, timestamps=["o_orderdate"])
+                                              "o_totalprice": "double"}, timestamps=["o_orderdate"], multiline=True)
     return back.withColumn("o_orderdate", iso_ts("o_orderdate"))
 
 
@@ -74,7 +76,8 @@ register("csv_roundtrip", sql="""
 SELECT o_orderkey, o_custkey,
        CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
        o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
-       CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+       CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN ' NA ' ELSE o_orderpriority END AS o_orderpriority,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'first "line",' || chr(10) || 'second' ELSE 'one line' END AS note
 FROM orders
 """)(csv_roundtrip)
 

@@ -20,16 +20,18 @@ from limnos.session import qcol
 
 def read_table_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None,
                    timestamps: Sequence[str] = (), na_tokens: Sequence[str] = NULL_TOKENS,
-                   ts_formats: Sequence[str] | None = None) -> DataFrame:
+                   ts_formats: Sequence[str] | None = None, multiline: bool = False) -> DataFrame:
     """IO1/IO2: CSV with a header; missing tokens -> NULL; typed leniently.
 
     ``types`` maps column name -> ``double``/``bigint``/``int``/``date``/
     ``timestamp``/``string``; unlisted columns stay strings.  Columns in
     ``timestamps`` are parsed as TIMESTAMP_NTZ.  Reading everything as text
-    avoids schema inference (a full extra scan at scale).
+    avoids schema inference (a full extra scan at scale).  ``multiline`` reads
+    quoted fields that hold line feeds; such a file is one task's work, so leave
+    it off for feeds without them.
     """
     raw = (spark.read.option("header", True).option("inferSchema", False)
-           .option("multiLine", False).option("escape", '"').csv(path))
+           .option("multiLine", multiline).option("escape", '"').csv(path))
     types = dict(types or {})
     for c in timestamps:
         types[c] = "timestamp"
@@ -56,7 +58,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        (writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+         .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         writer.format(fmt).save(path)
     return path

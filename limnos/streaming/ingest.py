@@ -1,4 +1,4 @@
-"""File-arrival ingest: new CSV files -> batch cleaning -> appended Parquet."""
+"""File-arrival ingest: new CSV files -> batch cleaning -> Parquet, one folder a batch."""
 
 from __future__ import annotations
 
@@ -19,17 +19,19 @@ def ingest_new_files(spark: SparkSession, source_dir: str, schema: T.StructType,
     quality cleaning of ``limnos.plans.flows``); it runs per micro-batch via
     ``foreachBatch``.  The streaming checkpoint lives under
     ``spark.checkpoint.dir`` so the set of processed files survives driver
-    and executor loss.
+    and executor loss.  Each batch has a folder of its own under ``sink_dir``
+    (partition column ``batch``), which a repeated batch overwrites.
     """
     checkpoint = ensure_checkpoint_dir(spark).rstrip("/") + f"/limnos-streams/{name}"
     stream = (spark.readStream.schema(schema).option("header", True)
               .option("maxFilesPerTrigger", max_files_per_trigger).csv(source_dir))
 
-    def write_batch(batch: DataFrame, _batch_id: int) -> None:
-        writer = clean(batch).write.mode("append")
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        # A batch that died before its commit runs again and replaces its own folder.
+        writer = clean(batch).write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(sink_dir)
+        writer.parquet(f"{sink_dir}/batch={batch_id}")
 
     query = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

@@ -96,14 +96,3 @@ def test_bounded_sample_equals_smallest_hashes(spark):
     got = [r.cell_id for r in bounded_sample(big, ["cell_id"], 25, 0).collect()]
     want = sorted(range(20000), key=lambda i: (hashlib.md5(f"{i}\u00010".encode()).hexdigest(), i))[:25]
     assert got == want
-
-
-def test_bounded_broadcast_probe(spark):
-    from limnos.operators.joins import bounded_broadcast
-
-    small = spark.range(5)
-    big = spark.range(50)
-    assert "ResolvedHint" in small.join(bounded_broadcast(small, 10), "id")._jdf.queryExecution().analyzed().toString() \
-        or "broadcast" in small.join(bounded_broadcast(small, 10), "id")._jdf.queryExecution().optimizedPlan().toString()
-    plan = big.join(bounded_broadcast(big, 10), "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" not in plan.lower()
