@@ -29,6 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limnos.llm.common import ship_with_tasks
+
+ship_with_tasks(__name__)
+
 OPEN, HEAD_END, CLOSE = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 # Strings that mark structure in common chat templates.
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import sys
+
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.session import scratch_path
 
+
+def ship_with_tasks(module: str) -> None:
+    """Send the functions of ``module`` inside the tasks, so executors need numpy and pyarrow but not this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+ship_with_tasks(__name__)
+
 # The separators of the two word definitions in use.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"

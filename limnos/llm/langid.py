@@ -26,7 +26,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import ROW_KEY, keyed_join, row_key, stored
+from limnos.llm.common import ROW_KEY, keyed_join, row_key, ship_with_tasks, stored
+
+ship_with_tasks(__name__)
 
 BITS = 16
 TRAIN_ROWS = 2000

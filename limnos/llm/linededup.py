@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import ROW_KEY, WordHashes, keyed_join, row_key, stored
+from limnos.llm.common import ROW_KEY, WordHashes, keyed_join, row_key, ship_with_tasks, stored
+
+ship_with_tasks(__name__)
 
 SEEDS = 3
 #: A cut after about one line in so many.

@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnos.llm.common import ROW_KEY as KEY
-from limnos.llm.common import WordHashes, keyed_join, row_key, stored
+from limnos.llm.common import WordHashes, keyed_join, row_key, ship_with_tasks, stored
 from limnos.llm.components import connected_components
 
+ship_with_tasks(__name__)
+
 PERMUTATIONS = 64
 BAND_ROWS = 5
 BANDS = 2 * PERMUTATIONS // BAND_ROWS

@@ -25,6 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limnos.llm.common import ship_with_tasks
+
+ship_with_tasks(__name__)
+
 KINDS = ("email", "ip", "card", "phone")
 #: Bounds of an entity: tokens, and digits.
 MAX_TOKENS, MAX_DIGITS, LEAST_DIGITS = 12, 24, 4

@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import WordHashes, stored
+from limnos.llm.common import WordHashes, ship_with_tasks, stored
+
+ship_with_tasks(__name__)
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct")
 FEATURES = 8

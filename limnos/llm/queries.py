@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import chat, decontaminate, langid, linededup, mixing, neardup, pii, quality, secrets, sharding
+from limnos.llm import chat, decontaminate, langid, linededup, mixing, neardup, pii, quality, secret_scan, sharding
 from limnos.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,7 +148,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_secrets")
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, each distinct text scanned once."""
-    found = secrets.scan_documents(table(spark, sf_dir, "documents"))
+    found = secret_scan.scan_documents(table(spark, sf_dir, "documents"))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"),

@@ -6,7 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from limnos.llm import decontaminate, mixing, secrets, sharding
+from limnos.llm import decontaminate, mixing, secret_scan, sharding
 from limnos.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -66,23 +66,23 @@ def test_decontaminate_keeps_clean_rows(spark):
 
 
 def test_secrets_edges_and_query(spark):
-    found = secrets.scan_documents(docs_frame(spark, EDGE)).collect()
+    found = secret_scan.scan_documents(docs_frame(spark, EDGE)).collect()
     got = Counter((r.doc_id, ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans)) for r in found)
     assert got == Counter((d, brute.secrets(t)[0]) for d, t, _ in EDGE)
     for r in QUERIES["op10_secrets"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect():
         spans, counts = brute.secrets(r.text)
         assert (r.spans, [r.n_assign, r.n_access, r.n_hex], r.base_sha256) == (spans, counts, brute.sha(spans))
-    assert secrets.scan_documents(docs_frame(spark, [])).count() == 0
+    assert secret_scan.scan_documents(docs_frame(spark, [])).count() == 0
 
 
 def test_ledger_scans_only_unseen_pairs(spark):
-    ledger = secrets.BlobLedger(spark)
+    ledger = secret_scan.BlobLedger(spark)
     ledger.scan(docs_frame(spark, EDGE))
     first = ledger.scans().count()
     assert first == len({t or "" for _, t, _ in EDGE})
     ledger.scan(docs_frame(spark, [*EDGE, (50, "a new text token=abcdefgh", "a")]))
     assert ledger.scans().count() == first + 1
-    bumped = tuple(secrets.Rule(r.name, 2, r.pattern, r.group, 8, r.hint) if r.name == "assign" else r for r in secrets.RULES)
+    bumped = tuple(secret_scan.Rule(r.name, 2, r.pattern, r.group, 8, r.hint) if r.name == "assign" else r for r in secret_scan.RULES)
     ledger.scan(docs_frame(spark, EDGE), rules=bumped)
     assert {tuple(r.rules) for r in ledger.scans().collect()} == {("assign@1", "access@1", "hex@1"), ("assign@2",)}
     assert ledger.findings().where("kind = 'assign'").count() > ledger.findings(bumped).where("kind = 'assign'").count()
