@@ -7,11 +7,11 @@ are banded five at a time; texts that agree on a band are candidates.
 Texts with one and the same shingle set form a class first; from there on only
 classes move.  Round 1 compares every class of a band bucket with the bucket's
 pivot (the class with most copies).  What the pivots joined is one component;
-round 2 compares signatures between *different* components of a bucket, in
-blocks of bounded size, and confirms what may reach the threshold.  So a large
-group of near copies costs one comparison per member, and a pair is left out
-only if it is joined already or its signatures rule it out.  Every link is
-confirmed on the full shingle sets.
+round 2 compares *different* components of a bucket, in blocks of bounded size:
+sizes and signatures first, full sets where these may reach the threshold, and it
+gives out only links that join two components.  So a large group of near copies
+costs one comparison per member, and a pair is left out only if it is joined
+already or its signatures rule it out.  Every link is confirmed on the full sets.
 
 With 64 permutations a pair at the threshold shares no band with probability
 (1 - 0.85^5)^25 = 4e-7, and its signatures agree on fewer than ``SIGN_LEAST`` of 125
@@ -44,7 +44,8 @@ BANDS = 2 * PERMUTATIONS // BAND_ROWS
 VALUES = BANDS * BAND_ROWS
 SIGN_LEAST = 0.71
 SHINGLE = 5
-BLOCK = 1024
+#: Bounds of a block: classes, and shingles over all of them.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 
 _MULTIPLIERS = np.random.default_rng(20240229).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -116,6 +117,15 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary())], ["class", "shingles"])
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets reach ``threshold`` per cent similarity."""
+    few, many = (x, y) if len(x) <= len(y) else (y, x)
+    i = np.searchsorted(many, few)
+    i[i == len(many)] = 0
+    both = int(np.count_nonzero(many[i] == few))
+    return 100 * both >= threshold * (len(few) + len(many) - both)
+
+
 def _confirm_batches(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, own = None, None  # rows come sorted: a pivot's own row stands before its members
@@ -129,11 +139,7 @@ def _confirm_batches(threshold: int):
                     continue
                 if at != pivot:
                     raise ValueError("a member came without its pivot")
-                few, many = sorted((own, shingles), key=len)
-                i = np.searchsorted(many, few)
-                i[i == len(many)] = 0
-                both = int(np.count_nonzero(many[i] == few))
-                if 100 * both >= threshold * (len(few) + len(many) - both):
+                if _linked(own, shingles, threshold):
                     a.append(at[0])
                     b.append(member.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -158,61 +164,67 @@ def confirm_pairs(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFram
     return rows.mapInArrow(_confirm_batches(threshold), "a binary, b binary")
 
 
-def _block_batches(least: int):
+def _block_batches(least: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for band, left, right, side, name, comp, sign in zip(*cols, strict=True):
+            cols = [batch.column(i).to_pylist() for i in range(8)]
+            for band, left, right, side, name, comp, sign, shingles in zip(*cols, strict=True):
                 if (band, left, right) != at:
-                    yield _block_pairs(at, rows, least)
+                    yield _block_links(at, rows, least, threshold)
                     at, rows = (band, left, right), []
-                rows.append((side, name, comp, sign))
-        yield _block_pairs(at, rows, least)
+                rows.append((side, name, comp, sign, shingles))
+        yield _block_links(at, rows, least, threshold)
     return run
 
 
-def _block_pairs(at: tuple | None, rows: list[tuple], least: int) -> pa.RecordBatch:
-    """Pairs of one pair of blocks in different components whose signatures agree enough.
+def _block_links(at: tuple | None, rows: list[tuple], least: int, threshold: int) -> pa.RecordBatch:
+    """Links that join the components of one pair of blocks: at most one fewer than components.
 
-    A pair that agrees on several bands is reported by the first of them only.
+    Pairs are compared by size and signature first, those that may reach the
+    threshold on their full sets, and pairs joined by an earlier link not at all.
+    A pair that agrees on several bands belongs to the first of them.
     """
     a, b = [], []
     if rows:
         sign = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), VALUES)
-        comp = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        root = np.unique([r[2] for r in rows], return_inverse=True)[1]
         side = np.array([r[0] for r in rows])
-        keys = None
-        for i in range(len(rows)):
-            if side[i] == 1:
-                continue
-            later = np.nonzero((comp != comp[i]) & ((side == 1) if at[1] != at[2] else (np.arange(len(rows)) > i)))[0]
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        size = np.array([len(x) for x in sets])
+        order = np.arange(len(rows))
+        for i in order[side == 0]:
+            ahead = (side == 1) if at[1] != at[2] else (order > i)
+            alike = 100 * np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])
+            later = np.nonzero(ahead & alike & (root != root[i]))[0]
             if not len(later):
                 continue
             same = sign[later] == sign[i]
             later, same = later[(ok := same.sum(axis=1) >= least)], same[ok]
             if not len(later):
                 continue
-            keys = band_keys(sign[i])
             first = same.reshape(len(later), BANDS, BAND_ROWS).all(axis=2).argmax(axis=1)
-            for j in later[keys[first] == at[0]]:
-                x, y = sorted((rows[i][1], rows[j][1]))
-                a.append(x)
-                b.append(y)
+            for j in later[band_keys(sign[i])[first] == at[0]]:
+                if root[i] != root[j] and _linked(sets[i], sets[j], threshold):
+                    a.append(rows[i][1])
+                    b.append(rows[j][1])
+                    root[root == root[j]] = root[i]
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def cross_pairs(members: DataFrame, signs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (a, b) between different components of a bucket; input: band, class, comp and class, sign.
+def cross_links(members: DataFrame, signs: DataFrame, sets: DataFrame, threshold: int, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Confirmed links (a, b) that join different components of a bucket.
 
-    The bucket's largest component is only compared with the rest, so its size
-    counts once.  Both parts are cut into blocks by a hash, and each pair of
-    blocks is one group of bounded size.
+    Input: band, class, comp, n of the members; class, sign; class, shingles.  The
+    bucket's largest component is only compared with the rest, so its size
+    counts once.  Both parts are cut by a hash into blocks of bounded rows and
+    shingles, and each pair of blocks is one group.
     """
-    per = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    totals = per.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    totals = totals.select("band", F.col("top.comp").alias("top"), F.ceil(F.col("top.n") / F.lit(block)).cast("int").alias("tops"),
-                           F.ceil((F.col("all") - F.col("top.n")) / F.lit(block)).cast("int").alias("others"))
+    per = members.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("w"))
+    blocks = lambda n, w: F.greatest(F.ceil(n / F.lit(block)), F.ceil(w / F.lit(block_shingles))).cast("int")
+    totals = per.groupBy("band").agg(F.max(F.struct("n", "comp", "w")).alias("top"), F.sum("n").alias("all"), F.sum("w").alias("weight"), F.count("*").alias("comps")).where("comps > 1")
+    totals = totals.select("band", F.col("top.comp").alias("top"), blocks(F.col("top.n"), F.col("top.w")).alias("tops"),
+                           blocks(F.col("all") - F.col("top.n"), F.col("weight") - F.col("top.w")).alias("others"))
     rows = members.join(totals, "band").withColumn("is_top", F.col("comp") == F.col("top"))
     own = F.pmod(F.xxhash64("class"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int")
     rows = rows.withColumn("own", own)
@@ -224,14 +236,16 @@ def cross_pairs(members: DataFrame, signs: DataFrame, block: int = BLOCK) -> Dat
     with_top = F.transform(every(F.col("others"), F.col("others") + F.col("tops") - 1), lambda j: pair(mine, j, 0))
     from_top = F.transform(every(zero, F.col("others") - 1), lambda i: pair(i, F.col("others") + mine, 1))
     dealt = rows.select("band", "class", "comp", F.explode(F.when(F.col("is_top"), from_top).otherwise(F.concat(with_rest, with_top))).alias("at"))
-    dealt = dealt.join(signs, "class").select("band", "at.left", "at.right", "at.side", "class", "comp", "sign")
+    dealt = dealt.join(signs, "class").join(sets, "class").select("band", "at.left", "at.right", "at.side", "class", "comp", "sign", "shingles")
     dealt = dealt.repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
-    return dealt.mapInArrow(_block_batches(int(SIGN_LEAST * VALUES)), "a binary, b binary").distinct()
+    return dealt.mapInArrow(_block_batches(int(SIGN_LEAST * VALUES), threshold), "a binary, b binary")
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """class, shingles for every row of ``classes`` (class and the key of one of its rows)."""
-    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).join(classes, KEY).select("class", "text")
+    texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
+    # The classes grow with the corpus, so they are never broadcast: one sort-merge join at every size.
+    texts = texts.join(classes.hint("merge"), KEY).select("class", "text")
     sets = texts.mapInArrow(_set_batches, "class binary, shingles binary")
     return sets.groupBy("class").agg(F.first("shingles").alias("shingles"))  # the chosen row may be repeated
 
@@ -248,17 +262,13 @@ def near_duplicate_groups(docs: DataFrame, threshold: int = 85, id_col: str = "d
     # Full sets are needed only of classes that share a bucket.
     wanted = stored(classes.select("class", "row.*").join(shared.select("class").distinct(), "class", "left_semi"), "near-wanted")
     sets = stored(class_sets(docs, wanted, id_col, text_col), "near-sets")
-    sizes = classes.select("class", "n")
 
     star = shared.where(F.col("class") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("class").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb"))
     links = stored(confirm_pairs(star, sets, threshold), "near-links")
     found = connected_components(links).select(F.col("node").alias("class"), "component")
     # A bucket of two has no pair beyond the pivot's.
-    left = shared.where("size > 2").select("band", "class").join(found, "class", "left").select("band", "class", F.coalesce("component", "class").alias("comp"))
-    more = cross_pairs(stored(left, "near-left"), classes.select("class", "sign"))
-    more = (more.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b"))
-    more = stored(confirm_pairs(more, sets, threshold), "near-links")
+    left = shared.where("size > 2").select("band", "class", "n").join(found, "class", "left").select("band", "class", "n", F.coalesce("component", "class").alias("comp"))
+    more = stored(cross_links(stored(left, "near-left"), classes.select("class", "sign"), sets, threshold), "near-links")
     joined = connected_components(links.unionByName(more)).select(F.col("node").alias("class"), "component")
     named = classes.select("class", "id").join(joined, "class", "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     named = named.join(named.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("class", "component", "component_id")
@@ -273,7 +283,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = 85, id_col: str = "do
     marked = groups.join(best, "component").select(*KEY, ((F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))).alias("stays"))
     # A row repeated as it is has one key, so of such rows one copy is taken afterwards.
     per_key = stored(marked.groupBy(*KEY).agg(F.first("stays").alias("stays"), F.count("*").alias("n")), "near-kept")
-    kept = keyed_join(docs, per_key.where("NOT stays OR n > 1").select(*KEY), "left_anti", id_col, text_col)
+    kept = keyed_join(docs, per_key.where("NOT stays OR n > 1").select(*KEY).hint("merge"), "left_anti", id_col, text_col)
     again = per_key.where("stays AND n > 1").select(*KEY)
     if again.isEmpty():
         return kept

@@ -81,16 +81,33 @@ def test_near_duplicate_query_and_one_of_each_stays(spark):
     assert ids == Counter([d for d, (_, c) in named.items() if d == c] + [None])
 
 
-def test_blocks_lose_no_pair(spark):
+def test_blocks_lose_no_link(spark):
     rows = families()
-    memo = WordHashes()
-    members = [(b, f"{i}".encode(), f"{i % 3}".encode(), neardup.signature(s).tobytes())
-               for i, (_, t, _) in enumerate(rows) if len(s := neardup.shingle_set(t, memo)) for b in neardup.band_keys(neardup.signature(s)).tolist()]
-    data = spark.createDataFrame(members, "band long, class binary, comp binary, sign binary")
-    signs = data.select("class", "sign").distinct()
-    whole = {tuple(map(bytes, r)) for r in neardup.cross_pairs(data.drop("sign"), signs, 10_000).collect()}
-    cut = {tuple(map(bytes, r)) for r in neardup.cross_pairs(data.drop("sign"), signs, 4).collect()}
-    assert whole == cut and whole and all(int(a) % 3 != int(b) % 3 for a, b in whole)
+    memo, kept = WordHashes(), {}
+    for _, t, _ in rows:
+        s = neardup.shingle_set(t, memo)
+        kept[s.tobytes()] = (s, neardup.signature(s))
+    members, signs, sets = [], [], []
+    for i, (s, sign) in enumerate(kept.values()):
+        name = f"{i:04}".encode()
+        signs.append((name, sign.tobytes()))
+        sets.append((name, s.tobytes()))
+        members += [(b, name, f"{i % 90}".encode(), len(s)) for b in neardup.band_keys(sign).tolist()]
+    frames = [spark.createDataFrame(members, "band long, class binary, comp binary, n long"), spark.createDataFrame(signs, "class binary, sign binary"), spark.createDataFrame(sets, "class binary, shingles binary")]
+
+    def groups(links):
+        root = {i: i % 90 for i in range(len(kept))}
+        pairs = [(int(bytes(a)), int(bytes(b))) for a, b in links]
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+        return root, pairs
+
+    whole, pairs = groups(neardup.cross_links(*frames, 85).collect())
+    cut, _ = groups(neardup.cross_links(*frames, 85, 4, 300).collect())
+    every, _ = groups([(f"{i}".encode(), f"{j}".encode()) for i, (x, _) in enumerate(kept.values()) for j, (y, _) in enumerate(kept.values())
+                       if i < j and neardup._linked(x, y, 85)])
+    assert whole == cut == every and pairs
 
 
 # ---------------------------------------------------------------- chat
