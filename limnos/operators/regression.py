@@ -88,31 +88,30 @@ def _group_cols(by: Sequence[str]) -> list[Column]:
     return [qcol(b) for b in by]
 
 
+#: Numbers a task holds before it hands its partial sums on.
+_HELD_NUMBERS = 4_000_000
+
+
 def _partial_gram(keys: Sequence[str], p: int):
-    """Per partition: Gram sums of centred, scaled inputs per key (numpy BLAS on Arrow batches)."""
+    """Per task: Gram sums of centred, scaled inputs per key (numpy BLAS on Arrow batches); bounded memory."""
+    most = max(1, _HELD_NUMBERS // (p * p + 2 * p + 3))
+    z_cols = [f"__z{i}" for i in range(p)]
+
+    def flushed(acc):
+        return pd.DataFrame([{**dict(zip(keys, key, strict=True)), "__flat": flat.tolist()} for key, flat in acc.items()],
+                            columns=[*keys, "__flat"])
+
     def run(batches):
-        acc: dict[tuple, list] = {}
+        acc: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            if pdf.empty:
-                continue
-            groups = pdf.groupby(list(keys), sort=False, dropna=False) if keys else [((), pdf)]
-            for key, part in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                x = np.stack(part["__x"].to_numpy()).astype(float).reshape(len(part), p)
-                m = np.asarray(part["__m"].iloc[0], float)
-                s = np.asarray(part["__s"].iloc[0], float)
-                z = np.where(s > 0, (x - m) / np.where(s > 0, s, 1.0), 0.0)
-                yc = part["__y"].to_numpy(float) - float(part["__my"].iloc[0])
-                cur = acc.get(key)
-                upd = [len(part), z.sum(axis=0), z.T @ z, yc.sum(), z.T @ yc, float(yc @ yc)]
-                acc[key] = [*upd, m, s, float(part["__my"].iloc[0])] if cur is None else \
-                    [*[a + b for a, b in zip(cur[:6], upd, strict=True)], *cur[6:]]
-        rows = []
-        for key, (n, sz, szz, sy, szy, syy, m, s, my) in acc.items():
-            # sums first, then the key's constant centre/scale (merged with max, i.e. exactly)
-            flat = np.concatenate([[n, sy, syy], sz, szy, szz.ravel(), m, s, [my]])
-            rows.append({**dict(zip(keys, key, strict=True)), "__flat": flat.tolist()})
-        yield pd.DataFrame(rows, columns=[*keys, "__flat"])
+            for key, part in pdf.groupby(list(keys), sort=False, dropna=False):
+                z, y = part[z_cols].to_numpy(float), part["__y"].to_numpy(float)
+                flat = np.concatenate([[len(part), y.sum(), y @ y], z.sum(axis=0), z.T @ y, (z.T @ z).ravel()])
+                acc[key] = acc[key] + flat if key in acc else flat
+                if len(acc) >= most:
+                    yield flushed(acc)
+                    acc = {}
+        yield flushed(acc)
     return run
 
 
@@ -121,9 +120,9 @@ def gram_rows(df: DataFrame, features: Sequence[str], label: str, by: Sequence[s
     """Per group (and fold): centres/scales and Gram sums of centred, scaled inputs.
 
     Pass 1 (one aggregate) gives each group's centres and population scales;
-    pass 2 accumulates per-partition partial sums with numpy inside the
-    tasks, and Spark adds the partials element-wise (explode + partial
-    aggregation), so no task ever holds more than one group's p^2 numbers.
+    pass 2 centres and scales in the JVM, sums each task's blocks with numpy
+    (handing them on whenever they pass ``_HELD_NUMBERS``), and Spark adds the
+    partials element-wise (explode + partial aggregation).
     Output columns: ``by``, ``__fold``, ``n``, ``mx``/``sx`` (arrays), ``my``,
     ``sz``, ``szz`` (flattened p x p), ``sy``, ``szy``, ``syy``.
     """
@@ -136,30 +135,26 @@ def gram_rows(df: DataFrame, features: Sequence[str], label: str, by: Sequence[s
         F.array(*[F.coalesce(F.stddev_pop(qcol(f)), F.lit(0.0)) for f in features]).alias("__s"),
         F.avg(qcol(label)).alias("__my"))
     fold = (qcol(fold_col) if fold_col else F.lit(-1)).cast("int").alias("__fold")
-    rows = complete.select(*_group_cols(by), fold, F.array(*[qcol(f).cast("double") for f in features]).alias("__x"),
-                           qcol(label).cast("double").alias("__y"))
     if by:
-        # One small row per group; AQE broadcasts it when it is small enough.
-        rows = rows.join(centre, on=list(by), how="inner")
+        rows = complete.join(centre, on=list(by), how="inner")  # one small row per group; AQE decides how
     else:
-        c = centre.first()
-        rows = rows.select("*", F.lit(c["__m"]).cast("array<double>").alias("__m"),
-                           F.lit(c["__s"]).cast("array<double>").alias("__s"),
-                           F.lit(c["__my"]).cast("double").alias("__my"))
+        c, kinds = centre.first(), {"__m": "array<double>", "__s": "array<double>", "__my": "double"}
+        literal = [F.lit(c[x]).cast(kind).alias(x) for x, kind in kinds.items()]
+        rows = complete.select("*", *literal)
+    z = [F.when(F.col("__s")[i] > 0, (qcol(f).cast("double") - F.col("__m")[i]) / F.col("__s")[i]).otherwise(0.0).alias(f"__z{i}")
+         for i, f in enumerate(features)]
+    rows = rows.select(*_group_cols(by), fold, *z, (qcol(label).cast("double") - F.col("__my")).alias("__y"))
     keys = [*by, "__fold"]
-    key_fields = [rows.schema[k] for k in keys]
-    schema = T.StructType([*key_fields, T.StructField("__flat", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("__flat", T.ArrayType(T.DoubleType()))])
     partial = rows.mapInPandas(_partial_gram(keys, p), schema)
-    width = 3 + 2 * p + p * p          # summed entries; the rest are per-key constants
     summed = (partial.select(*[qcol(k) for k in keys], F.posexplode("__flat").alias("__i", "__v"))
-              .groupBy(*[qcol(k) for k in keys], "__i")
-              .agg(F.when(F.col("__i") < width, F.sum("__v")).otherwise(F.max("__v")).alias("__v"))
+              .groupBy(*[qcol(k) for k in keys], "__i").agg(F.sum("__v").alias("__v"))
               .groupBy(*[qcol(k) for k in keys])
               .agg(F.sort_array(F.collect_list(F.struct("__i", "__v"))).alias("__kv")))
+    summed = summed.join(centre, on=list(by), how="inner") if by else summed.select("*", *literal)
     f = F.col("__kv.__v")
     return summed.select(
-        *[qcol(k) for k in keys], f[0].cast("long").alias("n"),
-        F.slice(f, width + 1, p).alias("mx"), F.slice(f, width + 1 + p, p).alias("sx"), f[width + 2 * p].alias("my"),
+        *[qcol(k) for k in keys], f[0].cast("long").alias("n"), F.col("__m").alias("mx"), F.col("__s").alias("sx"), F.col("__my").alias("my"),
         F.slice(f, 4, p).alias("sz"), F.slice(f, 4 + 2 * p, p * p).alias("szz"), f[1].alias("sy"),
         F.slice(f, 4 + p, p).alias("szy"), f[2].alias("syy"))
 

@@ -156,9 +156,10 @@ class _Tree:
         One round a level; a round joins the open cells with their children.
         The tree's depth ends the loop: dense places are deeper, by the logarithm of their density.
         """
-        root = self.cells.filter("__level = 0")
+        root = self.cells.filter("__level = 0").select("__n", "__leaf").first()
         cols = [_LAT, _LON, *self.x, "__level", *self.c, "__n", "__leaf", "__near", "__far"]
-        start = locs.select(_LAT, _LON, *_coords(self.metric, _LAT, _LON)).join(F.broadcast(root))  # the root is one row
+        start = locs.select(_LAT, _LON, *_coords(self.metric, _LAT, _LON), F.lit(0).alias("__level"), *[F.lit(0).cast("long").alias(c) for c in self.c],
+                            F.lit(root["__n"]).cast("long").alias("__n"), F.lit(root["__leaf"]).alias("__leaf"))
         live = stored(self.bounds(start).select(*cols), "nearest-live")
         children = self.cells.select(*[F.shiftright(F.col(c), 2).alias(f"__p{c}") for c in self.c], (F.col("__level") - 1).alias("__up"),
                                      *[F.col(c).alias(f"__k{c}") for c in self.c], F.col("__n").alias("__kn"), F.col("__leaf").alias("__kleaf"))
