@@ -13,9 +13,9 @@ gives out only links that join two components.  So a large group of near copies
 costs one comparison per member, and a pair is left out only if it is joined
 already or its signatures rule it out.  Every link is confirmed on the full sets.
 
-With 64 permutations a pair at the threshold shares no band with probability
-(1 - 0.85^5)^25 = 4e-7, and its signatures agree on fewer than ``SIGN_LEAST`` of 125
-values (4.4 standard deviations below the mean) about as rarely.
+With 64 permutations a pair of similarity 0.85 shares no band with probability
+(1 - 0.85^5)^25 = 4e-7 (0.8: 5e-5), and a pair at the threshold agrees on too few of the
+125 values (4.4 standard deviations below the mean) about as rarely as the former.
 
 Defined results: a NULL or wordless text has no shingles, is linked with
 nothing and stays; rows with a NULL id belong to the component of their text;
@@ -42,7 +42,8 @@ PERMUTATIONS = 64
 BAND_ROWS = 5
 BANDS = 2 * PERMUTATIONS // BAND_ROWS
 VALUES = BANDS * BAND_ROWS
-SIGN_LEAST = 0.71
+#: Signatures that lie so many standard deviations below the threshold rule a pair out.
+SIGN_SPREAD = 4.4
 SHINGLE = 5
 #: Bounds of a block: classes, and shingles over all of them.
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
@@ -82,6 +83,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(48)).astype(np.uint16)
 
 
+def least_agreement(threshold: int) -> int:
+    """Signature values on which a pair at ``threshold`` per cent agrees but for chance."""
+    t = threshold / 100
+    return max(0, int(VALUES * (t - SIGN_SPREAD * (t * (1 - t) / VALUES) ** 0.5)))
+
+
 def band_keys(sign: np.ndarray) -> np.ndarray:
     """One 64-bit key per band."""
     rows = sign.reshape(BANDS, BAND_ROWS)
@@ -238,7 +245,7 @@ def cross_links(members: DataFrame, signs: DataFrame, sets: DataFrame, threshold
     dealt = rows.select("band", "class", "comp", F.explode(F.when(F.col("is_top"), from_top).otherwise(F.concat(with_rest, with_top))).alias("at"))
     dealt = dealt.join(signs, "class").join(sets, "class").select("band", "at.left", "at.right", "at.side", "class", "comp", "sign", "shingles")
     dealt = dealt.repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
-    return dealt.mapInArrow(_block_batches(int(SIGN_LEAST * VALUES), threshold), "a binary, b binary")
+    return dealt.mapInArrow(_block_batches(least_agreement(threshold), threshold), "a binary, b binary")
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
