@@ -78,10 +78,9 @@ def exact_quantiles_by(df: DataFrame, group_col: str, groups: Sequence[int], col
     one pass.
     """
     cols = list(cols)
-    gcol = qcol(group_col)
-    if isinstance(df.schema[group_col].dataType, T.ArrayType):
-        gcol = F.explode(gcol)
-    frame = df.select(gcol.cast("int").alias("g"), *_values(cols)).filter(F.col("g").isin(*[int(g) for g in groups]))
+    is_array = isinstance(df.schema[group_col].dataType, T.ArrayType)
+    gcol = F.explode(qcol(group_col).cast("array<int>")) if is_array else qcol(group_col).cast("int")
+    frame = df.select(gcol.alias("g"), *_values(cols)).filter(F.col("g").isin(*[int(g) for g in groups]))
     found, _ = _search(frame, groups, len(cols), probs)
     return {g: {c: found[g, i] for i, c in enumerate(cols)} for g in groups}
 

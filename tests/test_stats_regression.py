@@ -128,7 +128,7 @@ def test_exact_split_sizes(spark, rule):
     for g, n in sizes.items():
         want = math.ceil(0.2 * n) if rule == "sklearn" else (n - max(1, int(0.8 * n))) or 1
         assert got.get(g, 0) == want, (g, n)
-    again = exact_split(df.repartition(7), ["i"], by=["g"], rule=rule, small=7, bins_bits=3)
+    again = exact_split(df.repartition(7), ["i"], by=["g"], rule=rule)
     assert sorted((r.g, r.i) for r in out.filter("is_test").collect()) == \
         sorted((r.g, r.i) for r in again.filter("is_test").collect())
 
