@@ -117,10 +117,10 @@ sets AS (
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS s FROM docs WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 pairs AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
 links AS (
   SELECT a, b FROM pairs JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b
-  WHERE 100 * both >= 85 * (sa.n + sb.n - both)),
+  WHERE 100 * shared >= 85 * (sa.n + sb.n - shared)),
 reach AS (
   SELECT doc_id AS a, doc_id AS b FROM docs
   UNION
