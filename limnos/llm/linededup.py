@@ -109,7 +109,8 @@ def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       .select("hash", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), F.col("first.start").alias("fs")), "line-repeated")
     places = stored(per_row.join(repeated.select("hash"), "hash").select(*ROW_KEY, "start", "n", "hash").distinct(), "line-places")
     wanted = places.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("start", "n", "hash")).alias("wanted"))
-    fetched = keyed_join(docs.select(F.col(id_col), F.col(text_col)), wanted, "inner", id_col, text_col).select(F.col(text_col).alias("text"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "wanted")
+    # What repeats grows with the corpus, so it is never broadcast: one sort-merge join at every size.
+    fetched = keyed_join(docs.select(F.col(id_col), F.col(text_col)), wanted.hint("merge"), "inner", id_col, text_col).select(F.col(text_col).alias("text"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "wanted")
     held = stored(fetched.mapInArrow(_bytes_batches, "k1 long, k2 long, start int, n int, hash long, bytes binary"), "line-bytes")
     firsts = held.join(repeated, (held["hash"] == repeated["hash"]) & (held["k1"] == repeated["f1"]) & (held["k2"] == repeated["f2"]) & (held["start"] == repeated["fs"]))
     firsts = firsts.groupBy(held["hash"]).agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("fs").alias("fs"), F.first("bytes").alias("first_bytes"))
