@@ -46,6 +46,18 @@ def split_words(text: str | Column, sep_class: str = SPACE_CLASS, sep_chars: str
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, sep_class + "+"))
 
 
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most ``n`` rows, those of least hash of ``keys``.
+
+    Rows beyond four times the hash range that should hold ``n`` go first, so what
+    the tasks hand on for the final cut does not grow with their number.
+    """
+    h, total = F.xxhash64(*keys), df.count()
+    if total > 8 * n:
+        df = df.where(h < F.lit(int(-(2.0 ** 63) + 2.0 ** 64 * 4 * n / total)))
+    return df.orderBy(h).limit(n)
+
+
 ROW_KEY = ["k1", "k2"]
 
 

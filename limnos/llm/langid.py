@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import ROW_KEY, keyed_join, row_key, ship_with_tasks, stored
+from limnos.llm.common import ROW_KEY, hash_sample, keyed_join, row_key, ship_with_tasks, stored
 
 ship_with_tasks(__name__)
 
@@ -60,7 +60,7 @@ def _trigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit_text_models(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their trigram log-probabilities, from at most ``train_rows`` rows (text, label, id)."""
     known = labelled.where("text IS NOT NULL AND label IS NOT NULL")
-    rows = known.orderBy(F.xxhash64("id", "text"), "text", "label").limit(train_rows).select("text", "label").collect()
+    rows = hash_sample(known, train_rows, "id", "text").select("text", "label").collect()
     names = sorted({r.label for r in rows})
     counts = np.zeros((len(names), 1 << BITS))
     for r in rows:

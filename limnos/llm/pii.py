@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import ship_with_tasks
+from limnos.llm.common import hash_sample, ship_with_tasks
 
 ship_with_tasks(__name__)
 
@@ -327,7 +327,7 @@ def examples_of(text: str) -> Iterator[tuple[Region, dict[tuple[int, int], int]]
 def fit_model(docs: DataFrame, text_col: str = "text", fit_rows: int = FIT_ROWS) -> SpanModel:
     """Fit on at most ``fit_rows`` distinct texts with a digit or at-sign."""
     texts = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("text"))
-    rows = texts.select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(fit_rows).collect()
+    rows = hash_sample(texts, fit_rows, "text").collect()
     examples = [e for t in sorted({r.text for r in rows}) for e in examples_of(t)]
     return SpanModel().fit(examples) if any(gold for _, gold in examples) else SpanModel()
 

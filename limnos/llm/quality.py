@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import WordHashes, ship_with_tasks, stored
+from limnos.llm.common import WordHashes, hash_sample, ship_with_tasks, stored
 
 ship_with_tasks(__name__)
 
@@ -153,7 +153,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           fit_rows: int = FIT_ROWS, spare: float = SPARE) -> DataFrame:
     """Per row: doc_id, COUNTS, score, threshold, base_failed, kept."""
     counts = stored(rule_counts(docs, id_col, text_col), "quality-counts")
-    sample = counts.where("n_words > 0").orderBy("order_key", *COUNTS).limit(fit_rows).select(*COUNTS).collect()
+    sample = sorted(hash_sample(counts.where("n_words > 0"), fit_rows, "order_key").select(*COUNTS).collect())
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema)
     if sample:
         forest = IsolationForest(features(np.array([tuple(r) for r in sample], dtype=np.int64)))
