@@ -3,16 +3,19 @@
 A rolling hash over the hashes of the last two lines decides after which lines a
 text is cut, so equal passages are cut alike wherever they stand and whatever
 was put in before them.  Several independent cuts (seeds) are made, since one
-cut may join a passage's edge to foreign lines.  A chunk of two or more lines
-that occurs more than once in the whole corpus is removed everywhere but at its
-first place (least document, then line), after its bytes were compared with
-that place's bytes.
+cut may join a passage's edge to foreign lines.  These chunks have two or more
+lines; besides, every least run of over 50 words is a chunk, of one line too.
+Least runs lie wholly inside any passage of over 50 words and cover it, so such
+a passage is found to its edges whatever stands around it.  A chunk that occurs
+more than once in the whole corpus is removed everywhere but at its first place
+(least document, then line), after its bytes were compared with that place's
+bytes.
 
 Only chunk hashes are shuffled for the count; the bytes of repeated chunks alone
 are fetched for the comparison.
 
 Defined results: a NULL text has no lines; chunks of blank lines are not removed;
-repeated rows repeat each other's chunks, a NULL id stands first; extra columns are ignored.
+a passage begins and ends with a line that has words; repeated rows repeat each other's chunks, a NULL id stands first; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +35,48 @@ SEEDS = 3
 #: A cut after about one line in so many.
 DIVISOR = 2
 LEAST_LINES = 2
+#: A passage of so many words is found whole, whatever its number of lines.
+LEAST_WORDS = 51
 
 _ODD = np.random.default_rng(7).integers(1 << 20, 1 << 62, (SEEDS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def least_runs(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(start, n) of the runs of at least LEAST_WORDS words that no line can be taken from at the far end.
+
+    From every line with words the shortest run onwards and the shortest run backwards; and two lines
+    with only blank ones between, as no shortest run holds the blank ones if either is long enough alone.
+    Any longer run is the union of those inside it: a line of it begins or ends a shortest run in it, or
+    too few words stand on both its sides, and then the shortest run from the first line goes past it.
+    """
+    sizes = [len(x.split()) for x in lines]
+    at = [i for i, v in enumerate(sizes) if v]
+    sums = [0]
+    for i in at:
+        sums.append(sums[-1] + sizes[i])
+    m, runs, end = len(at), [], 0
+    for k in range(m):
+        while end < m and sums[end] - sums[k] < LEAST_WORDS:
+            end += 1
+        if sums[end] - sums[k] < LEAST_WORDS:
+            break
+        runs.append((k, end))
+    start = 0
+    for end in range(1, m + 1):
+        while sums[end] - sums[start + 1] >= LEAST_WORDS:
+            start += 1
+        if sums[end] - sums[start] >= LEAST_WORDS:
+            runs.append((start, end))
+    runs += [(k, k + 2) for k in range(m - 1) if at[k + 1] > at[k] + 1 and sums[k + 2] - sums[k] >= LEAST_WORDS]
+    return [(at[a], at[b - 1] + 1 - at[a]) for a, b in runs]
+
+
 def cut_lines(lines: list[bytes], hashes: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, n, hash) of the chunks of two or more lines, over all seeds, each once."""
+    """(start, n, hash) of the chunks of two or more lines, over all seeds, and of the least runs, each once."""
     n = len(lines)
-    if n < LEAST_LINES:
+    if n == 0:
         return []
-    found = {}
+    found = dict.fromkeys(least_runs(lines), 0)
     blank = np.fromiter((not x.strip() for x in lines), bool, n)
     words = np.concatenate([[0], np.cumsum(~blank)])
     for a, b in _ODD:

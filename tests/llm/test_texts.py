@@ -217,6 +217,34 @@ def test_repeated_passage_goes_but_for_its_first_place(spark):
     assert linededup.removable_lines(frame(spark, EDGE)).agg(F.sum("copies")).first()[0] == len(EDGE)
 
 
+def repeated_runs(rows):
+    """Lines with words in any run of over 50 words that stands earlier, by trying all runs; rows in order."""
+    seen, gone = set(), {}
+    for d, t in rows:
+        lines, gone[d] = t.split("\n"), set()
+        sizes = [len(brute.space_words(x)) for x in lines]
+        for b in range(len(lines)):
+            for a in range(b, -1, -1):
+                if sizes[a] and sizes[b] and sum(sizes[a:b + 1]) > 50:
+                    key = tuple(lines[a:b + 1])
+                    if key in seen:
+                        gone[d] |= set(range(a, b + 1))
+                    seen.add(key)
+    return gone
+
+
+def test_short_passages_go_whole(spark):
+    rng, rows = random.Random(11), []
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[say(60 // n + rng.randrange(4)) for _ in range(n)] for n in (1, 2, 3, 4, 5) for _ in range(12)]
+    passages += [[say(60), "", say(60)], [say(30), say(10), say(30)], [say(20), "", " ", say(40)], [say(2), say(55), say(1)], [say(51)], [say(1) for _ in range(80)]]
+    for i in range(3 * len(passages)):
+        rows.append((i, "\n".join([say(9) for _ in range(rng.randrange(3))] + passages[i % len(passages)] + [say(9) for _ in range(rng.randrange(3))])))
+    want = repeated_runs(rows)
+    got = {r.doc_id: set(r.removed) for r in linededup.removable_lines(frame(spark, [(d, t, "s") for d, t in rows])).collect()}
+    assert got == want and sum(map(bool, want.values())) == 2 * len(passages)
+
+
 # ---------------------------------------------------------------- quality
 def test_quality_counts(spark):
     memo = WordHashes()
