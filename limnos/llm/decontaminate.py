@@ -6,6 +6,8 @@ without a shuffle.  ``find_matches`` then works on postings only: the rarest
 term of every benchmark window gives candidate alignments, its second rarest
 term must be found at the offset-adjusted place, and only the survivors are
 looked up term by term.  No benchmark window is compared with all documents.
+``near_items`` takes more anchors of every window, each alone, so that one of
+them is in place in any near match, and judges their postings in the scan.
 
 Defined results: a NULL or wordless text has ``n_words`` 0 and no match; a NULL
 ``item_id`` is written as an empty string; repeated document rows each get their
@@ -65,63 +67,118 @@ def rank_anchors(terms: DataFrame, counts: DataFrame, window: int = WINDOW) -> D
                                       second["p"].alias("p2"), second["term"].alias("term2")).distinct()
 
 
-def _near(frame: DataFrame, expected: Column, slop: int) -> DataFrame:
-    """One row per allowed distance from the expected position, so that joins stay on equal positions."""
-    return frame.withColumn("off", F.explode(F.array(*[F.lit(d) for d in range(-slop, slop + 1)]))).withColumn("pos", expected + F.col("off"))
-
-
-def find_matches(postings: DataFrame, terms: DataFrame, window: int = WINDOW, slop: int = 1, near_words: int = 8) -> DataFrame:
-    """Item words found in documents: k1, k2, item, item_id, pos, exact, near.
+def find_matches(postings: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Item words found in documents: k1, k2, item, item_id, pos, exact.
 
     ``exact``: the word at ``pos`` lies inside an occurrence of a whole window.
-    ``near``: it lies in an alignment of the item in which ``near_words`` of
-    ``window`` consecutive item words stand within ``slop`` positions of their place.
     """
     terms = stored(terms, "items")
     counts = postings.where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
     anchors = stored(rank_anchors(terms, counts, window), "anchors")
     # Rarest term: every posting is an alignment ``diag`` of item position 0.
     first = (postings.join(anchors.withColumnRenamed("term1", "term"), "term")
-             .select(*KEY, "item", (F.col("pos") - F.col("p1")).alias("diag"), "p1", "p2", F.col("term2").alias("term")))
+             .select(*KEY, "item", (F.col("pos") - F.col("p1")).alias("diag"), "p1", F.col("term2").alias("term"), (F.col("pos") - F.col("p1") + F.col("p2")).alias("pos")))
     second_postings = postings.join(anchors.select(F.col("term2").alias("term")).distinct(), "term", "left_semi").select(*KEY, "term", "pos")
-    aligned = (_near(first, F.col("diag") + F.col("p2"), slop).join(second_postings, [*KEY, "term", "pos"], "left_semi")
-               .select(*KEY, "item", "diag", "p1").distinct())
+    aligned = first.join(second_postings, [*KEY, "term", "pos"], "left_semi").select(*KEY, "item", "diag", "p1").distinct()
     aligned = stored(aligned, "aligned")
     # Survivors: look up all item words within one window of the anchor.
     around = (aligned.select(*KEY, "item", "diag", F.explode(F.sequence(F.greatest(F.col("p1") - window + 1, F.lit(0)), F.col("p1") + window - 1)).alias("p"))
               .distinct().join(terms, ["item", "p"]))
     # Survivors grow with the corpus, so they are never broadcast: one sort-merge join at every size.
-    found = (_near(around, F.col("diag") + F.col("p"), slop).join(postings.select(*KEY, "term", "pos").hint("merge"), [*KEY, "term", "pos"])
-             .groupBy(*KEY, "item", "item_id", "diag", "len", "p").agg(F.bool_or(F.col("off") == 0).alias("on")))
-    line = Window.partitionBy(*KEY, "item", "diag")
-    order = line.orderBy("p")
-    found = found.withColumn("run", F.col("p") - F.sum(F.col("on").cast("int")).over(order))
-    found = found.withColumn("run_len", F.when(F.col("on"), F.sum(F.col("on").cast("int")).over(Window.partitionBy(*KEY, "item", "diag", "on", "run"))))
-    found = found.withColumn("close", F.count("*").over(order.rangeBetween(0, window - 1)))
-    need = F.least(F.lit(window), F.col("len"))
-    return found.select(*KEY, "item", "item_id", (F.col("diag") + F.col("p")).alias("pos"),
-                        F.coalesce(F.col("run_len") >= need, F.lit(False)).alias("exact"),
-                        (F.max("close").over(line) >= F.least(F.lit(near_words), F.col("len"))).alias("near"))
-
-
-def document_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items."""
+    found = (around.withColumn("pos", F.col("diag") + F.col("p")).join(postings.select(*KEY, "term", "pos").hint("merge"), [*KEY, "term", "pos"])
+             .select(*KEY, "item", "item_id", "diag", "len", "p").distinct())
+    found = found.withColumn("run", F.col("p") - F.row_number().over(Window.partitionBy(*KEY, "item", "diag").orderBy("p")))
+    found = found.withColumn("run_len", F.count("*").over(Window.partitionBy(*KEY, "item", "diag", "run")))
+    return found.select(*KEY, "item", "item_id", (F.col("diag") + F.col("p")).alias("pos"), (F.col("run_len") >= F.least(F.lit(window), F.col("len"))).alias("exact"))
+
+
+#: Documents are read in blocks of so many words, each with what stands around it.
+BLOCK = 32
+#: More anchors than that are joined by sort-merge.
+BROADCAST_ANCHORS = 100_000
+
+
+def near_anchors(terms: DataFrame, counts: DataFrame, window: int = WINDOW, near_words: int = 8) -> DataFrame:
+    """The (missing + 1) rarest positions of every window, where ``missing`` words may be out of place: one of them is in place.
+
+    item, p, len, term, around (the item's words within a window of p), at (the place of p in it), least
+    (so many different words of ``around`` stand near p in a near match at least).  The words the corpus
+    lacks are the rarest; they have no postings, so they only take the place of others.
+    """
+    size, need = F.least(F.lit(window), F.col("len")), F.least(F.lit(near_words), F.col("len"))
+    known = terms.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    w = Window.partitionBy("item").orderBy("p").rowsBetween(0, window - 1)
+    ranked = known.withColumn("rank", F.sort_array(F.collect_list(F.struct("n", "p", "term")).over(w))).where(F.size("rank") == size)
+    least = F.size(F.array_distinct(F.col("rank.term"))) - (size - need)
+    picked = ranked.select("item", "len", least.alias("least"), F.explode(F.slice("rank", F.lit(1), (size - need + 1).cast("int"))).alias("a"))
+    picked = picked.groupBy("item", "len", F.col("a.p").alias("p"), F.col("a.term").alias("term")).agg(F.min("least").alias("least"))
+    words = terms.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("p", "term"))).alias("words")).select("item", F.col("words.term").alias("words"))
+    first = F.greatest(F.col("p") - window + 1, F.lit(0))
+    return picked.join(words, "item").select("item", "p", "len", "term", F.slice("words", first + 1, F.col("p") + window - first).alias("around"),
+                                             (F.col("p") - first).alias("at"), "least")
+
+
+def near_items(docs: DataFrame, postings: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               window: int = WINDOW, slop: int = 1, near_words: int = 8) -> DataFrame:
+    """k1, k2, item, each once: items of which an alignment puts ``near_words`` of ``window`` consecutive
+    words (all words of an item of fewer) within ``slop`` positions of their place.
+
+    All words of such a match stand within ``reach`` of any word of it that is in place, so every posting
+    of an anchor is judged by the words around it alone, in the scan.
+    """
+    reach = window - 1 + 2 * slop
+    counts = postings.where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
+    anchors = stored(near_anchors(stored(terms, "near-terms"), counts, window, near_words), "near-anchors")
+    src = docs.select(*row_key(id_col, text_col), F.transform(_tokens(text_col), ascii_lower).alias("words"))
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(BLOCK))
+    blocks = src.where(F.size("words") > 0).select(*KEY, F.explode(F.transform(starts, lambda b: F.struct(
+        F.least(b, F.lit(reach)).alias("lead"),
+        F.slice("words", F.greatest(b - reach, F.lit(0)) + 1, F.least(b, F.lit(reach)) + BLOCK + reach).alias("words")))).alias("b"))
+    blocks = blocks.select(*KEY, F.col("b.lead").alias("lead"), F.col("b.words").alias("words"))
+    tokens = blocks.select(*KEY, "lead", "words", F.posexplode(F.slice("words", F.col("lead") + 1, F.lit(BLOCK))).alias("j", "term"))
+    first = F.greatest(F.col("lead") + F.col("j") - reach, F.lit(0))
+    here = F.col("lead") + F.col("j") - first
+    tokens = tokens.select(*KEY, "term", here.alias("here"), F.slice("words", first + 1, here + reach + 1).alias("context"))
+    met = tokens.join(F.broadcast(anchors) if anchors.count() <= BROADCAST_ANCHORS else anchors, "term")
+    size, need = F.least(F.lit(window), F.col("len")).cast("int"), F.least(F.lit(near_words), F.col("len"))
+
+    def aligned(off: int) -> Column:
+        """The anchor stands ``off`` from its place: is a window near?"""
+        def close(word, i):
+            place = F.col("here") - off + i - F.col("at")
+            return F.coalesce(F.greatest(*[F.coalesce(F.get("context", place + d) == word, F.lit(False)) for d in range(-slop, slop + 1)], F.lit(False)), F.lit(False)).cast("int")
+        flags = F.transform("around", close)
+        starts = F.sequence(F.lit(1), F.size("around") - size + 1)
+        return F.exists(starts, lambda s: F.aggregate(F.slice(flags, s, size), F.lit(0), lambda x, y: x + y) >= need)
+
+    near = aligned(0)
+    for off in [d for d in range(-slop, slop + 1) if d]:
+        near = near | aligned(off)
+    met = met.where(F.size(F.array_intersect("context", "around")) >= F.col("least")).where(near)
+    return stored(met.select(*KEY, "item").distinct(), "near-items")
+
+
+def document_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: bool = True) -> DataFrame:
+    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and, if ``near``, n_near_items."""
     terms = benchmark_terms(benchmark)
     postings = write_postings(docs, terms, id_col, text_col)
     found = find_matches(postings, terms)
     hits = found.groupBy(*KEY).agg(
         F.countDistinct(F.when(F.col("exact"), F.col("pos"))).alias("n_hit"),
-        F.countDistinct(F.when(F.col("near") | F.col("exact"), F.col("item"))).alias("n_near_items"),
         F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("items"))
     lengths = postings.where("term = ''").select("doc_id", *KEY, F.col("pos").cast("long").alias("n_words"))
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return lengths.join(hits, KEY, "left").select(
+    report = lengths.join(hits, KEY, "left").select(
         "doc_id", *KEY, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near_items", F.lit(0)).cast("long").alias("n_near_items"))
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    if not near:
+        return report
+    counted = near_items(docs, postings, terms, id_col, text_col).groupBy(*KEY).agg(F.count("*").alias("n_near_items"))
+    return report.join(counted, KEY, "left").withColumn("n_near_items", F.coalesce("n_near_items", F.lit(0)).cast("long"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a whole benchmark window (columns as given)."""
-    bad = stored(document_report(docs, benchmark, id_col, text_col).where("contaminated").select(*KEY).distinct(), "contaminated")
+    bad = stored(document_report(docs, benchmark, id_col, text_col, near=False).where("contaminated").select(*KEY).distinct(), "contaminated")
     return keyed_join(docs, bad, "left_anti", id_col, text_col)

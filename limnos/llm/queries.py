@@ -52,10 +52,17 @@ FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 @register("op1_decontamination", OP1_SQL)
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark phrases found in every document through the positional index."""
-    report = decontaminate.document_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    report = decontaminate.document_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=False)
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@register("op1_near_items")
+def op1_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report with the number of benchmark items that stand nearly in a document."""
+    report = decontaminate.document_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
+
+
 @register("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document and of every raw page, from text, markup and address."""

@@ -1,5 +1,6 @@
 """Decontamination, sharding, mixing and secret scans against plain Python versions."""
 
+import random
 from collections import Counter, defaultdict
 
 import brute
@@ -57,6 +58,41 @@ def test_near_items(spark):
     assert {r.doc_id: (r.contaminated, r.n_near_items) for r in got} == {1: (False, 1), 2: (False, 0)}
 
 
+def plain_near(text, item):
+    """Any alignment, any window: 8 of 10 words (all of a shorter item up to 8) within one position of their place."""
+    words, w = brute.plain_words(text), brute.plain_words(item)
+    size, need = min(10, len(w)), min(8, len(w))
+    for diag in range(-len(w) - 1, len(words) + 2):
+        close = [any(0 <= diag + p + d < len(words) and words[diag + p + d] == t for d in (-1, 0, 1)) for p, t in enumerate(w)]
+        if any(sum(close[s:s + size]) >= need for s in range(len(w) - size + 1) if size):
+            return True
+    return False
+
+
+def test_near_items_by_trying_all(spark):
+    rng = random.Random(3)
+    say = lambda n: [rng.choice("abcdefghijklmnop") + rng.choice("xyz") if rng.random() < 0.7 else f"r{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n)]
+    items, docs = [(k, say(n)) for k, n in enumerate((1, 3, 8, 9, 9, 10, 10, 12, 15, 25, 40))], []
+    for d in range(150):
+        w = list(rng.choice(items)[1])
+        rare = sorted(range(len(w)), key=lambda i: not w[i].startswith("r"))
+        for i in rare[:rng.randrange(4)]:
+            w[i] = "absent" if rng.random() < 0.5 else "rqq"
+        if rng.random() < 0.4:
+            w.insert(rng.randrange(len(w) + 1), "more")
+        if rng.random() < 0.2:
+            del w[rng.randrange(len(w))]
+        docs.append((d, " ".join(say(rng.randrange(60)) + w + say(rng.randrange(40))), "a"))
+    items.append((99, ["absent"] + ["never"] + say(8)))
+    docs.append((150, "x " + " ".join(items[-1][1][2:]) + " y", "a"))
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id int, text string")
+    got = {r.doc_id: r.n_near_items for r in decontaminate.document_report(docs_frame(spark, docs), frame).collect()}
+    assert got == {d: sum(plain_near(t, " ".join(w)) for _, w in items) for d, t, _ in docs}
+    rare = docs_frame(spark, [(1, "one two three absent five six seven eight nine", "a"), (2, "four", "a"), (3, "two three four five six", "a")])
+    one = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id int, text string")
+    assert {r.doc_id: r.n_near_items for r in decontaminate.document_report(rare, one).collect()} == {1: 1, 2: 0, 3: 0}
+
+
 def test_decontaminate_keeps_clean_rows(spark):
     items = spark.createDataFrame(ITEMS, "item_id int, text string")
     kept = decontaminate.decontaminate(docs_frame(spark, EDGE), items)
