@@ -7,17 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limnos.operators.features import FEATURE_COLS
-from limnos.operators.learners import (LINEAR, ModelSpec, TargetSpec, fit_model, predict, save_model, train_all)
+from limnos.operators.learners import (BOOSTING, FOREST, LINEAR, ModelSpec, TargetSpec, fit_model, predict, save_model, train_all)
 from limnos.operators.regression import hash_split
 from limnos.plans.q_model import feature_frame
 from limnos.plans.registry import register
 from limnos.session import scratch_path
 
 KEYS = ["l_orderkey", "l_linenumber", "l_extendedprice"]
-SMALL_FOREST = ModelSpec("Random Forest", "rf", {"numTrees": 12, "maxDepth": 6, "minInstancesPerNode": 2,
-                                                 "featureSubsetStrategy": "sqrt"}, "random_forest")
-SMALL_BOOSTING = ModelSpec("Gradient Boosting", "gb", {"stepSize": 0.1, "maxDepth": 4, "maxIter": 10,
-                                                       "minInstancesPerNode": 5}, "gradient_boosting")
 PRICE = TargetSpec("Price", "price_k", (0.0, 200.0), False, "price")
 QUANTITY = TargetSpec("Quantity", "l_quantity", (1.0, 50.0), True, "quantity")
 
@@ -37,15 +33,15 @@ def _fit_save_score(spark: SparkSession, sf_dir: str, spec: ModelSpec) -> DataFr
 
 
 register("ml_lr")(lambda spark, sf_dir: _fit_save_score(spark, sf_dir, LINEAR))
-register("ml_rf")(lambda spark, sf_dir: _fit_save_score(spark, sf_dir, SMALL_FOREST))
-register("ml_gb")(lambda spark, sf_dir: _fit_save_score(spark, sf_dir, SMALL_BOOSTING))
+register("ml_rf")(lambda spark, sf_dir: _fit_save_score(spark, sf_dir, FOREST))
+register("ml_gb")(lambda spark, sf_dir: _fit_save_score(spark, sf_dir, BOOSTING))
 
 
 def train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M11 + M12 + E10: the metrics table over two targets x three families
     (the count target is fitted on log1p and predicted through expm1)."""
-    metrics, _ = train_all(_frame(spark, sf_dir), [PRICE, QUANTITY], [LINEAR, SMALL_FOREST, SMALL_BOOSTING],
-                           key_cols=KEYS, folds=3)
+    metrics, _ = train_all(_frame(spark, sf_dir), [PRICE, QUANTITY], [LINEAR, FOREST, BOOSTING],
+                           key_cols=KEYS, folds=5)
     return metrics
 
 

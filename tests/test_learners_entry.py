@@ -6,7 +6,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from limnos.operators.learners import LINEAR, ModelSpec, fit_model, predict
+from limnos.operators.learners import BOOSTING, FOREST, LINEAR, ModelSpec, fit_model, predict
+from limnos.plans import q_ml, q_more
 from limnos.plans.q_model import feature_frame
 from limnos.operators.features import FEATURE_COLS
 from tests.conftest import SF_SMALL
@@ -39,6 +40,22 @@ def test_log_target_and_forest_layout(spark, frame):
     assert s1 == pytest.approx(s2, rel=1e-12)
 
 
+def test_registered_models_have_the_reference_settings(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q_ml, "_fit_save_score", lambda spark, sf_dir, spec: seen.append(spec))
+    for name in ("ml_lr", "ml_rf", "ml_gb"):
+        entry.queries()[name](spark, SF_SMALL)
+    assert seen == [LINEAR, FOREST, BOOSTING]
+    monkeypatch.setattr(q_ml, "train_all", lambda df, targets, specs, **kw: (seen.append((specs, kw["folds"])), None))
+    entry.queries()["train_metrics"](spark, SF_SMALL)
+    assert seen[3:] == [([LINEAR, FOREST, BOOSTING], 5)]
+    monkeypatch.setattr(q_more, "fit_model", lambda df, spec, *a, **kw: seen.append(spec))
+    monkeypatch.setattr(q_more, "save_model", lambda *a: (_ for _ in ()).throw(InterruptedError()))
+    with pytest.raises(InterruptedError):
+        entry.queries()["ml_invariants"](spark, SF_SMALL)
+    assert seen[4:] == [LINEAR, FOREST, BOOSTING]
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "click_value" in df.columns
