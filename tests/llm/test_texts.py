@@ -81,6 +81,13 @@ def test_near_duplicate_query_and_one_of_each_stays(spark):
     assert ids == Counter([d for d, (_, c) in named.items() if d == c] + [None])
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_signatures_lose_fewer_links_than_bands(threshold):
+    t = threshold / 100
+    assert neardup.fewer_agree(neardup.least_agreement(threshold), t) < (1 - t ** neardup.BAND_ROWS) ** neardup.BANDS
+    assert neardup.least_agreement(threshold) == {80: 80, 85: 84}[threshold]
+
+
 def test_blocks_lose_no_link(spark):
     rows = families()
     memo, kept = WordHashes(), {}
