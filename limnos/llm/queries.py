@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import chat, decontaminate, langid, linededup, mixing, neardup, pii, quality, secret_scan, sharding
+from limnos.llm import chat, decontaminate, langid, linededup, mixing, neardup, pii, quality, repair, secret_scan, sharding
 from limnos.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
                         F.sha2(text.cast("binary"), 256).alias("base_sha256"), text.alias("spans"))
+
+
+@register("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after the contract's damage, repaired with the fewest edits."""
+    return repair.repair_report(repair.damage(table(spark, sf_dir, "conversations")))

@@ -146,3 +146,75 @@ def personal(text):
         if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
             out.append(("phone", m.start(), m.end()))
     return out
+
+
+def blank(text):
+    return not re.search(r"[^\x20\x09-\x0D]", text)
+
+
+def damaged(rows):
+    """rows: [(conv, turn, role, text)] -> {conv: [(turn, role, text)]} after the damage, in order."""
+    out = {}
+    for conv, turn, role, text in rows:
+        kept = out.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        kept += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    for kept in out.values():
+        kept.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    return out
+
+
+def repair_conversation(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha) of one conversation by a shortest path over whole edit strings."""
+    faults, seen = [], set()
+    for _, role, text in rows:
+        last = re.sub(r"[\x20\x09-\x0D]+\Z", "", text)[-1:]
+        faults.append("blank" if blank(text) else "duplicate" if (role, text) in seen else "truncated" if last not in ".!?" else "")
+        seen.add((role, text))
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    initials = [r[:1] for _, r, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+    follows = {"": "su", "s": "u", "u": "a", "a": "u"}
+    best = {}  # (rows left, last initial) -> (cost, audit, turns), found from the end
+
+    def finish(i, last, inserts):
+        key = (i, last, inserts)
+        if key in best:
+            return best[key]
+        options = []
+        if i == len(rows):
+            if last in ("", "a"):
+                options.append((0, "", ()))
+        else:
+            _, role, text = rows[i]
+            cost, audit, left = finish(i + 1, last, 2)
+            options.append((cost + 3, "D" + audit, left))
+            if faults[i] not in ("blank", "duplicate"):
+                more = faults[i] == "truncated"
+                for edit, price, new in (("K", 0, role), ("R", 2, "user"), ("R", 2, "assistant")):
+                    if new[:1] and new[:1] in follows[last]:
+                        cost, audit, left = finish(i + 1, new[:1], 2)
+                        options.append((cost + price + more, edit + audit, (f"{new}:{text}", left)))
+        if inserts:
+            for new in ("user", "assistant"):
+                if new[0] in follows[last]:
+                    cost, audit, left = finish(i, new[0], inserts - 1)
+                    options.append((cost + 2, "I" + audit, (f"{new}:", left)))
+        best[key] = min(options, key=lambda o: o[:2]) if options else (10 ** 9, "", ())
+        return best[key]
+
+    for i in range(len(rows), -1, -1):  # no deep recursion
+        for last in follows:
+            for inserts in range(3):
+                finish(i, last, inserts)
+    cost, audit, left = finish(0, "", 2)
+    lines = []
+    while left:
+        lines.append(left[0])
+        left = left[1]
+    return (gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, sha("\n".join(lines)))
