@@ -218,3 +218,44 @@ def repair_conversation(rows):
         lines.append(left[0])
         left = left[1]
     return (gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, sha("\n".join(lines)))
+
+
+def merkle(docs):
+    """docs: [(doc_id, source, lang, n_chars, text)] -> sorted [(doc_id, leaf, subroot, root, proof, folded, verified)]"""
+    def leaf(row):
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def up(nodes):
+        return [sha("".join(nodes[i:i + 8])) for i in range(0, len(nodes), 8)]
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append(up(levels[-1]))
+        return levels
+
+    def path(levels, pos):
+        out = []
+        for nodes in levels[:-1]:
+            run = list(range(pos // 8 * 8, min(pos // 8 * 8 + 8, len(nodes))))
+            out.append(([nodes[i] for i in run if i < pos], [nodes[i] for i in run if i > pos]))
+            pos //= 8
+        return out
+
+    def key(v):
+        return (v is not None, v if v is not None else 0)
+
+    langs = sorted({r[2] for r in docs}, key=lambda v: (v is not None, (v or "").encode()))
+    groups = [sorted((r for r in docs if r[2] == lang), key=lambda r: (key(r[0]), leaf(r))) for lang in langs]
+    trees = [tree([leaf(r) for r in g]) for g in groups]
+    top = tree([t[-1][0] for t in trees])
+    out = []
+    for k, group in enumerate(groups):
+        for pos, row in enumerate(group):
+            steps = path(trees[k], pos) + path(top, k)
+            bad = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0 and row[4] is not None
+            node = leaf((*row[:4], row[4].translate(LOWER)) if bad else row)
+            for left, right in steps:
+                node = sha("".join([*left, node, *right]))
+            out.append((row[0], leaf(row), trees[k][-1][0], top[-1][0], sha("".join(x for left, right in steps for x in left + right)), node, node == top[-1][0]))
+    return sorted(out, key=repr)
