@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.llm import chat, decontaminate, langid, linededup, merkle, mixing, neardup, pii, quality, repair, secret_scan, sharding
+from limnos.llm import chat, decontaminate, langid, linededup, maintext, merkle, mixing, neardup, pii, quality, repair, secret_scan, sharding
 from limnos.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,9 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and folded proof of every document, some of them tampered with."""
     return merkle.manifest(merkle.leaves(table(spark, sf_dir, "documents"), {"text": merkle.tampered_text()}))
+
+
+@register("op11_main_text")
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return maintext.main_text(table(spark, sf_dir, "pages"))
