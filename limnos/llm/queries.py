@@ -42,23 +42,28 @@ hits AS (SELECT g.doc_id, g.s, g.n, wins.item_id FROM grams g JOIN wins ON g.n =
 words AS (
   SELECT doc_id, count(DISTINCT pos) AS n_hit
   FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM (SELECT DISTINCT doc_id, s, n FROM hits)) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id),
+doc_words AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM docs),
+item_words AS (
+  SELECT item, n, unnest(w) AS term, generate_subscripts(w, 1) AS p
+  FROM (SELECT row_number() OVER () AS item, len(w) AS n, w FROM items)),
+close AS (
+  SELECT DISTINCT doc_id, item, n, pos - p + e AS d, p
+  FROM doc_words JOIN item_words USING (term), (SELECT unnest([-1, 0, 1]) AS e)),
+near AS (
+  SELECT doc_id, count(DISTINCT item) AS n_near_items
+  FROM (SELECT doc_id, item, n, count(*) OVER (PARTITION BY doc_id, item, d ORDER BY p RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS c FROM close)
+  WHERE c >= least(8, n) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(words.n_hit, 0) AS n_hit, coalesce(found.n_items, 0) AS n_items,
-       sha256(coalesce(found.ids, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+       sha256(coalesce(found.ids, '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated,
+       coalesce(near.n_near_items, 0) AS n_near_items
+FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 
 @register("op1_decontamination", OP1_SQL)
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark phrases found in every document through the positional index."""
-    report = decontaminate.document_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=False)
-    return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-
-
-@register("op1_near_items")
-def op1_near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same report with the number of benchmark items that stand nearly in a document."""
+    """Benchmark phrases, exact and near, found in every document through the positional index."""
     report = decontaminate.document_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
 
