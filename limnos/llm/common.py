@@ -50,11 +50,14 @@ def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """At most ``n`` rows, those of least hash of ``keys``.
 
     Rows beyond four times the hash range that should hold ``n`` go first, so what
-    the tasks hand on for the final cut does not grow with their number.
+    the tasks hand on for the final cut does not grow with their number.  Where rows
+    share keys, that range may hold fewer than ``n``: then all rows are ordered.
     """
     h, total = F.xxhash64(*keys), df.count()
     if total > 8 * n:
-        df = df.where(h < F.lit(int(-(2.0 ** 63) + 2.0 ** 64 * 4 * n / total)))
+        near = df.where(h < F.lit(int(-(2.0 ** 63) + 2.0 ** 64 * 4 * n / total)))
+        if near.limit(n).count() == n:
+            df = near
     return df.orderBy(h).limit(n)
 
 

@@ -26,12 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import ROW_KEY, hash_sample, keyed_join, row_key, ship_with_tasks, stored
+from limnos.llm.common import ROW_KEY, keyed_join, row_key, ship_with_tasks, stored
 
 ship_with_tasks(__name__)
 
 BITS = 16
 TRAIN_ROWS = 2000
+#: Of a training text so many characters count, at most.
+TRAIN_CHARS = 20_000
 #: A text speaks with the weight of at most so many trigrams, as its trigrams are not independent.
 TEXT_WEIGHT = 60.0
 #: Pseudo-counts of the level above a host or suffix.
@@ -57,16 +59,35 @@ def _trigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (code * np.uint32(2654435761)) >> np.uint32(32 - BITS), letter[:-2] | letter[1:-1] | letter[2:]
 
 
+def _hash_cut(wanted: int, rows: int) -> int:
+    """Hash below which ``wanted`` of ``rows`` rows are expected."""
+    return int(min(-(2.0 ** 63) + 2.0 ** 64 * wanted / rows, 2.0 ** 63 - 1025))
+
+
 def fit_text_models(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their trigram log-probabilities, from at most ``train_rows`` rows (text, label, id)."""
-    known = labelled.where("text IS NOT NULL AND label IS NOT NULL")
-    rows = hash_sample(known, train_rows, "id", "text").select("text", "label").collect()
-    names = sorted({r.label for r in rows})
+    """Languages and their trigram log-probabilities, from at most ``train_rows`` rows (text, label, id).
+
+    Every label of the table is a language, however rare: the rows are dealt out evenly
+    over the labels, those of least hash first.
+    """
+    known = labelled.where("text IS NOT NULL AND label IS NOT NULL").select(
+        F.substring("text", 1, TRAIN_CHARS).alias("text"), "label", F.xxhash64("id", "text").alias("h"))
+    held = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    names = sorted(held)
+    share = max(1, train_rows // max(1, len(names)))
+    cut = F.create_map(*[F.lit(x) for name in names for x in (name, _hash_cut(4 * share, held[name]))]) if names else None
+    near = known.where(F.col("h") <= cut[F.col("label")]).dropDuplicates(["label", "h"]).collect() if names else []
+    rows = []
+    for name in names:
+        mine = sorted((r.h, r.text) for r in near if r.label == name)[:share]
+        if not mine:  # no hash that low: all its rows are ordered
+            mine = [(0, r.text) for r in known.where(F.col("label") == name).orderBy("h").limit(share).collect()]
+        rows += [(text, name) for _, text in mine]
     counts = np.zeros((len(names), 1 << BITS))
-    for r in rows:
-        code, letter = _trigrams(_bytes(r.text))
+    for text, label in rows:
+        code, letter = _trigrams(_bytes(text))
         if len(code):
-            counts[names.index(r.label)] += np.bincount(code[letter], minlength=1 << BITS)
+            counts[names.index(label)] += np.bincount(code[letter], minlength=1 << BITS)
     total = counts.sum(axis=1, keepdims=True)
     return names, np.log((counts + 0.05) / (total + 0.05 * (1 << BITS))).astype(np.float32)
 
@@ -173,7 +194,7 @@ def document_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def page_records(pages: DataFrame) -> DataFrame:
     """Records of raw pages: text outside tags, the html element's language, host and last host label."""
     declared = F.regexp_extract("html", r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z-]+)""", 1)
-    text = F.regexp_replace("html", r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
+    text = F.regexp_replace("html", r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^<>]*>", " ")
     host = F.lower(F.try_parse_url("url", F.lit("HOST")))
     return pages.select("page_id", text.alias("text"), primary_tag(declared).alias("declared"), host.alias("host"),
                         F.element_at(F.split(host, r"\."), -1).alias("suffix"))

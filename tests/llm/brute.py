@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import defaultdict
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -136,7 +137,7 @@ def personal(text):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         out.append(("email", m.start(), m.end()))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
+        if all(int(p[-4:]) <= 255 and not p[:-4].strip("0") for p in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub("[^0-9]", "", m[0])
@@ -259,3 +260,17 @@ def merkle(docs):
                 node = sha("".join([*left, node, *right]))
             out.append((row[0], leaf(row), trees[k][-1][0], top[-1][0], sha("".join(x for left, right in steps for x in left + right)), node, node == top[-1][0]))
     return sorted(out, key=repr)
+
+
+def near(text, item):
+    """Any alignment, any window: 8 of 10 words (all of a shorter item up to 8) within one position of their place."""
+    words, w = plain_words(text), plain_words(item)
+    size, need = min(10, len(w)), min(8, len(w))
+    where, close = defaultdict(list), defaultdict(set)
+    for i, t in enumerate(words):
+        where[t].append(i)
+    for p, t in enumerate(w):
+        for i in where[t]:
+            for d in (-1, 0, 1):
+                close[i - p + d].add(p)
+    return bool(size) and any(sum(p in places for p in range(s, s + size)) >= need for places in close.values() if len(places) >= need for s in range(len(w) - size + 1))

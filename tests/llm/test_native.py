@@ -46,7 +46,7 @@ def test_decontamination_query_and_empty_benchmark(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     plain = {i: t for i, t in items}
     assert len(plain) == len(items)
-    near = {d: sum(plain_near(t, x) for x in plain.values()) for d, t in source_rows(spark)}
+    near = {d: sum(brute.near(t, x) for x in plain.values()) for d, t in source_rows(spark)}
     want = Counter((*r, near[r[0]]) for r in brute.decontamination(source_rows(spark), items))
     got = Counter(tuple(r) for r in QUERIES["op1_decontamination"](spark, SF).collect())
     assert got == want
@@ -61,20 +61,6 @@ def test_near_items(spark):
     assert {r.doc_id: (r.contaminated, r.n_near_items) for r in got} == {1: (False, 1), 2: (False, 0)}
 
 
-def plain_near(text, item):
-    """Any alignment, any window: 8 of 10 words (all of a shorter item up to 8) within one position of their place."""
-    words, w = brute.plain_words(text), brute.plain_words(item)
-    size, need = min(10, len(w)), min(8, len(w))
-    where, close = defaultdict(list), defaultdict(set)
-    for i, t in enumerate(words):
-        where[t].append(i)
-    for p, t in enumerate(w):
-        for i in where[t]:
-            for d in (-1, 0, 1):
-                close[i - p + d].add(p)
-    return bool(size) and any(sum(p in places for p in range(s, s + size)) >= need for places in close.values() if len(places) >= need for s in range(len(w) - size + 1))
-
-
 def test_near_items_by_trying_all(spark):
     rng = random.Random(3)
     say = lambda n: [rng.choice("abcdefghijklmnop") + rng.choice("xyz") if rng.random() < 0.7 else f"r{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n)]
@@ -93,7 +79,7 @@ def test_near_items_by_trying_all(spark):
     docs.append((150, "x " + " ".join(items[-1][1][2:]) + " y", "a"))
     frame = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id int, text string")
     got = {r.doc_id: r.n_near_items for r in decontaminate.document_report(docs_frame(spark, docs), frame).collect()}
-    assert got == {d: sum(plain_near(t, " ".join(w)) for _, w in items) for d, t, _ in docs}
+    assert got == {d: sum(brute.near(t, " ".join(w)) for _, w in items) for d, t, _ in docs}
     rare = docs_frame(spark, [(1, "one two three absent five six seven eight nine", "a"), (2, "four", "a"), (3, "two three four five six", "a")])
     one = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id int, text string")
     assert {r.doc_id: r.n_near_items for r in decontaminate.document_report(rare, one).collect()} == {1: 1, 2: 0, 3: 0}
@@ -103,7 +89,7 @@ def test_decontaminate_keeps_clean_rows(spark):
     items = spark.createDataFrame(ITEMS, "item_id int, text string")
     kept = decontaminate.decontaminate(docs_frame(spark, EDGE), items)
     bad = {d for d, *_, hit in brute.decontamination([(d, t) for d, t, _ in EDGE], ITEMS) if hit}
-    bad |= {d for d, t, _ in EDGE if any(plain_near(t, item) for _, item in ITEMS)}
+    bad |= {d for d, t, _ in EDGE if any(brute.near(t, item) for _, item in ITEMS)}
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _, _ in EDGE if d not in bad)
 
