@@ -212,7 +212,7 @@ def _pick(frame: DataFrame, targets: Sequence[_Rank]) -> None:
     if not targets:
         return
     got = _aggregate(frame, targets, lambda v, a, b, members: {
-        "x": F.element_at(F.sort_array(F.collect_list(_within(v, a, b))), _by_group({t.group: t.rank - t.below + 1 for t in members}).cast("int"))})
+        "x": F.get(F.sort_array(F.collect_list(_within(v, a, b))), _by_group({t.group: t.rank - t.below for t in members}).cast("int"))})
     for key, t in _each(targets):
         t.value = got[key]["x"]
 
