@@ -1,29 +1,36 @@
-"""Spark ML model families, training loop, persistence (M6-M8, M11, M12, IO6, E10).
-
-A fitted model is a plain ``PipelineModel``: SQLTransformer (median fill,
-values baked in as text) -> SQLTransformer (derived features) ->
-VectorAssembler -> [StandardScaler] -> estimator -> SQLTransformer
-(``predicted``, with ``expm1`` for log-target models).  It saves and loads
-with Spark's own ML persistence; no pickles, no custom classes.
+"""Model families, training loop with a ledger, persistence (M6-M9, M11, M12, IO6, E10).
+
+The linear family is a plain ``PipelineModel``: SQLTransformer (median fill, values
+baked in as text) -> SQLTransformer (derived features) -> SQLTransformer (the line) ->
+SQLTransformer (``predicted``, with ``expm1`` for log-target models); it saves and loads
+with Spark's own ML persistence.  Gradient boosting (``operators.boosting``) is a
+``BoostedPipeline``: the same preparation, then trees that are saved as Parquet tables.
+Forests are Spark ML pipelines.  No pickles.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Mapping, Sequence
+import threading
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
+from limnos.operators.boosting import BoostedModel, BoostingSettings, BoostingUnit, fit_boosting, predict_boosted
 from limnos.operators.features import DERIVED_COLS, FEATURE_COLS, derived_feature_sql, fit_median_imputer
 from limnos.operators.quality import filter_range
 from limnos.operators.stats import exact_quantiles_by
 from limnos.operators.regression import exact_split, fit_ols, hash_bucket, hash_folds, regression_metrics
-from limnos.session import qcol
+from limnos.session import qcol, scratch_path
 
 
 @dataclass(frozen=True)
@@ -38,20 +45,15 @@ class ModelSpec:
     layout: int = 16
 
 
-# Model file prefixes (lr, rf, gb) and the reference's model settings (learning rate, rounds, leaf
-# sizes, forest size).  Spark caps tree depth at 30 (the reference's forest is
-# unlimited) and its boosting has no L2 term and no leaf-count cap: the
-# reference's boosted trees keep their library's default cap of 31 leaves
-# even at depth 8-10, so depth 5 (at most 32 leaves) is the closest Spark
-# equivalent of that capacity.  255 split bins mirror histogram boosting's
-# default binning (Spark's default is 32).
+# Model file prefixes (lr, rf, gb) and the reference's model settings.  Spark caps
+# the forest's depth at 30 (the reference's is unlimited); 255 split bins are histogram boosting's.
 LINEAR = ModelSpec("Linear Regression", "lr", {}, "lr")
 FOREST = ModelSpec("Random Forest", "rf", {"numTrees": 500, "maxDepth": 30, "minInstancesPerNode": 2,
                                            "featureSubsetStrategy": "sqrt", "maxBins": 255}, "rf")
-BOOSTING = ModelSpec("Gradient Boosting", "gb", {"stepSize": 0.03, "maxDepth": 5, "maxIter": 700,
-                                                 "minInstancesPerNode": 5, "maxBins": 255}, "gb")
-BOOSTING_NITRATE = ModelSpec("Gradient Boosting", "gb", {"stepSize": 0.05, "maxDepth": 5, "maxIter": 500,
-                                                         "minInstancesPerNode": 10, "maxBins": 255}, "gb")
+BOOSTING = ModelSpec("Gradient Boosting", "gb", {"learning_rate": 0.03, "max_depth": 10, "rounds": 700,
+                                                 "least_rows": 5, "l2": 0.1}, "gb")
+BOOSTING_NITRATE = ModelSpec("Gradient Boosting", "gb", {"learning_rate": 0.05, "max_depth": 8, "rounds": 500,
+                                                         "least_rows": 10, "l2": 0.1}, "gb")
 # Per-target families as the reference trains them.
 DEFAULT_SPECS = {"*": [LINEAR, FOREST, BOOSTING], "Nitrate": [LINEAR, FOREST, BOOSTING_NITRATE]}
 
@@ -84,8 +86,6 @@ def _estimator(spec: ModelSpec, features_col: str, label_col: str, seed: int):
         return LinearRegression(featuresCol=features_col, labelCol=label_col, **p)
     if spec.family == "rf":
         return RandomForestRegressor(featuresCol=features_col, labelCol=label_col, seed=seed, **p)
-    if spec.family == "gb":
-        return GBTRegressor(featuresCol=features_col, labelCol=label_col, seed=seed, **p)
     raise ValueError(f"unknown family {spec.family!r}")
 
 
@@ -152,6 +152,64 @@ def _fit_linear(data: DataFrame, features: Sequence[str], medians: Mapping[str,
     return PipelineModel(stages=[*stages, line, _output_stage(log_target)])
 
 
+@dataclass
+class BoostedPipeline:
+    """Median fill -> derived features -> boosted trees -> ``predicted``; ``transform`` as a PipelineModel."""
+
+    features: list[str]
+    medians: dict[str, float | None]
+    log_target: bool
+    model: BoostedModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        stages, inputs = _preprocess_stages(self.features, self.medians)
+        for stage in stages:
+            df = stage.transform(df)
+        df = predict_boosted(df, {"": self.model}, inputs)
+        return _output_stage(self.log_target).transform(df)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        nodes, cuts = self.model.tables()
+        meta = json.dumps({"features": self.features, "medians": self.medians, "log_target": self.log_target, "inputs": self.model.inputs,
+                           "base": self.model.base, "scale": self.model.scale})
+        spark.createDataFrame(nodes, "tree int, node int, feature int, cut int, left int, right int, step long").write.mode("overwrite").parquet(f"{path}/nodes")
+        spark.createDataFrame(cuts, "input int, position int, threshold double").write.mode("overwrite").parquet(f"{path}/thresholds")
+        spark.createDataFrame([(meta,)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BoostedPipeline:
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+        nodes = [tuple(r) for r in spark.read.parquet(f"{path}/nodes").collect()]
+        cuts = [tuple(r) for r in spark.read.parquet(f"{path}/thresholds").collect()]
+        model = BoostedModel.from_tables(meta["inputs"], meta["base"], meta["scale"], nodes, cuts)
+        return cls(meta["features"], meta["medians"], meta["log_target"], model)
+
+
+@dataclass
+class BoostingJob:
+    """One boosted model to fit: rows with the features, keys and ``__label``."""
+
+    data: DataFrame
+    spec: ModelSpec
+    features: Sequence[str]
+    medians: Mapping[str, float | None]
+    log_target: bool
+    key_cols: Sequence[str]
+
+
+def fit_boosted(jobs: Sequence[BoostingJob], seed: int = 42) -> list[BoostedPipeline]:
+    """M8: all models in lockstep, one Spark job a tree level for all of them."""
+    units = []
+    for number, job in enumerate(jobs):
+        stages, inputs = _preprocess_stages(job.features, job.medians)
+        data = job.data
+        for stage in stages:
+            data = stage.transform(data)
+        units.append(BoostingUnit(str(number), data, inputs, "__label", list(job.key_cols) or list(job.features), BoostingSettings(**job.spec.params)))
+    models, _ = fit_boosting(units, seed)
+    return [BoostedPipeline(list(j.features), dict(j.medians), j.log_target, m) for j, m in zip(jobs, models, strict=True)]
+
+
 def _drop_internal(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("__") or c == "prediction"])
 
@@ -178,52 +236,125 @@ def fit_model(train: DataFrame, spec: ModelSpec, features: Sequence[str], label:
             medians = fit_median_imputer(data, features)
         if spec.family == "lr":
             return _fit_linear(data, features, medians, log_target)
+        if spec.family == "gb":
+            return fit_boosted([BoostingJob(data, spec, features, medians, log_target, key_cols)], seed)[0]
         return build_pipeline(spec, features, medians, log_target, seed=seed).fit(data)
     finally:
         data.unpersist()
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model, df: DataFrame) -> DataFrame:
     """Input rows plus ``predicted``."""
     return _drop_internal(model.transform(df))
 
 
-def cross_validate(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: str, key_cols: Sequence[str],
-                   folds: int = 5, seed: int = 42, log_target: bool = False) -> tuple[float, float]:
-    """M9: k-fold R^2 (mean, population std); medians are re-learned per training fold."""
-    data = hash_folds(df, key_cols, folds, seed, "__cv_fold").cache()
-    # Every training fold's medians in one bracketing run: a row counts for each fold but its own.
+def _fold_medians(data: DataFrame, features: Sequence[str], folds: int) -> list[dict[str, float | None]]:
+    """Every training fold's medians in one bracketing run: a row counts for each fold but its own."""
     trains = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("__cv_fold"))
-    fold_medians = exact_quantiles_by(data.withColumn("__trains", trains), "__trains", range(folds), features, [0.5])
-    scores = []
-    for f in range(folds):
-        medians = {c: v[0] for c, v in fold_medians[f].items()}
-        model = fit_model(data.filter(F.col("__cv_fold") != f), spec, features, label, log_target, key_cols, seed,
-                          medians=medians)
-        scored = predict(model, data.filter(F.col("__cv_fold") == f))
-        m = regression_metrics(scored, label, "predicted", zero_variance="sklearn").first()
-        if m is not None and m["n"]:
-            scores.append(m["r2"])
-    data.unpersist()
+    found = exact_quantiles_by(data.withColumn("__trains", trains), "__trains", range(folds), features, [0.5])
+    return [{c: v[0] for c, v in found[f].items()} for f in range(folds)]
+
+
+def _score(model, rows: DataFrame, label: str) -> dict:
+    found = regression_metrics(predict(model, rows), label, "predicted", zero_variance="sklearn").first()
+    return found.asDict() if found is not None else {"n": 0}
+
+
+def _mean_std(scores: Sequence[float]) -> tuple[float, float]:
     if not scores:
         return float("nan"), float("nan")
     mean = sum(scores) / len(scores)
-    std = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
-    return mean, std
+    return mean, (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
+
+
+def cross_validate(df: DataFrame, spec: ModelSpec, features: Sequence[str], label: str, key_cols: Sequence[str],
+                   folds: int = 5, seed: int = 42, log_target: bool = False) -> tuple[float, float]:
+    """M9: k-fold R^2 (mean, population std); medians are re-learned per training fold.
+
+    Boosted folds are trained in lockstep, the others one after another.
+    """
+    data = hash_folds(df, key_cols, folds, seed, "__cv_fold").cache()
+    try:
+        medians = _fold_medians(data, features, folds)
+        train = lambda f: data.filter(F.col("__cv_fold") != f)
+        if spec.family == "gb":
+            models = fit_boosted([BoostingJob(_with_label(train(f), label, log_target), spec, features, medians[f], log_target, key_cols) for f in range(folds)], seed)
+        else:
+            models = [fit_model(train(f), spec, features, label, log_target, key_cols, seed, medians[f]) for f in range(folds)]
+        found = [_score(m, data.filter(F.col("__cv_fold") == f), label) for f, m in enumerate(models)]
+    finally:
+        data.unpersist()
+    return _mean_std([m["r2"] for m in found if m["n"]])
+
+
+def _with_label(df: DataFrame, label: str, log_target: bool) -> DataFrame:
+    return df.withColumn("__label", (F.log1p(qcol(label)) if log_target else qcol(label)).cast("double"))
+
+
+# ------------------------------------------------------------- training ledger
+#: Rows of the ledger and the model index are appended one at a time.
+_APPENDING = threading.Lock()
+LEDGER_SCHEMA = "target string, model string, fold int, n long, r2 double, rmse double, mae double, error_rate_pct double"
+#: The fold number of the model that is fitted on all training rows and scored on the test rows.
+WHOLE = -1
+
+
+class Ledger:
+    """Finished training units, one stored row each: (target, model, fold) and the metrics."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> dict[tuple[str, str, int], dict]:
+        try:
+            found = self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path).collect()
+        except AnalysisException as err:
+            if err.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = []
+        return {(r.target, r.model, r.fold): r.asDict() for r in found}
+
+    def add(self, target: str, model: str, fold: int, metrics: Mapping[str, object]) -> None:
+        row = (target, model, fold, metrics.get("n", 0), *[metrics.get(k) for k in ("r2", "rmse", "mae", "error_rate_pct")])
+        with _APPENDING:
+            self.spark.createDataFrame([row], LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def _at_once(spark: SparkSession, tasks: Sequence[Callable[[], None]], most: int) -> None:
+    """Run independent units as concurrent Spark jobs, each in a scheduler pool of its own."""
+    def in_pool(number: int, task: Callable[[], None]) -> None:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"unit-{number % most}")
+        try:
+            task()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(most) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(in_pool), k, t) for k, t in enumerate(tasks)]
+        errors = [f.exception() for f in running]
+    for error in errors:
+        if error is not None:
+            raise error
 
 
 def train_all(df: DataFrame, targets: Sequence[TargetSpec], specs: Sequence[ModelSpec] | Mapping[str, Sequence[ModelSpec]],
               features: Sequence[str] = FEATURE_COLS, key_cols: Sequence[str] = (), folds: int = 5,
               test_fraction: float = 0.2, seed: int = 42, min_samples: int = MIN_SAMPLES,
-              model_dir: str | None = None, exact_sizes: bool = True
-              ) -> tuple[DataFrame, dict[tuple[str, str], PipelineModel]]:
-    """M11 + M12: per target and family — range filter, gate, hash split,
-    CV, fit, holdout metrics, best flag; optionally persist the models.
-
-    Returns the metrics table (one row per target x family) and the models.
+              model_dir: str | None = None, exact_sizes: bool = True, ledger_dir: str | None = None, at_once: int = 2
+              ) -> tuple[DataFrame, dict[tuple[str, str], object]]:
+    """M11 + M12: per target and family — range filter, gate, split, CV, fit,
+    holdout metrics, best flag; optionally persist the models.
+
+    A unit is one (target, family, fold) fit.  Each finished unit is a row of the
+    ledger in ``ledger_dir``; a restart with the same folder fits only what lacks a
+    row.  ``at_once`` units run as concurrent jobs; boosted units of a target run in
+    lockstep.  Models are returned for the units fitted in this call, and saved in
+    ``model_dir`` before their row is written.  Returns the metrics table (one row
+    per target x family) and the models.
     """
     spark = df.sparkSession
-    rows, models = [], {}
+    ledger = Ledger(spark, ledger_dir or scratch_path(spark, "ledger"))
+    plan, models = [], {}
     for t in targets:
         base = df.filter(qcol(t.column).isNotNull())
         kept = filter_range(base, t.column, *t.valid_range)
@@ -235,20 +366,23 @@ def train_all(df: DataFrame, targets: Sequence[TargetSpec], specs: Sequence[Mode
             split = exact_split(kept, key_cols, test_fraction=test_fraction, seed=seed, rule="sklearn", col="__test")
         else:
             split = kept.withColumn("__test", hash_bucket(key_cols, seed) < F.lit(int(round(test_fraction * 10_000))))
-        train = split.filter(~F.col("__test")).drop("__test").cache()
-        test = split.filter(F.col("__test")).drop("__test")
-        n_train, n_test = train.count(), test.count()
-        family_specs = specs.get(t.label, specs.get("*", [])) if isinstance(specs, Mapping) else specs
-        for rank, spec in enumerate(family_specs):
-            cv_mean, cv_std = cross_validate(train, spec, features, t.column, key_cols, folds, seed, t.log_target)
-            model = fit_model(train, spec, features, t.column, t.log_target, key_cols, seed)
-            m = regression_metrics(predict(model, test), t.column, "predicted", zero_variance="sklearn").first()
-            models[(t.label, spec.name)] = model
-            if model_dir:
-                save_model(model, model_dir, spec, t)
-            rows.append((t.label, t.column, spec.name, rank, counts["before"], counts["used"], n_train, n_test,
-                         cv_mean, cv_std, m["r2"], m["rmse"], m["mae"], m["error_rate_pct"]))
-        train.unpersist()
+        # The split is stored once: every unit reads it instead of finding it again.
+        path = scratch_path(spark, "training-split")
+        hash_folds(split, key_cols, folds, seed, "__cv_fold").write.parquet(path)
+        split = spark.read.parquet(path)
+        train, test = split.filter(~F.col("__test")).drop("__test"), split.filter(F.col("__test")).drop("__test")
+        family = list(specs.get(t.label, specs.get("*", [])) if isinstance(specs, Mapping) else specs)
+        done = ledger.rows()
+        wanted = [(s, f) for s in family for f in (*range(folds), WHOLE) if (t.label, s.name, f) not in done]
+        if wanted:
+            _train_target(spark, t, train, test, wanted, features, key_cols, folds, seed, ledger, model_dir, models, at_once)
+        plan.append((t, family, counts, train.count(), test.count()))
+    done, rows = ledger.rows(), []
+    for t, family, counts, n_train, n_test in plan:
+        for rank, spec in enumerate(family):
+            cv = _mean_std([done[t.label, spec.name, f]["r2"] for f in range(folds) if done[t.label, spec.name, f]["n"]])
+            m = done[t.label, spec.name, WHOLE]
+            rows.append((t.label, t.column, spec.name, rank, counts["before"], counts["used"], n_train, n_test, *cv, m["r2"], m["rmse"], m["mae"], m["error_rate_pct"]))
     schema = ("target string, target_column string, model string, spec_rank int, rows_before_filter long, "
               "rows_used long, train_rows long, test_rows long, cv_r2_mean double, cv_r2_std double, r2 double, "
               "rmse double, mae double, error_rate_pct double")
@@ -258,28 +392,71 @@ def train_all(df: DataFrame, targets: Sequence[TargetSpec], specs: Sequence[Mode
     return metrics.drop("spec_rank"), models
 
 
+def _train_target(spark, t: TargetSpec, train: DataFrame, test: DataFrame, wanted: Sequence[tuple[ModelSpec, int]], features, key_cols, folds: int, seed: int,
+                  ledger: Ledger, model_dir: str | None, models: dict, at_once: int) -> None:
+    """Fit the wanted units of one target and write their rows."""
+    medians = dict(enumerate(_fold_medians(train, features, folds))) if any(f != WHOLE for _, f in wanted) else {}
+    if any(f == WHOLE for _, f in wanted):
+        medians[WHOLE] = fit_median_imputer(train, features)
+    rows_of = lambda f: train if f == WHOLE else train.filter(F.col("__cv_fold") != f)
+    held_of = lambda f: test if f == WHOLE else train.filter(F.col("__cv_fold") == f)
+
+    def finish(spec: ModelSpec, fold: int, model) -> None:
+        if fold == WHOLE:
+            models[(t.label, spec.name)] = model
+            if model_dir:
+                save_model(model, model_dir, spec, t, spark)
+        ledger.add(t.label, spec.name, fold, _score(model, held_of(fold), t.column))
+
+    def one(spec: ModelSpec, fold: int) -> Callable[[], None]:
+        return lambda: finish(spec, fold, fit_model(rows_of(fold), spec, features, t.column, t.log_target, key_cols, seed, medians[fold]))
+
+    _at_once(spark, [one(s, f) for s, f in wanted if s.family != "gb"], at_once)
+    boosted = [(s, f) for s, f in wanted if s.family == "gb"]
+    if boosted:
+        fitted = fit_boosted([BoostingJob(_with_label(rows_of(f), t.column, t.log_target), s, features, medians[f], t.log_target, key_cols) for s, f in boosted], seed)
+        for (s, f), model in zip(boosted, fitted, strict=True):
+            finish(s, f, model)
+
+
 # ------------------------------------------------------------- persistence
 def model_path(model_dir: str, spec: ModelSpec, target: TargetSpec) -> str:
     return os.path.join(model_dir, f"{spec.file_prefix or spec.family}_{target.file_stem or target.label}")
 
 
-def save_model(model: PipelineModel, model_dir: str, spec: ModelSpec, target: TargetSpec) -> str:
-    """IO6: persist one fitted pipeline as ``{prefix}_{stem}`` (overwrite)."""
-    path = model_path(model_dir, spec, target)
-    model.write().overwrite().save(path)
+MODEL_INDEX = "prefix string, stem string, kind string"
+
+
+def save_model(model, model_dir: str, spec: ModelSpec, target: TargetSpec, spark: SparkSession | None = None) -> str:
+    """IO6: persist one fitted model as ``{prefix}_{stem}`` (overwrite) and list it in the folder's index."""
+    path, spark = model_path(model_dir, spec, target), spark or SparkSession.getActiveSession()
+    boosted = isinstance(model, BoostedPipeline)
+    if boosted:
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
+    row = (spec.file_prefix or spec.family, target.file_stem or target.label, "boosted" if boosted else "pipeline")
+    with _APPENDING:
+        spark.createDataFrame([row], MODEL_INDEX).coalesce(1).write.mode("append").parquet(os.path.join(model_dir, "index"))
     return path
 
 
-def load_models(model_dir: str, targets: Sequence[TargetSpec], specs: Sequence[ModelSpec]
-                ) -> dict[tuple[str, str], PipelineModel]:
-    """IO6: load every (target, family) model present; missing ones are skipped."""
+def load_model(path: str, kind: str):
+    return BoostedPipeline.load(SparkSession.getActiveSession(), path) if kind == "boosted" else PipelineModel.load(path)
+
+
+def load_models(model_dir: str, targets: Sequence[TargetSpec], specs: Sequence[ModelSpec]) -> dict[tuple[str, str], object]:
+    """IO6: load every (target, family) model that the folder lists; missing ones are skipped."""
+    try:
+        listed = {(r.prefix, r.stem): r.kind for r in SparkSession.getActiveSession().read.schema(MODEL_INDEX).parquet(os.path.join(model_dir, "index")).collect()}
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
     out = {}
     for t in targets:
         for s in specs:
-            try:
-                out[(t.label, s.name)] = PipelineModel.load(model_path(model_dir, s, t))
-            except Exception as err:  # noqa: BLE001 - a missing model is expected, anything else is not
-                if "does not exist" not in str(err) and "PATH_NOT_FOUND" not in str(err) \
-                        and "InvalidInputException" not in str(err):
-                    raise
+            kind = listed.get((s.file_prefix or s.family, t.file_stem or t.label))
+            if kind is not None:
+                out[(t.label, s.name)] = load_model(model_path(model_dir, s, t), kind)
     return out

@@ -384,7 +384,7 @@ def exact_split(df: DataFrame, key_cols: Sequence[str], by: Sequence[str] = (),
     marked = data.join(cuts, "__g", "left")
     tied = F.coalesce((F.col("__h") == F.col("__cut")) & (F.col("__left") < F.col("__at")), F.lit(False))
     plain = marked.filter(~tied).withColumn(col, F.coalesce(F.col("__h") <= F.col("__cut"), F.lit(False)))
-    plain = plain.select(*df.columns, col)
+    plain = plain.select(*[qcol(c) for c in df.columns], col)
     if cuts.filter("__left < __at").isEmpty():
         return plain
     same = marked.filter(tied).groupBy(*[qcol(c) for c in df.columns], "__g", "__left").agg(F.count(F.lit(1)).alias("__n"))
@@ -393,4 +393,4 @@ def exact_split(df: DataFrame, key_cols: Sequence[str], by: Sequence[str] = (),
     rows = stored(rows.withColumn("__h", sixty(F.concat_ws(":", text, F.lit(str(seed))))), "split-ties")
     inner = _cut_hashes(rows.select("__g", "__h"), rows.select("__g", F.col("__left").alias("__need")).distinct())
     ties = rows.join(inner.select("__g", "__cut"), "__g").withColumn(col, F.col("__h") <= F.col("__cut"))
-    return plain.unionByName(ties.select(*df.columns, col))
+    return plain.unionByName(ties.select(*[qcol(c) for c in df.columns], col))

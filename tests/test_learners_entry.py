@@ -29,7 +29,7 @@ def test_pipeline_save_load_roundtrip(spark, frame, tmp_path):
 
 
 def test_log_target_and_forest_layout(spark, frame):
-    gb = ModelSpec("gb", "gb", {"maxIter": 3, "maxDepth": 3})
+    gb = ModelSpec("gb", "gb", {"rounds": 3, "max_depth": 3})
     m = fit_model(frame, gb, FEATURE_COLS, "l_quantity", log_target=True)
     assert predict(m, frame).filter(F.col("predicted") <= -1).count() == 0
     rf = ModelSpec("rf", "rf", {"numTrees": 4, "maxDepth": 4})
@@ -51,8 +51,9 @@ def test_registered_models_have_the_reference_settings(spark, monkeypatch):
     assert seen[3:] == [([LINEAR, FOREST, BOOSTING], 5)]
     monkeypatch.setattr(q_more, "fit_model", lambda df, spec, *a, **kw: seen.append(spec))
     monkeypatch.setattr(q_more, "save_model", lambda *a: (_ for _ in ()).throw(InterruptedError()))
-    with pytest.raises(InterruptedError):
-        entry.queries()["ml_invariants"](spark, SF_SMALL)
+    for name in ("lr_invariants", "rf_invariants", "gb_invariants"):
+        with pytest.raises(InterruptedError):
+            entry.queries()[name](spark, SF_SMALL)
     assert seen[4:] == [LINEAR, FOREST, BOOSTING]
 
 
