@@ -4,8 +4,9 @@ The linear family is a plain ``PipelineModel``: SQLTransformer (median fill, val
 baked in as text) -> SQLTransformer (derived features) -> SQLTransformer (the line) ->
 SQLTransformer (``predicted``, with ``expm1`` for log-target models); it saves and loads
 with Spark's own ML persistence.  Gradient boosting (``operators.boosting``) is a
-``BoostedPipeline``: the same preparation, then trees that are saved as Parquet tables.
-Forests are Spark ML pipelines.  No pickles.
+``BoostedPipeline`` and a forest (``operators.forest``) a ``ForestPipeline``: the same
+preparation, then trees that are saved as Parquet tables.  No pickles.  Spark's own
+linear solver and forest stay available as families ``spark_lr`` and ``spark_rf``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from limnos.operators.boosting import BoostedModel, BoostingSettings, BoostingUnit, fit_boosting, predict_boosted
+from limnos.operators.forest import ForestModel, ForestSettings, fit_forest, predict_forest
 from limnos.operators.features import DERIVED_COLS, FEATURE_COLS, derived_feature_sql, fit_median_imputer
 from limnos.operators.quality import filter_range
 from limnos.operators.stats import exact_quantiles_by
@@ -38,18 +40,17 @@ class ModelSpec:
     """One model family with its estimator parameters."""
 
     name: str
-    family: str  # "lr" (one-pass OLS) | "spark_lr" (Spark LinearRegression) | "rf" | "gb"
+    family: str  # "lr" (one-pass OLS) | "rf" | "gb" | "spark_lr", "spark_rf" (Spark ML's)
     params: Mapping[str, object] = field(default_factory=dict)
     file_prefix: str = ""
     #: Partitions a forest bootstraps in; part of the model, as another number gives another forest.
     layout: int = 16
 
 
-# Model file prefixes (lr, rf, gb) and the reference's model settings.  Spark caps
-# the forest's depth at 30 (the reference's is unlimited); 255 split bins are histogram boosting's.
+# Model file prefixes (lr, rf, gb) and the reference's model settings; the forest tries
+# the square root of the number of inputs at each split and has no depth limit.
 LINEAR = ModelSpec("Linear Regression", "lr", {}, "lr")
-FOREST = ModelSpec("Random Forest", "rf", {"numTrees": 500, "maxDepth": 30, "minInstancesPerNode": 2,
-                                           "featureSubsetStrategy": "sqrt", "maxBins": 255}, "rf")
+FOREST = ModelSpec("Random Forest", "rf", {"trees": 500, "least_split": 4, "least_leaf": 2}, "rf")
 BOOSTING = ModelSpec("Gradient Boosting", "gb", {"learning_rate": 0.03, "max_depth": 10, "rounds": 700,
                                                  "least_rows": 5, "l2": 0.1}, "gb")
 BOOSTING_NITRATE = ModelSpec("Gradient Boosting", "gb", {"learning_rate": 0.05, "max_depth": 8, "rounds": 500,
@@ -84,7 +85,7 @@ def _estimator(spec: ModelSpec, features_col: str, label_col: str, seed: int):
     p = dict(spec.params)
     if spec.family in ("lr", "spark_lr"):
         return LinearRegression(featuresCol=features_col, labelCol=label_col, **p)
-    if spec.family == "rf":
+    if spec.family == "spark_rf":
         return RandomForestRegressor(featuresCol=features_col, labelCol=label_col, seed=seed, **p)
     raise ValueError(f"unknown family {spec.family!r}")
 
@@ -185,6 +186,32 @@ class BoostedPipeline:
         return cls(meta["features"], meta["medians"], meta["log_target"], model)
 
 
+@dataclass
+class ForestPipeline:
+    """Median fill -> derived features -> forest -> ``predicted``; ``transform`` as a PipelineModel."""
+
+    features: list[str]
+    medians: dict[str, float | None]
+    log_target: bool
+    model: ForestModel
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        stages, _ = _preprocess_stages(self.features, self.medians)
+        for stage in stages:
+            df = stage.transform(df)
+        return _output_stage(self.log_target).transform(predict_forest(df, self.model))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.model.save(path, spark)
+        meta = json.dumps({"features": self.features, "medians": self.medians, "log_target": self.log_target})
+        spark.createDataFrame([(meta,)], "meta string").write.mode("overwrite").parquet(f"{path}/preparation")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ForestPipeline:
+        meta = json.loads(spark.read.parquet(f"{path}/preparation").first()["meta"])
+        return cls(meta["features"], meta["medians"], meta["log_target"], ForestModel.load(path, spark))
+
+
 @dataclass
 class BoostingJob:
     """One boosted model to fit: rows with the features, keys and ``__label``."""
@@ -219,14 +246,14 @@ def fit_model(train: DataFrame, spec: ModelSpec, features: Sequence[str], label:
               ) -> PipelineModel:
     """Fit one pipeline; medians are learned on ``train``.
 
-    Forests bootstrap per partition, so their input is first laid out by a
+    Spark ML's forests bootstrap per partition, so their input is first laid out by a
     hash of ``key_cols`` and sorted: the same rows give the same forest
     whatever the upstream partitioning was.
     """
     lab = F.log1p(qcol(label)) if log_target else qcol(label)
     cols = list(dict.fromkeys([*features, *key_cols]))
     data = train.select(*[qcol(c) for c in cols], lab.cast("double").alias("__label"))
-    if spec.family == "rf" and key_cols:
+    if spec.family == "spark_rf" and key_cols:
         data = data.repartition(spec.layout, *[qcol(k) for k in key_cols]).sortWithinPartitions(*[qcol(k) for k in key_cols])
     # The fit makes several passes (medians, scaler, solver / tree levels):
     # keep only the needed columns in memory for its duration.
@@ -238,6 +265,13 @@ def fit_model(train: DataFrame, spec: ModelSpec, features: Sequence[str], label:
             return _fit_linear(data, features, medians, log_target)
         if spec.family == "gb":
             return fit_boosted([BoostingJob(data, spec, features, medians, log_target, key_cols)], seed)[0]
+        if spec.family == "rf":
+            stages, inputs = _preprocess_stages(features, medians)
+            prepared = data
+            for stage in stages:
+                prepared = stage.transform(prepared)
+            forest = fit_forest(prepared, inputs, "__label", list(key_cols) or list(features), ForestSettings(seed=seed, **spec.params))
+            return ForestPipeline(list(features), dict(medians), log_target, forest)
         return build_pipeline(spec, features, medians, log_target, seed=seed).fit(data)
     finally:
         data.unpersist()
@@ -430,19 +464,20 @@ MODEL_INDEX = "prefix string, stem string, kind string"
 def save_model(model, model_dir: str, spec: ModelSpec, target: TargetSpec, spark: SparkSession | None = None) -> str:
     """IO6: persist one fitted model as ``{prefix}_{stem}`` (overwrite) and list it in the folder's index."""
     path, spark = model_path(model_dir, spec, target), spark or SparkSession.getActiveSession()
-    boosted = isinstance(model, BoostedPipeline)
-    if boosted:
+    kind = {BoostedPipeline: "boosted", ForestPipeline: "forest"}.get(type(model), "pipeline")
+    if kind != "pipeline":
         model.save(spark, path)
     else:
         model.write().overwrite().save(path)
-    row = (spec.file_prefix or spec.family, target.file_stem or target.label, "boosted" if boosted else "pipeline")
+    row = (spec.file_prefix or spec.family, target.file_stem or target.label, kind)
     with _APPENDING:
         spark.createDataFrame([row], MODEL_INDEX).coalesce(1).write.mode("append").parquet(os.path.join(model_dir, "index"))
     return path
 
 
 def load_model(path: str, kind: str):
-    return BoostedPipeline.load(SparkSession.getActiveSession(), path) if kind == "boosted" else PipelineModel.load(path)
+    own = {"boosted": BoostedPipeline, "forest": ForestPipeline}.get(kind)
+    return own.load(SparkSession.getActiveSession(), path) if own else PipelineModel.load(path)
 
 
 def load_models(model_dir: str, targets: Sequence[TargetSpec], specs: Sequence[ModelSpec]) -> dict[tuple[str, str], object]:

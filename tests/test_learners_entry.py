@@ -32,7 +32,7 @@ def test_log_target_and_forest_layout(spark, frame):
     gb = ModelSpec("gb", "gb", {"rounds": 3, "max_depth": 3})
     m = fit_model(frame, gb, FEATURE_COLS, "l_quantity", log_target=True)
     assert predict(m, frame).filter(F.col("predicted") <= -1).count() == 0
-    rf = ModelSpec("rf", "rf", {"numTrees": 4, "maxDepth": 4})
+    rf = ModelSpec("rf", "rf", {"trees": 4})
     keys = ["l_orderkey", "l_linenumber", "l_extendedprice"]
     s1 = predict(fit_model(frame, rf, FEATURE_COLS, "y", key_cols=keys), frame).agg(F.sum("predicted")).first()[0]
     s2 = predict(fit_model(frame.repartition(5), rf, FEATURE_COLS, "y", key_cols=keys), frame) \
