@@ -64,6 +64,35 @@ def _column(values: pa.Array, role: bool = False) -> tuple[np.ndarray, np.ndarra
     return data, np.diff(offsets)
 
 
+#: Bytes whose scatter indices are made at a time, and bytes of texts that are formatted at a time.
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 32 << 20
+
+
+def _scatter(out: np.ndarray, at: np.ndarray, lens: np.ndarray, data: np.ndarray) -> None:
+    """Copy consecutive pieces of ``data`` to their places in ``out``; index memory is bounded, a long piece is one copy."""
+    ends = np.cumsum(lens)
+    first, low = ends - lens, 0
+    while low < len(lens):
+        high = max(low + 1, int(np.searchsorted(ends, first[low] + SLICE_BYTES, "right")))
+        if high == low + 1:
+            out[at[low]:at[low] + lens[low]] = data[first[low]:ends[low]]
+        else:
+            part = slice(low, high)
+            out[np.repeat(at[part] - first[part], lens[part]) + np.arange(first[low], ends[high - 1])] = data[first[low]:ends[high - 1]]
+        low = high
+
+
+def _byte_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``BATCH_BYTES`` of text."""
+    ends = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(2)), 0), np.int64))
+    low = 0
+    while low < batch.num_rows:
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Formatted turns, and where each turn's content starts and ends in it (bytes)."""
     n = len(texts)
@@ -78,15 +107,14 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np
     for k, mark in ((0, OPEN), (2, HEAD_END), (4, CLOSE)):
         out[starts[:, k, None] + np.arange(len(mark))] = np.frombuffer(mark, np.uint8)
     for k, data in ((1, role_bytes), (3, text_bytes)):
-        first = np.cumsum(lens[:, k]) - lens[:, k]
-        out[np.repeat(starts[:, k] - first, lens[:, k]) + np.arange(len(data))] = data
+        _scatter(out, starts[:, k], lens[:, k], data)
     offsets = np.append(starts[:, 0], len(out)).astype(np.int64)
     formatted = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
     return formatted, starts[:, 3] - starts[:, 0], ends[:, 3] - starts[:, 0]
 
 
 def _format_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in _byte_slices(whole)):
         formatted, start, end = assemble(batch.column(1), batch.column(2))
         loss = np.array(pc.fill_null(pc.equal(batch.column(1), LOSS_ROLE), False))
         yield pa.RecordBatch.from_arrays(

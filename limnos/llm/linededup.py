@@ -99,6 +99,10 @@ def cut_lines(lines: list[bytes], hashes: np.ndarray) -> list[tuple[int, int, in
     return made
 
 
+#: Bytes of chunks in one batch; overlapping chunks may be many times their text.
+BATCH_BYTES = 64 << 20
+
+
 def _split(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode().split(b"\n")
 
@@ -118,16 +122,20 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _bytes_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text and its wanted chunks -> one row per chunk with its bytes."""
+    """text and its wanted chunks -> one row per chunk with its bytes, in batches of about ``BATCH_BYTES``."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [*ROW_KEY, "start", "n", "hash", "bytes"])
     for batch in batches:
-        rows = [[], [], [], [], [], []]
-        for text, k1, k2, wanted in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            lines = _split(text)
-            for w in wanted:
-                for column, v in zip(rows, (k1, k2, w["start"], w["n"], w["hash"], b"\n".join(lines[w["start"]:w["start"] + w["n"]])), strict=True):
-                    column.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], [*ROW_KEY, "start", "n", "hash", "bytes"])
+        rows, held = [], 0
+        for text, k1, k2, wanted in zip(*[batch.column(i) for i in range(4)], strict=True):
+            lines = _split(text.as_py())
+            for w in wanted.as_py():
+                rows.append((k1.as_py(), k2.as_py(), w["start"], w["n"], w["hash"], b"\n".join(lines[w["start"]:w["start"] + w["n"]])))
+                held += len(rows[-1][-1])
+                if held > BATCH_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+        yield made(rows)
 
 
 def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
