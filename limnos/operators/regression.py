@@ -222,8 +222,84 @@ def _gram_solver(by: Sequence[str], mode: str):
     return solve
 
 
+def _partial_r(keys: Sequence[str], width: int):
+    """Per task: the R factor of [1, inputs, label] per key, folded in block by block."""
+    most = max(1, _HELD_NUMBERS // (width * width))
+
+    def run(batches):
+        held: dict[tuple, tuple[int, np.ndarray]] = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(list(keys), sort=False, dropna=False):
+                block = part[[f"__c{i}" for i in range(width)]].to_numpy(float)
+                n, r = held.get(key, (0, np.empty((0, width))))
+                held[key] = (n + len(block), np.linalg.qr(np.vstack([r, block]), mode="r"))
+                if len(held) > most:
+                    yield _r_frame(keys, held)
+                    held = {}
+        yield _r_frame(keys, held)
+    return run
+
+
+def _r_frame(keys: Sequence[str], held: dict) -> pd.DataFrame:
+    rows = [{**dict(zip(keys, key, strict=True)), "__n": n, "__r": r.ravel().tolist()} for key, (n, r) in held.items()]
+    return pd.DataFrame(rows, columns=[*keys, "__n", "__r"])
+
+
+def _merge_r(keys: Sequence[str], width: int, carried: Sequence[str]):
+    """R factor of stacked R factors."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        stacked = np.vstack([np.asarray(r, float).reshape(-1, width) for r in pdf["__r"]])
+        first = pdf.iloc[:1]
+        return pd.DataFrame({**{c: first[c] for c in (*keys, *carried)}, "__n": [int(pdf["__n"].sum())], "__r": [np.linalg.qr(stacked, mode="r").ravel().tolist()]})
+    return run
+
+
+def _solve_r(by: Sequence[str], width: int):
+    """Least squares from one R factor: the minimum-norm solution by its singular values, as from the rows themselves."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.vstack([np.asarray(x, float).reshape(-1, width) for x in pdf["__r"]])
+        n, a, b = int(pdf["__n"].sum()), r[:, :-1], r[:, -1]
+        beta = np.linalg.lstsq(a, b, rcond=np.finfo(float).eps * max(n, width - 1))[0]
+        sse = float(((b - a @ beta) ** 2).sum())
+        # Row 0 of R holds sqrt(n) and the label's mean times it: the rest of the label's column is its spread.
+        q, _ = np.linalg.qr(a[:, :1])
+        sst = float(((b - q[:, 0] * (q[:, 0] @ b)) ** 2).sum())
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in by}, "n_train": n, "intercept": float(beta[0]), "coefficients": beta[1:].tolist(),
+                              "r2_train": 1.0 - sse / sst if sst > 0 else 0.0}])
+    return run
+
+
+#: R factors that one merge stacks.
+_MERGE = 32
+
+
+def fit_ols_qr(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
+    """M3 by tall-skinny QR: every task folds its rows into one R factor per group, R factors merge in a tree.
+
+    The inputs' condition number is not squared, as it is by sums of products, so nearly
+    collinear inputs keep their digits.  Same columns as ``fit_ols``; inputs are used as they
+    are, so exactly collinear ones share the minimum-norm solution of the raw columns.
+    """
+    width, keys = len(features) + 2, [*by] or ["__all"]
+    complete = df if by else df.withColumn("__all", F.lit(0))
+    for c in [*features, label]:
+        complete = complete.filter(qcol(c).isNotNull() & ~F.isnan(qcol(c)))
+    cols = [F.lit(1.0), *[qcol(f).cast("double") for f in features], qcol(label).cast("double")]
+    rows = complete.select(*_group_cols(keys), *[c.alias(f"__c{i}") for i, c in enumerate(cols)])
+    kinds = [rows.schema[k] for k in keys]
+    schema = T.StructType([*kinds, T.StructField("__n", T.LongType()), T.StructField("__r", T.ArrayType(T.DoubleType()))])
+    parts = stored(rows.mapInPandas(_partial_r(keys, width), schema).withColumn("__p", F.spark_partition_id()), "ols-r")
+    left = (parts.agg(F.max("__p")).first()[0] or 0) + 1
+    while left > _MERGE:
+        left = -(-left // _MERGE)
+        step = T.StructType([*kinds, T.StructField("__p", T.IntegerType()), *schema.fields[len(keys):]])
+        parts = parts.withColumn("__p", (F.col("__p") / _MERGE).cast("int"))
+        parts = stored(parts.groupBy(*_group_cols(keys), "__p").applyInPandas(_merge_r(keys, width, ["__p"]), step), "ols-r")
+    return parts.groupBy(*_group_cols(keys)).applyInPandas(_solve_r(by, width), _coef_schema(df.schema, by, with_fold=False))
+
+
 def fit_ols(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
-    """M3: least squares with intercept for every group in one pass.
+    """M3: least squares with intercept for every group in one pass (sums of products; see ``fit_ols_qr``).
 
     Returns one row per group: ``by``, ``n_train``, ``intercept``,
     ``coefficients`` (array in ``features`` order), ``r2_train``.

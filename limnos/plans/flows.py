@@ -25,7 +25,7 @@ from limnos.operators.learners import DEFAULT_TARGETS, TargetSpec, predict, trai
 from limnos.operators.quality import (blank_to_null, drop_null_rows, drop_sparse_columns,
                                       fill_constants, normalize_columns, prefix_columns, select_available,
                                       select_required, with_constant)
-from limnos.operators.regression import (coefficient_table, eligible_targets, exact_split, fit_ols, metric_lookup,
+from limnos.operators.regression import (coefficient_table, eligible_targets, exact_split, fit_ols_qr, metric_lookup,
                                          predict_linear, regression_metrics)
 from limnos.operators.reshape import latest_per_entity, pivot_first, pivot_value_unit
 from limnos.operators.spatial import nearest_join
@@ -203,7 +203,7 @@ def train_ols_long(long: DataFrame, targets: Sequence[str] | None = None, min_sa
         on="CharacteristicName", how="left_semi")
     split = exact_split(data, list(key_cols) or need, by=["CharacteristicName"], test_fraction=test_size, seed=seed,
                         rule="ols")
-    fit = fit_ols(split.filter(~F.col("is_test")), list(OLS_PREDICTORS), "ResultMeasureValue",
+    fit = fit_ols_qr(split.filter(~F.col("is_test")), list(OLS_PREDICTORS), "ResultMeasureValue",
                   by=["CharacteristicName"])
     scored = predict_linear(split.filter(F.col("is_test")), fit, list(OLS_PREDICTORS), by=["CharacteristicName"])
     m = regression_metrics(scored, "ResultMeasureValue", "prediction", ["CharacteristicName"])

@@ -176,3 +176,25 @@ def test_exact_split_sizes_with_repeated_keys(spark):
         assert {g: t for g, (t, _) in got.items()} == {"g": 200, "h": 21 if rule == "sklearn" else 101 - int(0.8 * 101), "i": 1}
         assert {g: n for g, (_, n) in got.items()} == {"g": 1000, "h": 101, "i": 1}
     assert sorted(map(tuple, exact_split(df, ["k"], by=["g"]).collect()), key=str) == sorted(map(tuple, exact_split(df.repartition(5), ["k"], by=["g"]).collect()), key=str)
+
+
+def test_qr_keeps_the_digits_of_nearly_collinear_inputs(spark, monkeypatch):
+    from limnos.operators import regression
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=600)
+    rows = [(int(i % 3), float(v), float(v + 1e-6 * w), float(2 * v + w + 5)) for i, (v, w) in enumerate(zip(x, rng.normal(size=600), strict=True))]
+    df = spark.createDataFrame([*rows, (0, None, 1.0, 2.0), (1, 1.0, float("nan"), 2.0)], "g int, a double, `b.c` double, y double").repartition(9)
+    monkeypatch.setattr(regression, "_MERGE", 2)
+    got = {r.g: r for r in regression.fit_ols_qr(df, ["a", "b.c"], "y", by=["g"]).collect()}
+    rough = {r.g: r for r in regression.fit_ols(df, ["a", "b.c"], "y", by=["g"]).collect()}
+    for g in range(3):
+        part = np.array([r[1:] for r in rows if r[0] == g])
+        want = np.linalg.lstsq(np.column_stack([np.ones(len(part)), part[:, :2]]), part[:, 2], rcond=None)[0]
+        assert got[g].n_train == len(part) and got[g].r2_train == pytest.approx(1.0, abs=1e-9)
+        assert np.allclose([got[g].intercept, *got[g].coefficients], want, rtol=1e-8)
+        assert not np.allclose(rough[g].coefficients, want[1:], rtol=1e-8)
+    alone = regression.fit_ols_qr(df.where("g = 0"), ["a"], "y").first()
+    assert alone.n_train == 201 or alone.n_train == 200
+    same = df.withColumn("twice", F.col("a") * 2)
+    one = regression.fit_ols_qr(same, ["a", "twice"], "y").first()
+    assert one.coefficients[1] == pytest.approx(2 * one.coefficients[0])
