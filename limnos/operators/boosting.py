@@ -38,7 +38,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD, StorageLevel, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -548,17 +548,26 @@ def _summed(parts: list[dict]) -> dict:
     return out
 
 
+def input_array(inputs: Sequence[str]) -> Column:
+    """A model's inputs as one array column: one expression, so the optimizer does not weigh every input against its copies."""
+    return F.array(*[qcol(c).cast("double") for c in inputs])
+
+
+def input_matrix(column: pa.Array, p: int) -> np.ndarray:
+    """Rows of an array column as a matrix, NULL as NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p)
+
+
 def predict_boosted(df: DataFrame, models: Mapping[str, BoostedModel], inputs: Sequence[str], by: str | None = None, out_col: str = "prediction") -> DataFrame:
     """``df`` with the prediction of the model that ``by`` names (or the only one)."""
     shared = df.sparkSession.sparkContext.broadcast({name: (m.inputs, m.thresholds, m.base, m.scale, [t.plain() for t in m.trees]) for name, m in models.items()})
-    values = [qcol(c).cast("double").alias(f"x{i}") for i, c in enumerate(inputs)]
     # The row travels as one struct, whatever its columns are called.
-    rows = df.select(F.struct("*").alias("row"), (qcol(by).cast("string") if by else F.lit("")).alias("name"), *values)
+    rows = df.select(F.struct("*").alias("row"), (qcol(by).cast("string") if by else F.lit("")).alias("name"), input_array(inputs).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {name: BoostedModel(*plain[:4], [Tree(*t) for t in plain[4]]) for name, plain in shared.value.items()}
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]).astype(float)
+            x = input_matrix(batch.column(2), len(inputs))
             names, out = np.array(batch.column(1).to_pylist(), object), np.full(batch.num_rows, np.nan)
             for name, model in held.items():
                 mine = np.flatnonzero(names == name) if by else np.arange(batch.num_rows)

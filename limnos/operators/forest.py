@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnos.operators.boosting import SAMPLE_ROWS, TASK_ROWS, _thresholds, bin_values
+from limnos.operators.boosting import SAMPLE_ROWS, TASK_ROWS, _thresholds, bin_values, input_array, input_matrix
 from limnos.session import qcol, scratch_path, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -408,11 +408,10 @@ def predict_forest(df: DataFrame, model: ForestModel, out_col: str = "prediction
     """``df`` with the mean of the trees' predictions."""
     if model.pieces is None:
         return df.withColumn(out_col, F.lit(0.0))
-    values = [qcol(c).cast("double").alias(f"x{i}") for i, c in enumerate(model.inputs)]
-    rows = stored(df.select(F.struct("*").alias("row"), *values).withColumn("rid", F.monotonically_increasing_id()), "forest-scoring")
-    xs = [f"x{i}" for i in range(len(model.inputs))]
-    spread = rows.select("rid", *xs)
-    spread = spread.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()), "rid")
+    rows = stored(df.select(F.struct("*").alias("row"), input_array(model.inputs).alias("x")).withColumn("rid", F.monotonically_increasing_id()), "forest-scoring")
+    spread, cores = rows.select("rid", "x"), df.sparkSession.sparkContext.defaultParallelism
+    if spread.rdd.getNumPartitions() < cores:  # a small table in one file still fills the cores
+        spread = spread.repartition(cores, "rid")
     thresholds, sums = model.thresholds, None
     for chunk in _chunks(model):
         part = stored(spread.mapInArrow(_add_trees(df.sparkSession.sparkContext.broadcast(chunk), thresholds), "rid long, total long"), "forest-sums")
@@ -426,8 +425,7 @@ def _add_trees(shared, thresholds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (np.int16, np.uint8, np.int32, np.int64)
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]).astype(float) if batch.num_rows else np.empty((0, len(thresholds)))
-            bins, total = bin_values(x, thresholds), np.zeros(batch.num_rows, np.int64)
+            bins, total = bin_values(input_matrix(batch.column(1), len(thresholds)), thresholds), np.zeros(batch.num_rows, np.int64)
             for upper, parts in shared.value.values():
                 node = route(bins, *upper)
                 for at, packed in parts.items():
