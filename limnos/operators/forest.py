@@ -309,7 +309,18 @@ def _deal(shared, p: int):
     return run
 
 
-PIECE = "tree int, node long, feature binary, cut binary, left binary, value binary"
+PIECE = "tree int, node long, feature binary, cut binary, left binary, value binary, bytes long"
+#: Trees whose subtrees share a folder of the table.
+PART_TREES = 8
+
+
+def _write_pieces(pieces: DataFrame, path: str) -> None:
+    parted = pieces.withColumn("part", (F.col("tree") / PART_TREES).cast("int")).repartition("part")
+    parted.write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def _read_pieces(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{PIECE}, part int").parquet(path)
 
 
 def _grow_piece(s: ForestSettings, p: int):
@@ -317,8 +328,8 @@ def _grow_piece(s: ForestSettings, p: int):
         packed = {c: b"".join(table.column(c).to_pylist()) for c in ("bins", "label", "weight")}
         name = np.array([table.column("name")[0].as_py()], np.int64).view(np.uint64)[0]
         made = grow(np.frombuffer(packed["bins"], np.uint8).reshape(-1, p), np.frombuffer(packed["label"], np.int64), np.frombuffer(packed["weight"], np.int64), name, s)
-        return pa.table([table.column("tree").slice(0, 1), table.column("node").slice(0, 1), *[pa.array([x.tobytes()], pa.binary()) for x in made]],
-                        names=["tree", "node", "feature", "cut", "left", "value"])
+        return pa.table([table.column("tree").slice(0, 1), table.column("node").slice(0, 1), *[pa.array([x.tobytes()], pa.binary()) for x in made],
+                         pa.array([sum(x.nbytes for x in made)], pa.int64())], names=["tree", "node", "feature", "cut", "left", "value", "bytes"])
     return run
 
 
@@ -338,7 +349,8 @@ class ForestModel:
         """Tables ``pieces``, ``upper`` and ``meta`` under ``path``."""
         rows = [(t, k, int(f), int(c), int(a)) for t, part in enumerate(self.uppers) for k, (f, c, a) in enumerate(zip(*part, strict=True))]
         spark.createDataFrame(rows, "tree int, node int, feature int, cut int, left int").write.mode("overwrite").parquet(f"{path}/upper")
-        (self.pieces if self.pieces is not None else spark.createDataFrame([], PIECE)).write.mode("overwrite").parquet(f"{path}/pieces")
+        if self.pieces is not None:
+            _write_pieces(self.pieces.drop("part"), f"{path}/pieces")
         meta = json.dumps({"inputs": self.inputs, "thresholds": [x.tolist() for x in self.thresholds], "base": self.base, "scale": self.scale, "trees": self.trees})
         spark.createDataFrame([(meta,)], "meta string").write.mode("overwrite").parquet(f"{path}/meta")
 
@@ -349,7 +361,7 @@ class ForestModel:
         for r in spark.read.parquet(f"{path}/upper").orderBy("tree", "node").collect():
             parts.setdefault(r.tree, []).append((r.feature, r.cut, r.left))
         uppers = [tuple(np.array(c, np.int64) for c in zip(*parts[t], strict=True)) for t in sorted(parts)]
-        return cls(meta["inputs"], [np.array(x) for x in meta["thresholds"]], meta["base"], meta["scale"], meta["trees"], uppers, spark.read.schema(PIECE).parquet(f"{path}/pieces"))
+        return cls(meta["inputs"], [np.array(x) for x in meta["thresholds"]], meta["base"], meta["scale"], meta["trees"], uppers, _read_pieces(spark, f"{path}/pieces") if uppers else None)
 
 
 def _encode(thresholds, base: float, scale: float, p: int):
@@ -381,23 +393,25 @@ def fit_forest(data: DataFrame, inputs: Sequence[str], label: str, key_cols: Seq
     uppers = _grow_upper(blocks, p, s) if n > s.small_rows else [_Upper(tree_seed(s.seed, t)) for t in range(s.trees)]
     shared = rows.sparkSession.sparkContext.broadcast({t: (tree_seed(s.seed, t), u.plain(), np.array(u.names, np.uint64)) for t, u in enumerate(uppers)})
     dealt = blocks.mapInArrow(_deal(shared, p), "tree int, node long, name long, bins binary, label binary, weight binary")
-    pieces = stored(dealt.groupBy("tree", "node").applyInArrow(_grow_piece(s, p), PIECE), "forest-pieces")
-    return ForestModel(list(inputs), thresholds, mean, scale, s.trees, [u.plain() for u in uppers], pieces)
+    path = scratch_path(rows.sparkSession, "forest-pieces")
+    _write_pieces(dealt.groupBy("tree", "node").applyInArrow(_grow_piece(s, p), PIECE), path)
+    return ForestModel(list(inputs), thresholds, mean, scale, s.trees, [u.plain() for u in uppers], _read_pieces(rows.sparkSession, path))
 
 
 def _chunks(model: ForestModel) -> Iterator[dict]:
     """Subtrees by tree, in chunks of about ``CHUNK_BYTES``: {tree: (upper, {node: arrays})}."""
-    sizes = model.pieces.groupBy("tree").agg(F.sum(F.length("feature") + F.length("cut") + F.length("left") + F.length("value")).alias("size")).orderBy("tree").collect()
+    sizes = model.pieces.groupBy("part").agg(F.sum("bytes").alias("size")).orderBy("part").collect()
     at, held, bounds = 0, 0, []
     for r in sizes:
         held += r["size"]
         if held > CHUNK_BYTES:
-            bounds.append((at, r.tree))
-            at, held = r.tree + 1, 0
-    bounds.append((at, model.trees - 1))
+            bounds.append((at, r.part))
+            at, held = r.part + 1, 0
+    if held:
+        bounds.append((at, sizes[-1].part))
     for low, high in bounds:
         chunk: dict = {}
-        for r in model.pieces.where(F.col("tree").between(low, high)).collect():
+        for r in model.pieces.where(F.col("part").between(low, high)).collect():
             upper, parts = chunk.setdefault(r.tree, (model.uppers[r.tree], {}))
             parts[r.node] = (bytes(r.feature), bytes(r.cut), bytes(r.left), bytes(r.value))
         if chunk:
