@@ -3,7 +3,6 @@
 import random
 
 import brute
-import pytest
 
 from limnos.llm import merkle
 from limnos.llm.queries import QUERIES
@@ -22,9 +21,11 @@ def docs(rng, n, ids, langs):
     return [(ids(i), rng.choice(["a", "é", None, ""]), rng.choice(langs), rng.choice([None, 5, -3]), rng.choice(["Some Text", None, "", "ß É", f"Text {i}"])) for i in range(n)]
 
 
-@pytest.mark.parametrize("n", [1, 2, 8, 9, 64, 65, 700])
-def test_sizes(spark, n):
-    rows = docs(random.Random(n), n, lambda i: i * 3, ["en", "de", "日本"])
+def test_sizes(spark):
+    """Languages of every kind of size: lone leaves, whole and cut runs, several levels."""
+    rng, rows = random.Random(6), []
+    for k, n in enumerate((1, 2, 7, 8, 9, 63, 64, 65, 513)):
+        rows += [(i * 3 + 1000 * k, *r[1:2], f"l{k}", *r[3:]) for i, r in enumerate(docs(rng, n, lambda i: i, ["x"]))]
     assert found(spark, rows) == brute.merkle(rows)
 
 
