@@ -4,14 +4,16 @@ The reference interpolates with a cubic spline over a Delaunay triangulation
 (a single-machine solver); here the surface is inverse-distance weighting
 over the k nearest stations (Shepard 1968), found with the grid-bucketed
 nearest join — values differ from the reference by design.  The convex-hull
-NaN mask is reproduced by an outer approximation of the stations' hull
-through support lines in a fixed set of directions.
+NaN mask is exact: partial hulls of the tasks merge in a tree.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping
+import sys
+from collections.abc import Iterator, Mapping
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ from limnos.functions.rules import TARGET_UNITS, classify, classify_detail
 from limnos.operators.reshape import bounded_sample
 from limnos.operators.spatial import nearest_join, nearest_label
 from limnos.operators.stats import exact_quantiles
-from limnos.session import qcol
+from limnos.session import qcol, stored
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The named places used to label map points, in their listed
 # order (the first listed wins a tie): (name, latitude, longitude).
@@ -109,22 +113,64 @@ def interpolate_idw(stations: DataFrame, grid: DataFrame, *, station_id: str, la
     return agg.select(*keys, F.coalesce(F.col("__exact"), F.col("__wv") / F.col("__w")).alias(out_col))
 
 
-def hull_mask(grid: DataFrame, stations: DataFrame, *, lat: str, lon: str, directions: int = 360,
-              eps: float = 1e-9) -> DataFrame:
-    """G3 + F6: keep cells inside every support half-plane of the stations.
+def _chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull, counter-clockwise (monotone chain); one or two points stay as they are."""
+    points = sorted(set(points))
+    if len(points) < 3:
+        return points
+    out = []
+    for ordered in (points, points[::-1]):
+        half: list[tuple[float, float]] = []
+        for p in ordered:
+            while len(half) > 1 and (half[-1][0] - half[-2][0]) * (p[1] - half[-2][1]) <= (half[-1][1] - half[-2][1]) * (p[0] - half[-2][0]):
+                half.pop()
+            half.append(p)
+        out += half[:-1]
+    return out
+
+
+#: Partial hulls that one merge takes together.
+_MERGE = 32
+
+
+def convex_hull(points: DataFrame, lat: str, lon: str) -> list[tuple[float, float]]:
+    """Corners (lon, lat) of the points' convex hull, counter-clockwise.
 
-    One aggregate computes ``max(lon*cos t + lat*sin t)`` for each direction
-    (``directions`` numbers reach the driver); cells beyond any bound go.
+    Every task keeps the hull of its points; hulls merge in a tree, and only the corners of the last few reach the driver.
     """
-    angles = [2.0 * math.pi * i / directions for i in range(directions)]
-    proj = [(math.cos(a), math.sin(a)) for a in angles]
-    row = stations.agg(*[F.max(qcol(lon) * F.lit(c) + qcol(lat) * F.lit(s)).alias(f"h{i}")
-                         for i, (c, s) in enumerate(proj)]).first()
-    if row is None or row["h0"] is None:
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[float, float]] = []
+        for batch in batches:
+            held = _chain(held + list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in held], pa.float64()) for i in (0, 1)], ["x", "y"])
+
+    def merged(table: pa.Table) -> pa.Table:
+        held = _chain(list(zip(table.column("x").to_pylist(), table.column("y").to_pylist(), strict=True)))
+        part = pa.array([table.column("part")[0].as_py()] * len(held), pa.int32())
+        return pa.table([*[pa.array([p[i] for p in held], pa.float64()) for i in (0, 1)], part], names=["x", "y", "part"])
+
+    xy = points.select(qcol(lon).cast("double").alias("x"), qcol(lat).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    parts = stored(xy.mapInArrow(corners, "x double, y double").withColumn("part", F.spark_partition_id()), "hull")
+    left = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    while left > _MERGE:
+        left = -(-left // _MERGE)
+        parts = parts.withColumn("part", (F.col("part") / _MERGE).cast("int"))
+        parts = stored(parts.groupBy("part").applyInArrow(merged, "x double, y double, part int"), "hull")
+    return _chain([(r["x"], r["y"]) for r in parts.select("x", "y").collect()])
+
+
+def hull_mask(grid: DataFrame, stations: DataFrame, *, lat: str, lon: str, eps: float = 1e-9) -> DataFrame:
+    """G3 + F6: keep cells inside the stations' convex hull or on its edge (within ``eps``)."""
+    hull = convex_hull(stations, lat, lon)
+    if not hull:
         return grid.limit(0)
-    bounds = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s"), F.lit(row[f"h{i}"] + eps).alias("h"))
-                       for i, (c, s) in enumerate(proj)])
-    return grid.filter(F.forall(bounds, lambda b: F.col("lon") * b["c"] + F.col("lat") * b["s"] <= b["h"]))
+    xs, ys = [p[0] for p in hull], [p[1] for p in hull]
+    box = F.col("lon").between(min(xs) - eps, max(xs) + eps) & F.col("lat").between(min(ys) - eps, max(ys) + eps)
+    edges = F.array(*[F.struct(F.lit(a[0]).alias("x"), F.lit(a[1]).alias("y"), F.lit(b[0] - a[0]).alias("dx"), F.lit(b[1] - a[1]).alias("dy"))
+                      for a, b in zip(hull, hull[1:] + hull[:1], strict=True)])
+    # Two corners make a segment: its way there and back bounds cells from both sides.
+    left = lambda e: e["dx"] * (F.col("lat") - e["y"]) - e["dy"] * (F.col("lon") - e["x"]) >= -eps
+    return grid.filter(box & F.forall(edges, left))
 
 
 def render_table(grid_values: DataFrame, stations: DataFrame, *, target: str, station_id: str, lat: str, lon: str,

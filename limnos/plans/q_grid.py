@@ -169,29 +169,18 @@ SELECT cell_id, row, col, round(lat, 6) AS lat, round(lon, 6) AS lon, round(valu
 """)(grid_idw)
 
 
-_DIRS = 36
-
-
 def grid_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3 + G4 + F6 + W6 + S13 + P12: hull-masked IDW grid, clipped to the
     stations' 2nd..98th percentile, labelled, 100 cells sampled by hash,
     plus the labelled station rows."""
     st, g = _idw_grid(spark, sf_dir)
-    inside = hull_mask(g, st, lat="lat", lon="lon", directions=_DIRS)
+    inside = hull_mask(g, st, lat="lat", lon="lon")
     out = render_table(inside, st, target="Water Temperature", station_id="s_suppkey", lat="lat", lon="lon",
                        value="score", sample_n=100, seed=0, station_name="s_name")
     return out.select("kind", "id", "name", r6("lat").alias("lat"), r6("lon").alias("lon"),
                       r6("value").alias("value"), "unit", "label", "detail")
 
 
-def _dirs_sql() -> str:
-    rows = []
-    for i in range(_DIRS):
-        a = 2.0 * math.pi * i / _DIRS
-        rows.append(f"(CAST('{math.cos(a)!r}' AS DOUBLE), CAST('{math.sin(a)!r}' AS DOUBLE))")
-    return ", ".join(rows)
-
-
 def _label_sql(v: str) -> str:
     return (f"CASE WHEN {v} IS NULL THEN 'Unknown' WHEN {v} < 5 THEN 'Very Cold' WHEN {v} <= 20 THEN 'Moderate' "
             f"WHEN {v} <= 28 THEN 'Warm' ELSE 'Very Warm' END")
@@ -207,10 +196,11 @@ def _detail_sql(v: str) -> str:
 
 register("grid_masked", sql=f"""
 WITH {_GRID_SQL},
-dirs AS (SELECT * FROM (VALUES {_dirs_sql()}) t(c, s)),
-h AS (SELECT dirs.c, dirs.s, max(st.lon * dirs.c + st.lat * dirs.s) AS h FROM dirs, s st GROUP BY dirs.c, dirs.s),
+pts AS (SELECT DISTINCT lat, lon FROM s),
+edges AS (SELECT a.lon AS x, a.lat AS y, b.lon - a.lon AS dx, b.lat - a.lat AS dy FROM pts a JOIN pts b ON a.lon <> b.lon OR a.lat <> b.lat
+          WHERE NOT EXISTS (SELECT 1 FROM pts c WHERE (b.lon - a.lon) * (c.lat - a.lat) - (b.lat - a.lat) * (c.lon - a.lon) < CAST('-1e-12' AS DOUBLE))),
 inside AS (SELECT * FROM idw WHERE NOT EXISTS (
-             SELECT 1 FROM h WHERE idw.lon * h.c + idw.lat * h.s > h.h + CAST('1e-09' AS DOUBLE))),
+             SELECT 1 FROM edges e WHERE e.dx * (idw.lat - e.y) - e.dy * (idw.lon - e.x) < CAST('-1e-09' AS DOUBLE))),
 q AS (SELECT quantile_cont(score, 0.02) AS lo, quantile_cont(score, 0.98) AS hi FROM s),
 cl AS (SELECT cell_id, lat, lon, least(greatest(value, lo), hi) AS v FROM inside, q WHERE value IS NOT NULL),
 smp AS (SELECT * FROM cl ORDER BY md5(CAST(cell_id AS VARCHAR) || chr(1) || '0'), cell_id LIMIT 100)

@@ -59,7 +59,7 @@ def test_grid_idw_hull_render(spark):
     assert got[0] == 10.0                                                      # on a station: its value
     w = [1 / ((41.0 - 41.4) ** 2 + 1.0), 1 / (0.36 + 0.0), 1 / (0.01 + 1.0)]
     assert got[1] == pytest.approx((10 * w[0] + 20 * w[1] + 30 * w[2]) / sum(w))  # fewer stations than k
-    inside = {r.cell_id for r in hull_mask(grid, st, lat="lat", lon="lon", directions=72).collect()}
+    inside = {r.cell_id for r in hull_mask(grid, st, lat="lat", lon="lon").collect()}
     assert 0 not in inside and len(inside) < 25
     vals = interpolate_idw(st, grid, station_id="sid", lat="lat", lon="lon", value="v", k=2)
     table = render_table(vals, st, target="Water Temperature", station_id="sid", lat="lat", lon="lon", value="v",
@@ -79,3 +79,23 @@ def test_reference_places_labels(spark):
     out = {r.id: r for r in enrich_points(pts, target="Water Temperature", lat="lat", lon="lon", value="v").collect()}
     assert out[1].nearest_place == "Des Moines" and out[2].nearest_place == "Ames"
     assert out[3].nearest_place == "Mason City" and out[3].label == "Very Cold" and out[2].label == "Very Warm"
+
+
+def test_hull_is_exact(spark, monkeypatch):
+    import random
+
+    from limnos.operators import grid as g
+    rng = random.Random(2)
+    points = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(400)] + [(4.0, 4.0)] * 3 + [(0.0, 4.0), (2.0, 4.0)]
+    monkeypatch.setattr(g, "_MERGE", 2)
+    frame = lambda rows: spark.createDataFrame(rows, "lon double, lat double")
+    hull = g.convex_hull(frame([*points, (None, 1.0)]).repartition(11), "lat", "lon")
+    cross = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    edges = list(zip(hull, hull[1:] + hull[:1], strict=True))
+    assert set(hull) <= set(points) and all(cross(a, b, p) >= -1e-12 for a, b in edges for p in points) and (2.0, 4.0) not in hull
+    cells = [(i, rng.uniform(-4, 5), rng.uniform(-4, 5)) for i in range(500)] + [(900, 2.0, 4.0), (901, 4.0, 4.0), (902, 4.1, 4.0)]
+    cells = spark.createDataFrame(cells, "cell_id long, lon double, lat double")
+    inside = {r.cell_id for r in hull_mask(cells, frame(points), lat="lat", lon="lon").collect()}
+    assert inside == {r.cell_id for r in cells.collect() if all(cross(a, b, (r.lon, r.lat)) >= -1e-9 for a, b in edges)} >= {900, 901}
+    kept = lambda rows: {r.cell_id for r in hull_mask(cells, frame(rows), lat="lat", lon="lon").collect()}
+    assert kept([]) == set() and kept([(4.0, 4.0)]) == {901} and kept([(0.0, 4.0), (4.0, 4.0)]) == {900, 901}
