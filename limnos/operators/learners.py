@@ -139,12 +139,7 @@ def _fit_linear(data: DataFrame, features: Sequence[str], medians: Mapping[str,
     prepared = data
     for stage in stages:
         prepared = stage.transform(prepared)
-    # Both OLS passes read the same design matrix: materialise it once.
-    design = prepared.select(*[qcol(c) for c in inputs], F.col("__label")).cache()
-    try:
-        fit = fit_ols(design, inputs, "__label").first()
-    finally:
-        design.unpersist()
+    fit = fit_ols(prepared.select(*[qcol(c) for c in inputs], F.col("__label")), inputs, "__label").first()
     if fit is None:
         raise ValueError("no complete training rows")
     terms = " + ".join(f"CAST({b!r} AS DOUBLE) * `{c}`" for b, c in zip(fit["coefficients"], inputs, strict=True))

@@ -198,3 +198,23 @@ def test_qr_keeps_the_digits_of_nearly_collinear_inputs(spark, monkeypatch):
     same = df.withColumn("twice", F.col("a") * 2)
     one = regression.fit_ols_qr(same, ["a", "twice"], "y").first()
     assert one.coefficients[1] == pytest.approx(2 * one.coefficients[0])
+
+
+def test_gram_rows_of_a_few_large_groups_are_not_dealt_by_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [("ab"[i % 2] if i % 50 else None, float(i % 3), 0.1, float(a), float(5 + 2 * a + b)) for i, (a, b) in enumerate(rng.normal(1e6, 1.0, (600, 2)))]
+    df = spark.createDataFrame(rows, "g string, f double, c double, x double, y double").repartition(7)
+    found = gram_rows(df, ["c", "x"], "y", by=["g"], fold_col="f")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # one pass: rows meet no table of centres, so none is dealt by its group
+    got = {(r["g"], r["__fold"]): r for r in found.collect()}
+    assert set(got) == {(g, f) for g in "ab" for f in range(3)}  # rows without a group are left out
+    for g in "ab":
+        mine = np.array([r[2:] for r in rows if r[0] == g])
+        for f in range(3):
+            part = np.array([r[2:] for r in rows if r[0] == g and r[1] == f])
+            z = (part[:, 1] - mine[:, 1].mean()) / mine[:, 1].std()
+            r = got[g, f]
+            assert (r["n"], r["sx"][0]) == (len(part), 0.0)
+            assert np.allclose(r["szz"], [0, 0, 0, z @ z], rtol=1e-6, atol=1e-6)
+            assert np.allclose([r["syy"], r["szy"][1]], [((part[:, 2] - mine[:, 2].mean()) ** 2).sum(), z @ (part[:, 2] - mine[:, 2].mean())], rtol=1e-6)
