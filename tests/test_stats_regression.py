@@ -218,3 +218,25 @@ def test_gram_rows_of_a_few_large_groups_are_not_dealt_by_group(spark):
             assert (r["n"], r["sx"][0]) == (len(part), 0.0)
             assert np.allclose(r["szz"], [0, 0, 0, z @ z], rtol=1e-6, atol=1e-6)
             assert np.allclose([r["syy"], r["szy"][1]], [((part[:, 2] - mine[:, 2].mean()) ** 2).sum(), z @ (part[:, 2] - mine[:, 2].mean())], rtol=1e-6)
+
+
+def test_quantile_sketches_see_a_bounded_number_of_rows(spark, monkeypatch):
+    from limnos.operators import stats
+    monkeypatch.setattr(stats, "SKETCH_ROWS", 500)
+    monkeypatch.setattr(stats, "SMALL", 50)
+    rng = np.random.default_rng(9)
+    values = np.concatenate([rng.normal(size=20_000), rng.normal(50, 1e-3, 10_000), np.full(5_000, 2.5)])
+    rare = [float(x) if i % 900 == 0 else None for i, x in enumerate(values)]
+    df = spark.createDataFrame(list(zip(map(float, values), rare, [i % 3 for i in range(len(values))])), "a double, r double, g int").repartition(6)
+    seen = []
+    kept = stats._sketch
+    monkeypatch.setattr(stats, "_sketch", lambda frame, sizes, width, shares: seen.append(sizes) or kept(frame, sizes, width, shares))
+    ps = [0.0, 0.02, 0.25, 0.5, 0.9, 1.0]
+    got = stats.exact_quantiles(df, ["a", "r"], ps)
+    assert np.allclose(got["a"], np.percentile(values, [p * 100 for p in ps]), rtol=0, atol=1e-12)
+    assert np.allclose(got["r"], np.percentile([x for x in rare if x is not None], [p * 100 for p in ps]), rtol=0, atol=1e-12)
+    by = stats.exact_quantiles_by(df, "g", range(3), ["a"], [0.5])
+    assert [by[g]["a"][0] for g in range(3)] == [np.median(values[g::3]) for g in range(3)]
+    assert seen[0] == {0: len(values)}
+    monkeypatch.setattr(stats, "_sketch", lambda frame, sizes, width, shares: {0: {f"q{i}": [1e9] * len(shares) for i in range(width)}})
+    assert np.isclose(stats.exact_quantiles(df, ["a"], [0.3])["a"][0], np.percentile(values, 30))  # a wrong sketch is found out
