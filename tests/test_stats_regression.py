@@ -240,3 +240,29 @@ def test_quantile_sketches_see_a_bounded_number_of_rows(spark, monkeypatch):
     assert seen[0] == {0: len(values)}
     monkeypatch.setattr(stats, "_sketch", lambda frame, sizes, width, shares: {0: {f"q{i}": [1e9] * len(shares) for i in range(width)}})
     assert np.isclose(stats.exact_quantiles(df, ["a"], [0.3])["a"][0], np.percentile(values, 30))  # a wrong sketch is found out
+
+
+def test_exact_split_deals_out_the_repeats_of_one_row(spark, monkeypatch):
+    import hashlib
+    from limnos.operators import regression
+    kept, parts = regression.stored, {}
+
+    def watched(df, name):
+        out = kept(df, name)
+        if name == "split-ties":
+            parts[name] = out.select(F.input_file_name()).distinct().count()
+        return out
+
+    monkeypatch.setattr(regression, "stored", watched)
+    monkeypatch.setattr(regression, "_RUN", 100)
+    keys = [1] * 3000 + list(range(2, 700)) + [None] * 50
+    df = spark.createDataFrame([(k, "ab"[i % 2]) for i, k in enumerate(keys)], "k int, g string").repartition(5)
+    split = regression.exact_split(df, ["k"], by=["g"], test_fraction=0.8).collect()
+    assert len(split) == len(keys)
+    number = lambda k: int(hashlib.md5(f"{chr(0) if k is None else k}:42".encode()).hexdigest()[:15], 16)
+    for g in "ab":
+        mine = [r for r in split if r["g"] == g]
+        test = [number(r["k"]) for r in mine if r["is_test"]]
+        assert len(test) == np.ceil(0.8 * len(mine))
+        assert sorted(test) == sorted(number(r["k"]) for r in mine)[:len(test)]
+    assert parts["split-ties"] > 1
