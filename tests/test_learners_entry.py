@@ -88,3 +88,22 @@ def test_query_matches_duckdb(spark, name):
                              else (round(v, 6) if isinstance(v, float) else v) for v in row))
         return sorted(out, key=lambda t: tuple((v is not None, str(v)) for v in t))
     assert norm(mine) == norm(want)
+
+
+def test_train_all_makes_its_rows_once(spark):
+    from limnos.operators.learners import LINEAR, TargetSpec, train_all
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = spark.range(200).selectExpr("id AS k", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id * 37 % 11 AS DOUBLE) AS y", "CAST(id % 5 AS DOUBLE) AS z")
+    source = rows.mapInPandas(counted, rows.schema)
+    from limnos.operators import learners
+    features = list(learners.FEATURE_COLS)
+    source = source.withColumns({f: source["x"] + source["k"] * (i % 3) for i, f in enumerate(features)})
+    metrics, _ = train_all(source, [TargetSpec("y", "y", (0.0, 20.0)), TargetSpec("z", "z", (0.0, 20.0))], [LINEAR], key_cols=["k"], folds=2)
+    assert {(r["target"], r["train_rows"], r["test_rows"]) for r in metrics.collect()} == {("y", 160, 40), ("z", 160, 40)}
+    assert made.value == 200
