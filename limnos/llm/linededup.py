@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnos.llm.common import ROW_KEY, WordHashes, keyed_join, row_key, ship_with_tasks, stored
+from limnos.llm.common import ROW_KEY, keyed_join, row_key, ship_with_tasks, stored
 
 ship_with_tasks(__name__)
 
@@ -99,8 +100,9 @@ def cut_lines(lines: list[bytes], hashes: np.ndarray) -> list[tuple[int, int, in
     return made
 
 
-#: Bytes of chunks in one batch; overlapping chunks may be many times their text.
-BATCH_BYTES = 64 << 20
+#: Chunks in one batch, and bytes of chunks in one: a text has several chunks for each of its
+#: lines, and overlapping ones may be many times the text, so neither is held for a whole batch of texts.
+BATCH_CHUNKS, BATCH_BYTES = 1 << 15, 8 << 20
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -108,31 +110,41 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
-    chunk = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("hash", pa.int64())]))
+    """text -> a row with its n_lines and a row for each chunk, in batches of about ``BATCH_CHUNKS``."""
+    kinds = {"n_lines": pa.int64(), "start": pa.int32(), "n": pa.int32(), "hash": pa.int64()}
+
+    def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at = pa.array([r[0] for r in rows], pa.int32())
+        return pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[1:]], *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values(), 1)]],
+                                          [*batch.schema.names[1:], *kinds])
+
     for batch in batches:
-        counts, chunks = [], []
-        for text in batch.column(0):
+        rows = []
+        for i, text in enumerate(batch.column(0)):
             lines = _split(text.as_py())
-            counts.append(len(lines))
-            hashes = np.fromiter(map(memo.__getitem__, lines), np.uint64, len(lines))
-            chunks.append([{"start": s, "n": n, "hash": h} for s, n, h in cut_lines(lines, hashes)])
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64()), pa.array(chunks, chunk)],
-                                         [*batch.schema.names[1:], "n_lines", "chunks"])
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+            rows.append((i, len(lines), None, None, None))
+            rows += [(i, None, *c) for c in cut_lines(lines, hashes)]
+            if len(rows) >= BATCH_CHUNKS:
+                for lo in range(0, len(rows), BATCH_CHUNKS):
+                    yield made(batch, rows[lo:lo + BATCH_CHUNKS])
+                rows = []
+        yield made(batch, rows)
 
 
 def _bytes_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text and its wanted chunks -> one row per chunk with its bytes, in batches of about ``BATCH_BYTES``."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [*ROW_KEY, "start", "n", "hash", "bytes"])
+    kinds = {"k1": pa.int64(), "k2": pa.int64(), "start": pa.int32(), "n": pa.int32(), "hash": pa.int64(), "first": pa.bool_(), "bytes": pa.binary()}
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], [*kinds])
     for batch in batches:
         rows, held = [], 0
         for text, k1, k2, wanted in zip(*[batch.column(i) for i in range(4)], strict=True):
             lines = _split(text.as_py())
-            for w in wanted.as_py():
-                rows.append((k1.as_py(), k2.as_py(), w["start"], w["n"], w["hash"], b"\n".join(lines[w["start"]:w["start"] + w["n"]])))
+            for w in wanted:
+                w = w.as_py()
+                rows.append((k1.as_py(), k2.as_py(), w["start"], w["n"], w["hash"], w["first"], b"\n".join(lines[w["start"]:w["start"] + w["n"]])))
                 held += len(rows[-1][-1])
-                if held > BATCH_BYTES:
+                if held > BATCH_BYTES or len(rows) >= BATCH_CHUNKS:
                     yield made(rows)
                     rows, held = [], 0
         yield made(rows)
@@ -145,22 +157,22 @@ def removable_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     src = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *row_key(id_col, text_col))
     kind = src.schema["doc_id"].dataType.simpleString()
-    per_doc = stored(src.mapInArrow(_chunk_batches, f"doc_id {kind}, k1 long, k2 long, n_lines long, chunks array<struct<start:int,n:int,hash:long>>"), "line-chunks")
-    per_row = per_doc.select("doc_id", *ROW_KEY, F.explode("chunks").alias("c")).select("doc_id", *ROW_KEY, "c.*")
+    found = stored(src.mapInArrow(_chunk_batches, f"doc_id {kind}, k1 long, k2 long, n_lines long, start int, n int, hash long"), "line-chunks")
+    chunks = found.where(F.col("start").isNotNull()).drop("n_lines")
     place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", *ROW_KEY, "start")
-    repeated = stored(per_row.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
+    repeated = stored(chunks.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
                       .select("hash", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), F.col("first.start").alias("fs")), "line-repeated")
-    places = stored(per_row.join(repeated.select("hash"), "hash").select(*ROW_KEY, "start", "n", "hash").distinct(), "line-places")
-    wanted = places.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("start", "n", "hash")).alias("wanted"))
+    is_first = (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & (F.col("start") == F.col("fs"))
+    places = chunks.join(repeated, "hash").select(*ROW_KEY, "start", "n", "hash", is_first.alias("first")).distinct()
+    wanted = places.groupBy(*ROW_KEY).agg(F.collect_list(F.struct("start", "n", "hash", "first")).alias("wanted"))
     # What repeats grows with the corpus, so it is never broadcast: one sort-merge join at every size.
     fetched = keyed_join(docs.select(F.col(id_col), F.col(text_col)), wanted.hint("merge"), "inner", id_col, text_col).select(F.col(text_col).alias("text"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "wanted")
-    held = stored(fetched.mapInArrow(_bytes_batches, "k1 long, k2 long, start int, n int, hash long, bytes binary"), "line-bytes")
-    firsts = held.join(repeated, (held["hash"] == repeated["hash"]) & (held["k1"] == repeated["f1"]) & (held["k2"] == repeated["f2"]) & (held["start"] == repeated["fs"]))
-    firsts = firsts.groupBy(held["hash"]).agg(F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.first("fs").alias("fs"), F.first("bytes").alias("first_bytes"))
-    later = held.join(firsts, "hash").where((F.col("bytes") == F.col("first_bytes")) & ~((F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")) & (F.col("start") == F.col("fs"))))
+    held = stored(fetched.mapInArrow(_bytes_batches, "k1 long, k2 long, start int, n int, hash long, first boolean, bytes binary"), "line-bytes")
+    firsts = held.where("first").groupBy("hash").agg(F.first("bytes").alias("first_bytes"))
+    later = held.where("not first").join(firsts, "hash").where(F.col("bytes") == F.col("first_bytes"))
     lines = later.select(*ROW_KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("line")).distinct()
     removed = lines.groupBy(*ROW_KEY).agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    rows = per_doc.groupBy(*ROW_KEY).agg(F.first("doc_id").alias("doc_id"), F.first("n_lines").alias("n_lines"), F.count("*").alias("copies"))
+    rows = found.where(F.col("start").isNull()).groupBy(*ROW_KEY).agg(F.first("doc_id").alias("doc_id"), F.first("n_lines").alias("n_lines"), F.count("*").alias("copies"))
     return rows.join(removed, ROW_KEY, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
 

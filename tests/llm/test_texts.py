@@ -252,6 +252,47 @@ def test_short_passages_go_whole(spark):
     assert got == want and sum(map(bool, want.values())) == 2 * len(passages)
 
 
+def test_line_chunks_come_in_bounded_batches():
+    rng = random.Random(4)
+    texts = [None, "", *["\n".join(f"w{rng.randrange(10**5)} x" for _ in range(300)) for _ in range(150)], "\n".join(f"w{i} x" for i in range(40_000))]
+    ids = pa.array(range(len(texts)), pa.int64())
+    made = list(linededup._chunk_batches(iter([pa.RecordBatch.from_arrays([pa.array(texts), ids, ids, ids], ["text", "doc_id", *linededup.ROW_KEY])])))
+    assert max(b.nbytes for b in made) < 2 << 20 < sum(b.nbytes for b in made)
+    got, memo = [r for b in made for r in b.to_pylist()], WordHashes()
+    assert [r["n_lines"] for r in got if r["start"] is None] == [len(linededup._split(t)) for t in texts]
+    chunks = defaultdict(list)
+    for r in got:
+        assert r["doc_id"] == r["k1"] == r["k2"]
+        if r["start"] is not None:
+            chunks[r["doc_id"]].append((r["start"], r["n"], r["hash"]))
+    for i, t in enumerate(texts):
+        lines = linededup._split(t)
+        assert chunks[i] == linededup.cut_lines(lines, np.fromiter(map(memo.__getitem__, lines), np.uint64, len(lines)))
+
+
+def test_chunk_bytes_come_in_bounded_batches():
+    text = "\n".join(f"{i} " + "x" * 10_000 for i in range(1000))
+    wanted = [{"start": i, "n": 2, "hash": i, "first": i % 2 == 0} for i in range(999)]
+    batch = pa.RecordBatch.from_arrays([pa.array([text, None]), pa.array([5, 6]), pa.array([7, 8]), pa.array([wanted, []], pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("first", pa.bool_())])))],
+                                       ["text", *linededup.ROW_KEY, "wanted"])
+    made = list(linededup._bytes_batches(iter([batch])))
+    assert max(b.nbytes for b in made) < 9 << 20 < sum(b.nbytes for b in made)
+    lines = text.encode().split(b"\n")
+    want = [(5, 7, w["start"], w["n"], w["hash"], w["first"], b"\n".join(lines[w["start"]:w["start"] + 2])) for w in wanted]
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == want
+
+
+def test_rows_repeated_as_they_are_keep_one_first_place(spark):
+    passage = "\n".join(f"line {i} of a passage with a good many words in it" for i in range(8))
+    rows = [(3, passage)] * 40 + [(7, f"own line\n{passage}")] * 30 + [(None, passage)] * 20 + [(2, f"{passage}\nend")] * 2 + [(9, None)] * 3
+    docs = frame(spark, [(d, t, "s") for d, t in rows])
+    got = {r.doc_id: (r.copies, r.n_lines, list(r.removed)) for r in linededup.removable_lines(docs).collect()}
+    assert {d: v[:2] for d, v in got.items()} == {3: (40, 8), 7: (30, 9), None: (20, 8), 2: (2, 9), 9: (3, 0)}
+    assert got[None][2] == [] and got[9][2] == [] and got[3][2] == list(range(8)) and got[7][2] == list(range(1, 9))
+    assert got[2][2] == list(range(8))
+    assert linededup.remove_lines(docs).count() == len(rows)
+
+
 # ---------------------------------------------------------------- quality
 def test_quality_counts(spark):
     memo = WordHashes()
