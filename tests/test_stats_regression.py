@@ -266,3 +266,45 @@ def test_exact_split_deals_out_the_repeats_of_one_row(spark, monkeypatch):
         assert len(test) == np.ceil(0.8 * len(mine))
         assert sorted(test) == sorted(number(r["k"]) for r in mine)[:len(test)]
     assert parts["split-ties"] > 1
+
+
+def test_ols_multi_splits_exactly_and_scores_the_held_out_rows(spark, tmp_path):
+    from limnos.plans.q_model import ols_multi
+    rng = np.random.default_rng(3)
+    sizes = {"A": 203, "N": 121, "R": 57}
+    lines, orders = [], []
+    for k, flag in enumerate(flag for flag, n in sizes.items() for _ in range(n)):
+        price = float(rng.integers(1_000, 90_000))
+        lines.append((k, k % 7 + 1, flag, price, float(rng.integers(1, 50)), float(rng.integers(0, 11)) / 100, float(rng.integers(0, 9)) / 100, k % 31))
+        orders.append((k, f"2024-{k % 12 + 1:02d}-{k % 28 + 1:02d}"))
+    lines.append((5, 9, "A", None, 3.0, 0.01, 0.02, 4))  # an incomplete row counts on neither side
+    lines.append((6, 9, "A", float("nan"), 3.0, 0.01, 0.02, 4))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_extendedprice double, l_quantity double, l_discount double, l_tax double, "
+                                 "l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate string").selectExpr("o_orderkey", "CAST(o_orderdate AS TIMESTAMP) AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    got = ols_multi(spark, str(tmp_path)).collect()
+    assert len(got) == 30
+    for flag, n in sizes.items():
+        mine = sorted((r for r in got if r.target_variable == flag), key=lambda r: r.position)
+        train = max(1, int(n * 0.8))
+        assert {(r.sample_count, r.train_count, r.test_count) for r in mine} == {(n, train, n - train)}
+        # The price is a thousand times an input: held-out rows are met exactly, whatever the split.
+        assert all(r.r2 > 1 - 1e-12 and r.rmse < 1e-6 and r.mae < 1e-6 for r in mine)
+        beta = {r.feature: r.coefficient for r in mine}
+        for _, number, _, price, quantity, discount, tax, _ in (x for x in lines[:381] if x[2] == flag):
+            x = {"high": price / 1000, "low": price / 1000 - discount * 100, "precip": discount * 10 - 0.3, "gdd_40_86": quantity, "snow": tax, "distance_to_climate_station_km": number}
+            rest = sum(abs(beta[c]) for c in ("doy", "LatitudeMeasure", "LongitudeMeasure"))
+            assert rest < 1e-6 and abs(beta["intercept"] + sum(beta[c] * v for c, v in x.items()) - price) < 1e-3
+
+
+@pytest.mark.parametrize("rule, sizes", [("ols", {"a": 21, "b": 1, "c": 2}), ("sklearn", {"a": 21, "b": 1, "c": 2})])
+def test_hash_split_by_a_rule_takes_the_least_hashes_of_each_group(spark, rule, sizes):
+    import hashlib
+    import math
+    rows = [(g, k) for g, n in sizes.items() for k in range(n + 100, 2 * n + 100)]
+    split = hash_split(spark.createDataFrame(rows, "g string, k long"), ["k"], 0.2, 42, by=["g"], rule=rule).collect()
+    assert len(split) == len(rows)
+    for g, n in sizes.items():
+        want = max(n - max(1, int(n * 0.8)), 1) if rule == "ols" else math.ceil(0.2 * n)
+        keys = sorted((k for h, k in rows if h == g), key=lambda k: hashlib.md5(f"{k}:42".encode()).hexdigest())
+        assert {r.k for r in split if r.g == g and r.is_test} == set(keys[:want])
