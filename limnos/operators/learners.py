@@ -17,6 +17,7 @@ import threading
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
@@ -30,8 +31,8 @@ from limnos.operators.boosting import BoostedModel, BoostingSettings, BoostingUn
 from limnos.operators.forest import ForestModel, ForestSettings, fit_forest, predict_forest
 from limnos.operators.features import DERIVED_COLS, FEATURE_COLS, derived_feature_sql, fit_median_imputer
 from limnos.operators.quality import filter_range
-from limnos.operators.stats import exact_quantiles_by
-from limnos.operators.regression import exact_split, fit_ols, hash_bucket, hash_folds, regression_metrics
+from limnos.operators.stats import medians_outside
+from limnos.operators.regression import exact_split, fit_ols, fit_ols_parts, hash_bucket, hash_folds, key_hash, regression_metrics
 from limnos.session import qcol, scratch_path, stored
 
 
@@ -140,6 +141,10 @@ def _fit_linear(data: DataFrame, features: Sequence[str], medians: Mapping[str,
     for stage in stages:
         prepared = stage.transform(prepared)
     fit = fit_ols(prepared.select(*[qcol(c) for c in inputs], F.col("__label")), inputs, "__label").first()
+    return _line_pipeline(stages, inputs, fit, log_target)
+
+
+def _line_pipeline(stages: Sequence, inputs: Sequence[str], fit, log_target: bool) -> PipelineModel:
     if fit is None:
         raise ValueError("no complete training rows")
     terms = " + ".join(f"CAST({b!r} AS DOUBLE) * `{c}`" for b, c in zip(fit["coefficients"], inputs, strict=True))
@@ -148,6 +153,37 @@ def _fit_linear(data: DataFrame, features: Sequence[str], medians: Mapping[str,
     return PipelineModel(stages=[*stages, line, _output_stage(log_target)])
 
 
+def fit_linear_folds(data: DataFrame, features: Sequence[str], medians: Mapping[int, Mapping[str, float | None]], log_target: bool) -> dict[int, PipelineModel]:
+    """M6 for the training sets of several folds in one pass over ``data`` (features, ``__label``, ``__cv_fold``).
+
+    ``medians`` by fold: of the rows outside it, or of all rows for ``WHOLE``.  A row whose missing values are filled
+    alike in every set is summed once, for its own fold; another is summed once for each distinct filling.
+    """
+    fills: list[dict] = []
+    version_of = {}
+    for fold, found in medians.items():
+        fill = {f: found.get(f) for f in features}
+        if fill not in fills:
+            fills.append(fill)
+        version_of[fold] = fills.index(fill)
+    varying = [f for f in features if any(x[f] != fills[0][f] for x in fills)]
+    version = F.lit(-1)
+    if varying:
+        lacking = reduce(lambda a, b: a | b, [qcol(f).isNull() for f in varying])
+        version = F.explode(F.when(lacking, F.array(*[F.lit(v) for v in range(len(fills))])).otherwise(F.array(F.lit(-1))))
+    rows = data.withColumn("__version", version)
+    for f in varying:
+        filled = F.element_at(F.array(*[F.lit(x[f]).cast("double") for x in fills]), F.greatest(F.col("__version"), F.lit(0)) + 1)
+        rows = rows.withColumn(f, F.coalesce(qcol(f).cast("double"), filled))
+    stages, inputs = _preprocess_stages(features, {f: None if f in varying else fills[0][f] for f in features})
+    for stage in stages:
+        rows = stage.transform(rows)
+    mine = lambda fold: (F.col("__version") == -1) | (F.col("__version") == version_of[fold])
+    uses = [mine(fold) if fold == WHOLE else mine(fold) & (F.col("__cv_fold") != fold) for fold in medians]
+    fits = {r["fit"]: r for r in fit_ols_parts(rows, inputs, "__label", ["__version", "__cv_fold"], uses).collect()}
+    return {fold: _line_pipeline(*_preprocess_stages(features, medians[fold]), fits.get(k), log_target) for k, fold in enumerate(medians)}
+
+
 @dataclass
 class BoostedPipeline:
     """Median fill -> derived features -> boosted trees -> ``predicted``; ``transform`` as a PipelineModel."""
@@ -278,11 +314,9 @@ def predict(model, df: DataFrame) -> DataFrame:
     return _drop_internal(model.transform(df))
 
 
-def _fold_medians(data: DataFrame, features: Sequence[str], folds: int) -> list[dict[str, float | None]]:
-    """Every training fold's medians in one bracketing run: a row counts for each fold but its own."""
-    trains = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("__cv_fold"))
-    found = exact_quantiles_by(data.withColumn("__trains", trains), "__trains", range(folds), features, [0.5])
-    return [{c: v[0] for c, v in found[f].items()} for f in range(folds)]
+def _fold_medians(data: DataFrame, features: Sequence[str], folds: int) -> dict[int, dict[str, float | None]]:
+    """Every training fold's medians, and those of all rows (``WHOLE``), in one search."""
+    return {WHOLE if f is None else f: found for f, found in medians_outside(data, "__cv_fold", range(folds), features).items()}
 
 
 def _score(model, rows: DataFrame, label: str) -> dict:
@@ -301,13 +335,16 @@ def cross_validate(df: DataFrame, spec: ModelSpec, features: Sequence[str], labe
                    folds: int = 5, seed: int = 42, log_target: bool = False) -> tuple[float, float]:
     """M9: k-fold R^2 (mean, population std); medians are re-learned per training fold.
 
-    Boosted folds are trained in lockstep, the others one after another.
+    Boosted folds are trained in lockstep, lines in one pass, forests one after another.
     """
     data = hash_folds(df, key_cols, folds, seed, "__cv_fold").cache()
     try:
         medians = _fold_medians(data, features, folds)
         train = lambda f: data.filter(F.col("__cv_fold") != f)
-        if spec.family == "gb":
+        if spec.family == "lr":
+            fitted = fit_linear_folds(_with_label(data, label, log_target), features, {f: medians[f] for f in range(folds)}, log_target)
+            models = [fitted[f] for f in range(folds)]
+        elif spec.family == "gb":
             models = fit_boosted([BoostingJob(_with_label(train(f), label, log_target), spec, features, medians[f], log_target, key_cols) for f in range(folds)], seed)
         else:
             models = [fit_model(train(f), spec, features, label, log_target, key_cols, seed, medians[f]) for f in range(folds)]
@@ -378,36 +415,43 @@ def train_all(df: DataFrame, targets: Sequence[TargetSpec], specs: Sequence[Mode
     A unit is one (target, family, fold) fit.  Each finished unit is a row of the
     ledger in ``ledger_dir``; a restart with the same folder fits only what lacks a
     row.  ``at_once`` units run as concurrent jobs; boosted units of a target run in
-    lockstep.  Models are returned for the units fitted in this call, and saved in
+    lockstep, and its lines are fitted in one pass.  Models are returned for the units fitted in this call, and saved in
     ``model_dir`` before their row is written.  Returns the metrics table (one row
     per target x family) and the models.
     """
     spark = df.sparkSession
     ledger = Ledger(spark, ledger_dir or scratch_path(spark, "ledger"))
-    df = stored(df, "training-rows")  # every target counts, splits and stores these rows: they are made once
+    family_of = lambda t: list(specs.get(t.label, specs.get("*", [])) if isinstance(specs, Mapping) else specs)
+    done = ledger.rows()
+    if all((t.label, s.name, f) in done for t in targets for s in family_of(t) for f in (*range(folds), WHOLE)):
+        # Nothing is left to fit: only the sides' sizes are asked for.
+        df = df.select(*[qcol(c) for c in dict.fromkeys([*key_cols, *[t.column for t in targets]])])
+    else:
+        df = hash_folds(df, key_cols, folds, seed, "__cv_fold")
+    # Every target counts, splits and fits these rows: they are made once, with what the split and the folds need of their keys.
+    if exact_sizes:
+        df = df.withColumn("__hash", key_hash(key_cols, seed))
+    df = stored(df, "training-rows")
+    # Filters on the stored rows see these counts first: one pass for all targets.
+    columns = {t.label: qcol(t.column) for t in targets}
+    sizes = df.agg(F.lit(0), *[x for k, t in enumerate(targets) for x in (F.count(columns[t.label]).alias(f"before{k}"), F.count_if(columns[t.label].between(*t.valid_range)).alias(f"used{k}"))]).first()
     plan, models = [], {}
-    for t in targets:
-        base = df.filter(qcol(t.column).isNotNull())
-        kept = filter_range(base, t.column, *t.valid_range)
-        counts = base.agg(F.count(F.lit(1)).alias("before"),
-                          F.count_if(qcol(t.column).between(*t.valid_range)).alias("used")).first()
+    for k, t in enumerate(targets):
+        kept = filter_range(df.filter(columns[t.label].isNotNull()), t.column, *t.valid_range)
+        counts = {"before": sizes[f"before{k}"], "used": sizes[f"used{k}"]}
         if counts["used"] < min_samples:
             continue
         if exact_sizes:    # test = ceil(fraction * n) exactly, as the reference's splitter
-            split = exact_split(kept, key_cols, test_fraction=test_fraction, seed=seed, rule="sklearn", col="__test")
+            split = exact_split(kept, key_cols, test_fraction=test_fraction, seed=seed, rule="sklearn", col="__test", hash_col="__hash", aside=["__cv_fold"]).drop("__hash")
         else:
             split = kept.withColumn("__test", hash_bucket(key_cols, seed) < F.lit(int(round(test_fraction * 10_000))))
-        # The split is stored once: every unit reads it instead of finding it again.
-        path = scratch_path(spark, "training-split")
-        hash_folds(split, key_cols, folds, seed, "__cv_fold").write.parquet(path)
-        split = spark.read.parquet(path)
         train, test = split.filter(~F.col("__test")).drop("__test"), split.filter(F.col("__test")).drop("__test")
-        family = list(specs.get(t.label, specs.get("*", [])) if isinstance(specs, Mapping) else specs)
-        done = ledger.rows()
+        family = family_of(t)
         wanted = [(s, f) for s in family for f in (*range(folds), WHOLE) if (t.label, s.name, f) not in done]
         if wanted:
             _train_target(spark, t, train, test, wanted, features, key_cols, folds, seed, ledger, model_dir, models, at_once)
-        plan.append((t, family, counts, train.count(), test.count()))
+        sides = split.agg(F.count_if(~F.col("__test")).alias("train"), F.count_if("__test").alias("test")).first()
+        plan.append((t, family, counts, sides["train"], sides["test"]))
     done, rows = ledger.rows(), []
     for t, family, counts, n_train, n_test in plan:
         for rank, spec in enumerate(family):
@@ -426,9 +470,7 @@ def train_all(df: DataFrame, targets: Sequence[TargetSpec], specs: Sequence[Mode
 def _train_target(spark, t: TargetSpec, train: DataFrame, test: DataFrame, wanted: Sequence[tuple[ModelSpec, int]], features, key_cols, folds: int, seed: int,
                   ledger: Ledger, model_dir: str | None, models: dict, at_once: int) -> None:
     """Fit the wanted units of one target and write their rows."""
-    medians = dict(enumerate(_fold_medians(train, features, folds))) if any(f != WHOLE for _, f in wanted) else {}
-    if any(f == WHOLE for _, f in wanted):
-        medians[WHOLE] = fit_median_imputer(train, features)
+    medians = _fold_medians(train, features, folds)
     rows_of = lambda f: train if f == WHOLE else train.filter(F.col("__cv_fold") != f)
     held_of = lambda f: test if f == WHOLE else train.filter(F.col("__cv_fold") == f)
 
@@ -442,7 +484,11 @@ def _train_target(spark, t: TargetSpec, train: DataFrame, test: DataFrame, wante
     def one(spec: ModelSpec, fold: int) -> Callable[[], None]:
         return lambda: finish(spec, fold, fit_model(rows_of(fold), spec, features, t.column, t.log_target, key_cols, seed, medians[fold]))
 
-    _at_once(spark, [one(s, f) for s, f in wanted if s.family != "gb"], at_once)
+    lines = [(s, f) for s, f in wanted if s.family == "lr"]
+    if lines:
+        fitted = fit_linear_folds(_with_label(train, t.column, t.log_target), features, {f: medians[f] for _, f in lines}, t.log_target)
+        _at_once(spark, [lambda s=s, f=f: finish(s, f, fitted[f]) for s, f in lines], at_once)
+    _at_once(spark, [one(s, f) for s, f in wanted if s.family not in ("lr", "gb")], at_once)
     boosted = [(s, f) for s, f in wanted if s.family == "gb"]
     if boosted:
         fitted = fit_boosted([BoostingJob(_with_label(rows_of(f), t.column, t.log_target), s, features, medians[f], t.log_target, key_cols) for s, f in boosted], seed)

@@ -107,3 +107,39 @@ def test_train_all_makes_its_rows_once(spark):
     metrics, _ = train_all(source, [TargetSpec("y", "y", (0.0, 20.0)), TargetSpec("z", "z", (0.0, 20.0))], [LINEAR], key_cols=["k"], folds=2)
     assert {(r["target"], r["train_rows"], r["test_rows"]) for r in metrics.collect()} == {("y", 160, 40), ("z", 160, 40)}
     assert made.value == 200
+
+
+def test_lines_of_all_folds_in_one_pass(spark, monkeypatch):
+    from limnos.operators import learners, regression
+    from limnos.operators.features import fit_median_imputer
+    passes, whole_pass = [], regression._task_moments
+    monkeypatch.setattr(regression, "_task_moments", lambda *a, **k: passes.append(1) or whole_pass(*a, **k))
+    features = list(learners.FEATURE_COLS)
+    # Each input lacks some values, so that the folds' medians differ.
+    rows = spark.range(400).withColumn("y", F.sin("id") * 9.0)
+    rows = rows.withColumns({f: F.when(F.col("id") % (7 + i) != 0, F.sin(F.col("id") * (i + 2)) * 5.0 + F.cos(F.col("id") * 0.1 * i)) for i, f in enumerate(features)})
+    rows = learners.hash_folds(rows, ["id"], 4, 42, "__cv_fold").withColumn("__label", F.col("y")).cache()
+    medians = learners._fold_medians(rows, features, 4)
+    assert len({tuple(m.values()) for m in medians.values()}) == 5
+    models = learners.fit_linear_folds(rows, features, medians, False)
+    assert len(passes) == 1
+    for fold, model in models.items():
+        train = rows if fold == learners.WHOLE else rows.filter(F.col("__cv_fold") != fold)
+        assert medians[fold] == fit_median_imputer(train, features)
+        alone = fit_model(train, LINEAR, features, "y")
+        both = [[r.predicted for r in predict(m, rows).orderBy("id").collect()] for m in (model, alone)]
+        assert both[0] == pytest.approx(both[1], abs=1e-8)
+
+
+def test_train_all_fits_lines_and_medians_of_a_target_in_shared_passes(spark, monkeypatch):
+    from limnos.operators import learners
+    from limnos.operators.learners import TargetSpec, train_all
+    monkeypatch.setattr(learners, "fit_model", lambda *a, **k: pytest.fail("a line fitted alone"))
+    features = list(learners.FEATURE_COLS)
+    rows = spark.range(300).withColumns({"y": F.col("id") % 11 * 1.0, "z": F.col("id") % 5 * 1.0})
+    rows = rows.withColumns({f: F.sin(F.col("id") * (i + 1)) for i, f in enumerate(features)})
+    metrics, models = train_all(rows, [TargetSpec("y", "y", (0.0, 8.0)), TargetSpec("z", "z", (0.0, 20.0))], [LINEAR], key_cols=["id"], folds=3)
+    kept = sum(k % 11 <= 8 for k in range(300))
+    assert {(r["target"], r["rows_before_filter"], r["rows_used"], r["train_rows"] + r["test_rows"], r["test_rows"]) for r in metrics.collect()} == \
+        {("y", 300, kept, kept, -(-kept // 5)), ("z", 300, 300, 300, 60)}
+    assert set(models) == {("y", LINEAR.name), ("z", LINEAR.name)}

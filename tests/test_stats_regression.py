@@ -308,3 +308,45 @@ def test_hash_split_by_a_rule_takes_the_least_hashes_of_each_group(spark, rule,
         want = max(n - max(1, int(n * 0.8)), 1) if rule == "ols" else math.ceil(0.2 * n)
         keys = sorted((k for h, k in rows if h == g), key=lambda k: hashlib.md5(f"{k}:42".encode()).hexdigest())
         assert {r.k for r in split if r.g == g and r.is_test} == set(keys[:want])
+
+
+@pytest.mark.parametrize("sorted_at_once, sketch_rows", [(50_000, 200_000), (20, 100)])
+def test_medians_outside_folds_match_numpy(spark, monkeypatch, sorted_at_once, sketch_rows):
+    from limnos.operators import stats
+    monkeypatch.setattr(stats, "_SORTED", sorted_at_once)
+    monkeypatch.setattr(stats, "SKETCH_ROWS", sketch_rows)
+    rng = np.random.default_rng(7)
+    n = 3000
+    cols = {"a": rng.normal(size=n), "b": np.concatenate([np.full(2000, 7.25), rng.uniform(0, 10, n - 2000)]), "c": np.round(rng.normal(size=n), 1),
+            "d": np.where(rng.random(n) < 0.3, np.nan, rng.exponential(size=n) ** 5), "e": np.where(rng.random(n) < 0.2, np.inf, rng.normal(size=n)), "f": np.full(n, np.nan)}
+    fold = rng.integers(0, 4, n)
+    cols["g"] = np.where(fold == 2, np.nan, fold * 100.0 + rng.random(n))  # far apart by fold, none in one
+    data = [(int(k), *[None if j % 2 and v != v else float(v) for j, v in enumerate(x)]) for k, *x in zip(fold, *cols.values())]
+    df = spark.createDataFrame(data, "fold int, " + ", ".join(f"{c} double" for c in cols)).repartition(3)
+    got = stats.medians_outside(df, "fold", range(4), list(cols))
+    for s in (None, 0, 1, 2, 3):
+        for c, v in cols.items():
+            mine = v[(fold != s) & ~np.isnan(v)] if s is not None else v[~np.isnan(v)]
+            assert got[s][c] == (pytest.approx(np.median(mine), abs=1e-12) if len(mine) else None), (s, c)
+    assert stats.medians_outside(df.filter(F.lit(False)), "fold", range(2), ["a"]) == {None: {"a": None}, 0: {"a": None}, 1: {"a": None}}
+
+
+def test_exact_split_by_a_stored_hash_is_the_same(spark):
+    from limnos.operators.regression import exact_split, key_hash
+    df = spark.range(500).selectExpr("id", "IF(id % 3 = 0, NULL, id % 40) AS k", "id % 9 AS v")
+    plain = {r.id for r in exact_split(df, ["k"]).filter("is_test").collect()}
+    hashed = df.withColumns({"h": key_hash(["k"]), "fold": F.col("k") % 2})
+    again = exact_split(hashed, ["k"], hash_col="h", aside=["fold"])
+    assert again.columns == ["id", "k", "v", "h", "fold", "is_test"] and again.count() == 500
+    assert len(plain) == 100 and {r.id for r in again.filter("is_test").collect()} == plain
+    one = exact_split(df.withColumn("one", F.lit("x")), ["id"], by=["one"]).filter("is_test").collect()
+    assert {r.id for r in one} == {r.id for r in exact_split(df, ["id"]).filter("is_test").collect()}
+
+
+def test_gram_rows_leave_incomplete_rows_out_without_a_filter_on_inputs(spark):
+    rows = [("a", 1.0, 2.0, 3.0), ("a", None, 2.0, 3.0), ("a", 2.0, float("nan"), 3.0), ("a", 3.0, 4.0, None), ("a", 4.0, 4.0, 5.0), ("b", None, 1.0, 1.0), (None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, z double, y double")
+    g = gram_rows(df, ["x", "z"], "y", by=["g"])
+    assert {(r.g, r.n) for r in g.collect()} == {("a", 2)}
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnan" not in plan
