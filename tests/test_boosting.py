@@ -153,3 +153,33 @@ def test_a_restart_fits_only_what_lacks_a_row(spark, tmp_path, monkeypatch):
     whole, models = train_all(df, [TARGET], specs, FEATURES, ["id"], folds=3)
     assert sorted(map(tuple, metrics.collect())) == sorted(map(tuple, whole.collect()))
     assert set(models) == {("T", "Linear Regression"), ("T", "gb")} and metrics.count() == 2
+
+
+def test_rows_move_on_from_their_last_place(spark, monkeypatch, tmp_path):
+    from pyspark import SparkFiles
+    monkeypatch.setattr(SparkFiles, "getRootDirectory", classmethod(lambda cls: str(tmp_path)))
+    rng = np.random.default_rng(4)
+    bins, label, held = rng.integers(0, 9, (500, 3)).astype(np.uint8), rng.integers(-90, 90, 500), rng.random(500) < 0.2
+    small = boosting._tree([1, 0, 0], [3, 255, 255], [1, 1, 2], [2, 1, 2], [0, 0, 0])
+    large = boosting._tree([1, 0, 2, 0, 0], [3, 255, 5, 255, 255], [1, 1, 3, 3, 4], [2, 1, 4, 3, 4], [0] * 5)
+    final = boosting._tree([1, 0, 0], [3, 255, 255], [1, 1, 2], [2, 1, 2], [0, 7, -5])
+    moved, whole = [], boosting.leaf_of
+    monkeypatch.setattr(boosting, "leaf_of", lambda b, t, node=None: moved.append(node is not None) or whole(b, t, node))
+    offset = np.array([0, 9, 18, 27])
+
+    def asked(done, tree, grows, slots):
+        recent = [(final, np.array([0, 1, 2, 2, 2]))] * done
+        (out,) = boosting._histograms("r", {0: (done, tree, grows, np.array(slots), 2)}, {0: offset}, None, {0: recent}, 0)(iter([(0, 5, bins, label, held)]))
+        leaf, gradient = whole(bins, tree), (final.step[whole(bins, final)] * done) - label
+        for slot in range(2):
+            for k, side in ((0, ~held), (2, held)):
+                mine = side & (np.array(slots)[leaf] == slot)
+                for j in range(3):
+                    assert (out[0][slot, k, 9 * j:9 * j + 9] == np.bincount(bins[mine, j], minlength=9)).all()
+                    assert (out[0][slot, k + 1, 9 * j:9 * j + 9] == np.bincount(bins[mine, j], gradient[mine], 9)).all()
+
+    asked(0, small, True, [-1, 0, 1])
+    asked(0, large, True, [-1, -1, -1, 1, 0])
+    asked(1, final, False, [-1, 1, 0])  # rows reach the first tree's leaves from their places
+    asked(1, small, True, [-1, 0, 1])
+    assert moved == [False, True, True, False, False]
