@@ -350,3 +350,15 @@ def test_gram_rows_leave_incomplete_rows_out_without_a_filter_on_inputs(spark):
     assert {(r.g, r.n) for r in g.collect()} == {("a", 2)}
     plan = g._jdf.queryExecution().optimizedPlan().toString()
     assert "isnan" not in plan
+
+
+def test_key_codes_of_a_batch():
+    import pyarrow as pa
+
+    from limnos.operators.regression import _codes
+    a, b = pa.array(["x", None, "y", "x", None, "x"]), pa.array([1, 2, 2, 1, 2, None], pa.int32())
+    code = _codes([a, b])
+    assert [len({c for c, k in zip(code, zip(a.to_pylist(), b.to_pylist())) if k == key}) for key in {("x", 1), (None, 2), ("y", 2), ("x", None)}] == [1] * 4
+    assert len(set(code.tolist())) == 4
+    wide = [pa.array(np.arange(2000) // 2 + k) for k in range(4)]  # more combinations than numbers of 31 bits
+    assert len(set(_codes(wide).tolist())) == 1000 and (np.diff(_codes(wide).reshape(-1, 2), axis=1) == 0).all()
